@@ -27,6 +27,14 @@ def _horner(coefs, x: Column) -> Column:
     return acc
 
 
+def norm_cdf_col(name: str, negate: bool = False) -> Column:
+    """N(x) (or N(-x)) of column ``name``: the same expression as :func:`norm_cdf`, built from SQL
+    text in one call (the Column builder costs one Py4J round trip per node)."""
+    from ..plans.sqlfix import norm_cdf_sql
+    ref = f"(-`{name}`)" if negate else f"`{name}`"
+    return F.expr(norm_cdf_sql(ref))
+
+
 def norm_cdf(x: Column) -> Column:
     """Standard normal CDF as a pure Column expression (Spark has no erf)."""
     ax = F.abs(x)

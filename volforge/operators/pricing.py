@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.mathfn import TRADING_DAYS, norm_cdf
+from ..functions.mathfn import TRADING_DAYS, norm_cdf, norm_cdf_col
 
 DEFAULT_RATE = 0.045
 RATE_TICKER = "^IRX"
@@ -44,50 +44,53 @@ def _years(T: Column) -> Column:
     return T.cast("double") / F.lit(TRADING_DAYS)
 
 
-def bs_columns(S0: Column, K: Column, T: Column, r: Column, vol: Column) -> dict[str, Column]:
-    """d1, d2, call, put with T in trading days."""
-    tau = _years(T)
-    sq = vol * F.sqrt(tau)
-    d1 = (F.log(S0 / K) + (r + F.lit(0.5) * vol * vol) * tau) / sq
-    d2 = d1 - sq
-    disc = F.exp(-r * tau)
-    call = S0 * norm_cdf(d1) - K * disc * norm_cdf(d2)
-    put = K * disc * norm_cdf(-d2) - S0 * norm_cdf(-d1)
-    return {"d1": d1, "d2": d2, "call": call, "put": put}
+def with_d(df: DataFrame, S0="S0", K="K", T="T", r="r", vol="vol") -> DataFrame:
+    """Stage 1 of P2: tau, sigma*sqrt(tau), d1, d2, discount as plain columns. Later stages refer to
+    these columns, so Catalyst keeps one projection per stage instead of inlining d1 into every
+    normal-CDF term."""
+    tau = _years(F.col(T))
+    out = (df.withColumn("_tau", tau)
+             .withColumn("_sq", F.col(vol) * F.sqrt(F.col("_tau"))))
+    out = out.withColumn("d1", (F.log(F.col(S0) / F.col(K)) + (F.col(r) + F.lit(0.5) * F.col(vol) * F.col(vol))
+                                * F.col("_tau")) / F.col("_sq"))
+    return (out.withColumn("d2", F.col("d1") - F.col("_sq"))
+               .withColumn("_disc", F.exp(-F.col(r) * F.col("_tau"))))
 
 
 def bs_price(df: DataFrame, S0="S0", K="K", T="T", r="r", vol="vol") -> DataFrame:
-    """P2 over a whole contract table: adds d1, d2, bs_call, bs_put."""
-    c = bs_columns(F.col(S0), F.col(K), F.col(T), F.col(r), F.col(vol))
-    return (df.withColumn("d1", c["d1"]).withColumn("d2", c["d2"])
-              .withColumn("bs_call", c["call"])
-              .withColumn("bs_put", c["put"]))
+    """P2 over a whole contract table: adds d1, d2, bs_call, bs_put (T in trading days)."""
+    out = with_d(df, S0, K, T, r, vol)
+    out = out.select("*", norm_cdf_col("d1").alias("_n1"), norm_cdf_col("d2").alias("_n2"),
+                     norm_cdf_col("d1", True).alias("_m1"), norm_cdf_col("d2", True).alias("_m2"))
+    out = (out.withColumn("bs_call", F.col(S0) * F.col("_n1") - F.col(K) * F.col("_disc") * F.col("_n2"))
+              .withColumn("bs_put", F.col(K) * F.col("_disc") * F.col("_m2") - F.col(S0) * F.col("_m1")))
+    return out.drop("_n1", "_n2", "_m1", "_m2")
 
 
 def bs_stderr(df: DataFrame, n_paths: Column | int, S0="S0", K="K", T="T", r="r", vol="vol") -> DataFrame:
     """Standard error of the discounted-payoff mean. The call second moment is the reference's
     formula; the put uses its own second moment E[(K-S)+^2] (N6); ``var_put_ref`` keeps the
     reference's var_put = var_call."""
-    S0c, Kc, rc, vc = F.col(S0), F.col(K), F.col(r), F.col(vol)
-    tau = _years(F.col(T))
-    sq = vc * F.sqrt(tau)
-    d1 = (F.log(S0c / Kc) + (rc + F.lit(0.5) * vc * vc) * tau) / sq
-    d2 = d1 - sq
-    disc = F.exp(-rc * tau)
-    grow = F.exp((F.lit(2.0) * rc + vc * vc) * tau)
-    e2_call = S0c * S0c * grow * norm_cdf(d1 + sq) - F.lit(2.0) * Kc * S0c * F.exp(rc * tau) * norm_cdf(d1) \
-        + Kc * Kc * norm_cdf(d2)
-    e2_put = Kc * Kc * norm_cdf(-d2) - F.lit(2.0) * Kc * S0c * F.exp(rc * tau) * norm_cdf(-d1) \
-        + S0c * S0c * grow * norm_cdf(-d1 - sq)
-    call = S0c * norm_cdf(d1) - Kc * disc * norm_cdf(d2)
-    put = Kc * disc * norm_cdf(-d2) - S0c * norm_cdf(-d1)
-    n = F.lit(n_paths) if isinstance(n_paths, int) else n_paths
-    var_call = disc * disc * e2_call - call * call
-    var_put = disc * disc * e2_put - put * put
-    return (df.withColumn("var_call", var_call).withColumn("var_put", var_put)
-              .withColumn("var_put_ref", var_call)
-              .withColumn("se_call", F.sqrt(F.greatest(F.col("var_call"), F.lit(0.0))) / F.sqrt(n.cast("double")))
-              .withColumn("se_put", F.sqrt(F.greatest(F.col("var_put"), F.lit(0.0))) / F.sqrt(n.cast("double"))))
+    b = bs_price(df, S0, K, T, r, vol)
+    b = b.withColumn("_d1p", F.col("d1") + F.col("_sq"))
+    b = b.select("*", norm_cdf_col("_d1p").alias("_np"), norm_cdf_col("d1").alias("_n1"),
+                 norm_cdf_col("d2").alias("_n2"), norm_cdf_col("d2", True).alias("_m2"),
+                 norm_cdf_col("d1", True).alias("_m1"), norm_cdf_col("_d1p", True).alias("_mp"),
+                 F.exp((F.lit(2.0) * F.col(r) + F.col(vol) * F.col(vol)) * F.col("_tau")).alias("_grow"),
+                 F.exp(F.col(r) * F.col("_tau")).alias("_fwd"))
+    S0c, Kc = F.col(S0), F.col(K)
+    e2_call = S0c * S0c * F.col("_grow") * F.col("_np") - F.lit(2.0) * Kc * S0c * F.col("_fwd") * F.col("_n1") \
+        + Kc * Kc * F.col("_n2")
+    e2_put = Kc * Kc * F.col("_m2") - F.lit(2.0) * Kc * S0c * F.col("_fwd") * F.col("_m1") \
+        + S0c * S0c * F.col("_grow") * F.col("_mp")
+    n = (F.lit(n_paths) if isinstance(n_paths, int) else n_paths).cast("double")
+    disc2 = F.col("_disc") * F.col("_disc")
+    out = (b.withColumn("var_call", disc2 * e2_call - F.col("bs_call") * F.col("bs_call"))
+            .withColumn("var_put", disc2 * e2_put - F.col("bs_put") * F.col("bs_put")))
+    return (out.withColumn("var_put_ref", F.col("var_call"))
+               .withColumn("se_call", F.sqrt(F.greatest(F.col("var_call"), F.lit(0.0))) / F.sqrt(n))
+               .withColumn("se_put", F.sqrt(F.greatest(F.col("var_put"), F.lit(0.0))) / F.sqrt(n))
+               .drop("_np", "_n1", "_n2", "_m1", "_m2", "_mp", "_grow", "_fwd", "_d1p"))
 
 
 def parity_columns(S0: Column, K: Column, T: Column, r: Column, call: Column, put: Column) -> dict[str, Column]:
@@ -107,10 +110,10 @@ def closed_form_prices(contracts: DataFrame, stats: DataFrame, rate: DataFrame,
                        methods: tuple[str, ...] = ("black_scholes", "multifractal")) -> DataFrame:
     """Closed-form rows in the pricing-result layout for the Gaussian-terminal methods
     (black_scholes, and multifractal whose horizon law is the same lognormal).
-    contracts: (ticker, hist_ticker, K, T, S0); stats: (ticker, vol)."""
+    contracts: (ticker, hist_ticker, K, T, S0); stats: (ticker, vol); rate: one row (r)."""
     st = stats.select(F.col("ticker").alias("hist_ticker"), "vol")
-    base = contracts.join(st, "hist_ticker").crossJoin(rate)   # rate: one row
-    c = bs_columns(F.col("S0"), F.col("K"), F.col("T"), F.col("r"), F.col("vol"))
-    priced = base.select("ticker", "K", "T", "S0", c["call"].alias("CallPrice"), c["put"].alias("PutPrice"))
+    base = contracts.join(st, "hist_ticker").crossJoin(rate)   # rate: a one-row aggregate
+    priced = bs_price(base).select("ticker", "K", "T", "S0", F.col("bs_call").alias("CallPrice"),
+                                   F.col("bs_put").alias("PutPrice"))
     m = F.explode(F.array(*[F.lit(x) for x in methods])).alias("method")
     return priced.select("*", m)

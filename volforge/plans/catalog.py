@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import accuracy  # noqa: F401  (registers plans)
+from . import accuracy, montecarlo  # noqa: F401  (register plans)
 from . import relational
 from .common import Inputs
 from .oracle import SQL

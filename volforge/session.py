@@ -50,3 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         configured = fallback or os.environ.get("VOLFORGE_CHECKPOINT_DIR") or "/tmp/volforge-checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def cpu_partitions(spark: SparkSession, factor: int = 2) -> int:
+    """Partition count for CPU-bound stages over few rows (fits, path chunks). An explicit count
+    keeps AQE from coalescing them into one task because their *bytes* are small."""
+    return max(1, int(spark.sparkContext.defaultParallelism) * factor)
