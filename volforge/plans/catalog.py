@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import accuracy, montecarlo  # noqa: F401  (register plans)
 from . import relational
 from .common import Inputs
+from . import oracle_mc  # noqa: F401  (registers Monte Carlo SQL)
 from .oracle import SQL
 
 

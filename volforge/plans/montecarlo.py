@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.mathfn import round_half_up
 from ..operators import evaluate as ev
 from ..operators import pricing as pc
 from ..operators import resample as rs
@@ -156,3 +157,11 @@ def q_mc_error_report(inp: Inputs) -> DataFrame:
     """A3q over all twelve methods against the observed mids."""
     priced = run_methods(inp, inp.contracts, ORACLE_CFG, SIM_METHODS + CLOSED_FORM)
     return rounded(ev.error_report(ev.long_errors(ev.comparison(priced, inp.chain))))
+
+
+@query("student_t_fit")
+def q_student_t_fit(inp: Inputs) -> DataFrame:
+    """Student-t maximum likelihood (df, loc, scale) per ticker."""
+    f = st.student_t_fit(st.return_arrays(inp.returns))
+    return f.select("ticker", round_half_up(F.col("df"), 4).alias("df"), round_half_up(F.col("tloc"), 6).alias("tloc"),
+                    round_half_up(F.col("tscale"), 6).alias("tscale"))
