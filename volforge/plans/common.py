@@ -5,7 +5,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType
 
 from ..functions.mathfn import round_half_up
 from ..operators import chain as ch
@@ -25,7 +25,7 @@ STORED_TICKERS = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
 def rounded(df: DataFrame, digits: int = OUT_DIGITS) -> DataFrame:
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (DoubleType, FloatType)):
+        if isinstance(f.dataType, DoubleType):   # FLOAT columns keep their stored type
             cols.append(round_half_up(F.col(f"`{f.name}`"), digits).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))

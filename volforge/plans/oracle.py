@@ -193,3 +193,7 @@ sql("atm_report", CF, """SELECT a.option_type, a.method, a.n, round(a.mae, 6) AS
     CMP + [("atm_rep", f"""SELECT option_type, method, count(*) AS n, avg(abs(error)) AS mae, avg(abs(pct_error)) AS mape,
               median(pct_error) AS median_pct_error FROM ({ATM}) GROUP BY 1, 2"""),
            ("all_rep", "SELECT option_type, method, avg(abs(pct_error)) AS mape FROM errs GROUP BY 1, 2")])
+
+SQL["concat_frames"] = with_stored(INC + """
+SELECT ticker, source, count(*) AS n FROM (SELECT ticker, 'stored' AS source FROM stored UNION ALL SELECT ticker, 'increment' FROM inc)
+GROUP BY 1, 2""")
