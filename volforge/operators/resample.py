@@ -67,6 +67,18 @@ def _with_state(paths: DataFrame, state: DataFrame, cols: list[str]) -> DataFram
     return paths.join(state.select("hist_ticker", *cols), "hist_ticker")
 
 
+def long_values(state: DataFrame, array_col: str, value: str = "v") -> DataFrame:
+    """(hist_ticker, idx, v): an array column of the per-ticker state as rows, 1-based idx. The
+    samplers look values up with an equi-join on (hist_ticker, idx) against this table, which
+    the caller broadcasts behind a size check — path rows never carry whole arrays."""
+    return state.select("hist_ticker", F.posexplode(array_col).alias("_p", value)) \
+                .select("hist_ticker", (F.col("_p") + F.lit(1)).alias("idx"), value)
+
+
+def _lookup(steps: DataFrame, table: DataFrame, idx: Column, value: str = "v") -> DataFrame:
+    return steps.withColumn("idx", idx).join(table.withColumnRenamed("v", value), ["hist_ticker", "idx"])
+
+
 def _pkey(cfg: MCConfig, tag: str) -> Column:
     return cfg.stream.path_key(tag, F.col("hist_ticker"), F.col("T"), F.col("path_id"))
 
@@ -79,20 +91,24 @@ def _sum_per_path(steps: DataFrame, x: Column) -> DataFrame:
     return steps.select(*PATH_KEYS, x.alias("_x")).groupBy(*PATH_KEYS).agg(F.sum("_x").alias("log_sum"))
 
 
-def boot_iid(paths: DataFrame, state: DataFrame, cfg: MCConfig, tag: str = "iid") -> DataFrame:
-    """T draws with replacement from the ticker's returns, summed."""
-    s = _steps(_with_state(paths, state, ["returns", "n"]).withColumn("_k", _pkey(cfg, tag)))
-    x = F.element_at("returns", cfg.stream.u_index(F.col("n"), F.col("_k"), F.col("j")))
-    return _sum_per_path(s, x)
+def boot_iid(paths: DataFrame, state: DataFrame, cfg: MCConfig, tag: str = "iid",
+             rets: DataFrame | None = None) -> DataFrame:
+    """T draws with replacement from the ticker's returns, summed. ``rets`` is the
+    (hist_ticker, idx, v) lookup table (see long_values)."""
+    rets = rets if rets is not None else long_values(state, "returns")
+    s = _steps(_with_state(paths, state, ["n"]).withColumn("_k", _pkey(cfg, tag)))
+    s = _lookup(s, rets, cfg.stream.u_index(F.col("n"), F.col("_k"), F.col("j")))
+    return _sum_per_path(s, F.col("v"))
 
 
-def boot_window(paths: DataFrame, state: DataFrame, stride: int) -> DataFrame:
+def boot_window(paths: DataFrame, state: DataFrame, stride: int, rets: DataFrame | None = None) -> DataFrame:
     """R2..R4, exact form: every start s in [0, n) is one path; path s sums returns at
     (s + j*stride) mod n, j < T. The mean over all starts is the limit of the random-start
     estimator, so no randomness is needed. ``paths`` carries path_id = start (see window_paths)."""
-    s = _steps(_with_state(paths, state, ["returns", "n"]))
+    rets = rets if rets is not None else long_values(state, "returns")
+    s = _steps(_with_state(paths, state, ["n"]))
     idx = F.pmod(F.col("path_id") + F.col("j") * F.lit(stride), F.col("n")) + F.lit(1)
-    return _sum_per_path(s, F.element_at("returns", idx.cast("int")))
+    return _sum_per_path(_lookup(s, rets, idx.cast("int")), F.col("v"))
 
 
 def window_paths(horizons: DataFrame, state: DataFrame, methods: list[str], chunk: int = 4096) -> DataFrame:
@@ -106,37 +122,42 @@ def window_paths(horizons: DataFrame, state: DataFrame, methods: list[str], chun
     return tasks.select("hist_ticker", "T", "method", F.explode(F.sequence(lo, hi)).alias("path_id"))
 
 
-def boot_t_mixture(paths: DataFrame, state: DataFrame, cfg: MCConfig, tag: str = "tmix") -> DataFrame:
+def boot_t_mixture(paths: DataFrame, state: DataFrame, cfg: MCConfig, tag: str = "tmix",
+                   rets: DataFrame | None = None) -> DataFrame:
     """Each step is, with probability alt_weight, a Student-t(df, loc, scale) draw (fitted per
     ticker, D2), else a historical draw."""
-    s = _steps(_with_state(paths, state, ["returns", "n", "t_df", "t_loc", "t_scale"]).withColumn("_k", _pkey(cfg, tag)))
+    rets = rets if rets is not None else long_values(state, "returns")
+    s = _steps(_with_state(paths, state, ["n", "t_df", "t_loc", "t_scale"]).withColumn("_k", _pkey(cfg, tag)))
     st = cfg.stream
     k, j = F.col("_k"), F.col("j")
+    s = _lookup(s, rets, st.u_index(F.col("n"), k, j, "h"))
     t = F.col("t_loc") + F.col("t_scale") * st.u_student_t(F.col("t_df"), k, j)
-    hist = F.element_at("returns", st.u_index(F.col("n"), k, j, "h"))
-    x = F.when(st.u(k, j, "m") < F.lit(cfg.alt_weight), t).otherwise(hist)
+    x = F.when(st.u(k, j, "m") < F.lit(cfg.alt_weight), t).otherwise(F.col("v"))
     return _sum_per_path(s, x)
 
 
-def boot_block(paths: DataFrame, state: DataFrame, cfg: MCConfig, tag: str = "blk") -> DataFrame:
+def boot_block(paths: DataFrame, state: DataFrame, cfg: MCConfig, tag: str = "blk",
+               rets: DataFrame | None = None) -> DataFrame:
     """Stationary bootstrap — a new block (uniform start) at step 0 and then with probability
-    1/L, otherwise the previous index + 1 (wrapping). L <= 1 is i.i.d. resampling."""
+    1/L, otherwise the previous index + 1 (wrapping). L <= 1 is i.i.d. resampling.
+    A small fold over the T steps yields the index sequence (ints only); the indices are then
+    exploded and looked up like the i.i.d. draws, so path rows never carry the return array."""
+    rets = rets if rets is not None else long_values(state, "returns")
     if cfg.block_len <= 1.0:
-        return boot_iid(paths, state, cfg, tag)
+        return boot_iid(paths, state, cfg, tag, rets)
     p = 1.0 / cfg.block_len
     st = cfg.stream
-    x = _with_state(paths, state, ["returns", "n"]).withColumn("_k", _pkey(cfg, tag))
+    x = _with_state(paths, state, ["n"]).withColumn("_k", _pkey(cfg, tag))
     k, n = F.col("_k"), F.col("n")
 
-    # the new index is used twice in the step; bind it once
-    def step_bound(acc, j):
+    def step(acc, j):
         fresh = (j == 0) | (st.u(k, j, "b") < F.lit(p))
-        idx = F.when(fresh, F.floor(st.u(k, j, "s") * n).cast("int")).otherwise(F.pmod(acc["idx"] + 1, n))
-        return F.element_at(F.transform(F.array(idx), lambda i: F.struct(
-            i.alias("idx"), (acc["s"] + F.element_at("returns", i + 1)).alias("s"))), 1)
-    fold = F.aggregate(F.sequence(F.lit(0), F.col("T") - 1),
-                       F.struct(F.lit(0).alias("idx"), F.lit(0.0).alias("s")), step_bound)
-    return x.select(*PATH_KEYS, fold["s"].alias("log_sum"))
+        prev = F.try_element_at(acc, F.lit(-1))
+        idx = F.when(fresh, F.floor(st.u(k, j, "s") * n).cast("int")).otherwise(F.pmod(prev + 1, n))
+        return F.concat(acc, F.array(idx))
+    idxs = F.aggregate(F.sequence(F.lit(0), F.col("T") - 1), F.array().cast("array<int>"), step)
+    s = x.select(*PATH_KEYS, F.explode(idxs).alias("_i"))
+    return _sum_per_path(_lookup(s, rets, F.col("_i") + F.lit(1)), F.col("v"))
 
 
 def boot_filtered(paths: DataFrame, state: DataFrame, cfg: MCConfig, risk_neutral: bool, r: Column,
@@ -174,7 +195,8 @@ def cascade_levels(T: Column, override: int | None) -> Column:
     return F.ceil(F.log2(F.greatest(T, F.lit(2)).cast("double")) - F.lit(1e-9)).cast("int")
 
 
-def boot_cascade(paths: DataFrame, state: DataFrame, cfg: MCConfig, r: Column, tag: str = "mfe") -> DataFrame:
+def boot_cascade(paths: DataFrame, state: DataFrame, cfg: MCConfig, r: Column, tag: str = "mfe",
+                 zres: DataFrame | None = None) -> DataFrame:
     """Multifractal time with empirical residuals. Step weights theta_i are a lognormal
     multiplicative cascade: leaf i takes, at each level l < L, the multiplier of its cell
     i >> (L-l-1), exp(-lam^2/2 + lam g(l, cell)), so siblings share multipliers; theta is cropped
@@ -184,7 +206,8 @@ def boot_cascade(paths: DataFrame, state: DataFrame, cfg: MCConfig, r: Column, t
     if cfg.lam < 0:
         raise ValueError(f"lam must be >= 0, got {cfg.lam}")
     st = cfg.stream
-    x = _with_state(paths, state, ["vol", "z_pool", "n_z", "degenerate"]).withColumn("_k", _pkey(cfg, tag))
+    zres = zres if zres is not None else long_values(state, "z_pool")
+    x = _with_state(paths, state, ["vol", "n_z", "degenerate"]).withColumn("_k", _pkey(cfg, tag))
     x = x.withColumn("_L", cascade_levels(F.col("T"), cfg.cascade_levels)).withColumn("_r", r)
     s = _steps(x)
     k, j, L = F.col("_k"), F.col("j"), F.col("_L")
@@ -198,8 +221,9 @@ def boot_cascade(paths: DataFrame, state: DataFrame, cfg: MCConfig, r: Column, t
                                k, F.lit("c"), lv,
                                F.floor(j / F.pow(F.lit(2.0), L - lv - F.lit(1))).cast("int")))
         theta = F.exp(logw)
-    z = F.when(F.col("degenerate"), st.u_gauss(k, j, "z")).otherwise(
-        F.element_at("z_pool", st.u_index(F.col("n_z"), k, j, "z")))
+    # degenerate pools have no rows: the left join leaves v NULL and the Gaussian draw is used
+    s = s.withColumn("idx", st.u_index(F.col("n_z"), k, j, "z")).join(zres, ["hist_ticker", "idx"], "left")
+    z = F.when(F.col("degenerate"), st.u_gauss(k, j, "z")).otherwise(F.col("v"))
     per = s.select(*PATH_KEYS, "vol", "_r", theta.alias("_th"), z.alias("_z"))
     agg = per.groupBy(*PATH_KEYS, "vol", "_r").agg(F.sum("_th").alias("_S"),
                                                    F.sum(F.sqrt("_th") * F.col("_z")).alias("_Q"))
@@ -231,6 +255,34 @@ def analogue_state(arrays: DataFrame, window: int = 5) -> DataFrame:
                     F.transform("_f", lambda e: e["nxt"]).alias("next_ret"))
 
 
+def _knn(hs, q, k):
+    """Exact k nearest rows of ``hs`` (sorted by its first column) for every query row of ``q``
+    (Euclidean, 2-D). Each query first scores a window of candidates around its position in the
+    first coordinate; the answer is exact when no point outside the window can be closer (its
+    first-coordinate gap alone exceeds the k-th distance). Queries that fail the check are scored
+    against all rows. Returns an (m, k) index array into ``hs``."""
+    import numpy as np
+    n, m = len(hs), len(q)
+    if k >= n:
+        return np.tile(np.arange(n), (m, 1))
+    w = min(n, max(8 * k, 128))
+    pos = np.searchsorted(hs[:, 0], q[:, 0])
+    lo = np.clip(pos - w // 2, 0, n - w)
+    cand = lo[:, None] + np.arange(w)[None, :]
+    d2 = ((hs[cand] - q[:, None, :]) ** 2).sum(axis=2)
+    part = np.argpartition(d2, k - 1, axis=1)[:, :k]
+    kth = np.take_along_axis(d2, part, 1).max(axis=1)
+    left = np.where(lo > 0, np.maximum(q[:, 0] - hs[np.maximum(lo - 1, 0), 0], 0.0), np.inf)
+    right = np.where(lo + w < n, np.maximum(hs[np.minimum(lo + w, n - 1), 0] - q[:, 0], 0.0), np.inf)
+    out = np.take_along_axis(cand, part, 1)
+    bad = ~((left * left >= kth) & (right * right >= kth))
+    if bad.any():
+        qb = q[bad]
+        full = ((qb[:, None, :] - hs[None, :, :]) ** 2).sum(axis=2)
+        out[bad] = np.argpartition(full, k - 1, axis=1)[:, :k]
+    return out
+
+
 def boot_analogue(horizons: DataFrame, state: DataFrame, cfg: MCConfig, method: str = "analogue") -> DataFrame:
     """K-NN analogue bootstrap. Each step a path's own last ``window`` returns give a feature
     (sum, std) standardised like the history's; one of its k nearest historical days (Euclidean)
@@ -244,12 +296,13 @@ def boot_analogue(horizons: DataFrame, state: DataFrame, cfg: MCConfig, method:
     import pandas as pd
     import xxhash
 
-    n_chunks = max(1, math.ceil(cfg.n_paths / cfg.chunk))
+    chunk = min(cfg.chunk, 1024)          # neighbour search is the heavy step: smaller tasks
+    n_chunks = max(1, math.ceil(cfg.n_paths / chunk))
     tasks = horizons.select("hist_ticker", "T").distinct().select(
         "hist_ticker", "T", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"))
     tasks = tasks.join(state.select("hist_ticker", "returns", "n", "f_sum", "f_std", "next_ret"), "hist_ticker", "left")
     tasks = tasks.repartition(cpu_partitions(horizons.sparkSession), "hist_ticker", "T", "chunk")
-    n_paths, chunk, k_nb, win, seed = cfg.n_paths, cfg.chunk, cfg.k_neighbors, cfg.window, cfg.seed
+    n_paths, k_nb, win, seed = cfg.n_paths, cfg.k_neighbors, cfg.window, cfg.seed
 
     def simulate(batches):
         for pdf in batches:
@@ -272,17 +325,17 @@ def boot_analogue(horizons: DataFrame, state: DataFrame, cfg: MCConfig, method:
                     sd = np.array([fs.std(), fd.std()])
                     sd = np.where(sd > 0, sd, 1.0)
                     hz = np.column_stack([(fs - mu[0]) / sd[0], (fd - mu[1]) / sd[1]])
-                    k = min(k_nb, len(nxt))
+                    order = np.argsort(hz[:, 0], kind="stable")
+                    hs, nxt_s = hz[order], nxt[order]
+                    k = min(k_nb, len(nxt_s))
                     recent = np.tile(r[-win:], (m, 1))
                     sums = np.zeros(m)
                     for _ in range(T):
                         q = np.column_stack([(recent.sum(axis=1) - mu[0]) / sd[0],
                                              (recent.std(axis=1) - mu[1]) / sd[1]])
-                        d2 = ((q[:, None, :] - hz[None, :, :]) ** 2).sum(axis=2)
-                        nn = np.argpartition(d2, k - 1, axis=1)[:, :k] if k < len(nxt) else \
-                            np.tile(np.arange(len(nxt)), (m, 1))
+                        nn = _knn(hs, q, k)
                         pick = nn[np.arange(m), rng.integers(0, k, size=m)]
-                        step = nxt[pick]
+                        step = nxt_s[pick]
                         sums += step
                         recent = np.column_stack([recent[:, 1:], step])
                 out_t.append(np.full(m, row.hist_ticker, dtype=object))

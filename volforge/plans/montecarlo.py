@@ -84,23 +84,26 @@ def run_methods(inp: Inputs, contracts: DataFrame, cfg: rs.MCConfig, methods: li
         paths = rs.path_table(horizons, stoch, cfg.n_paths, cfg.chunk)
         st_fhs = state.withColumn("z_pool", F.col("z_fhs")).withColumn("n_z", F.size("z_fhs"))
         st_res = state.withColumn("z_pool", F.col("z_res")).withColumn("n_z", F.size("z_res"))
+        rets = checked_broadcast(rs.long_values(state, "returns"), row_bytes=48)
+        zres = checked_broadcast(rs.long_values(state, "z_res"), row_bytes=48)
         pr = paths.crossJoin(rate.select(F.col("r").alias("_rate")))                    # rate: one row
         by = {m: pr.where(F.col("method") == m) for m in stoch}
         gens = {
-            "historical": lambda p: rs.boot_iid(p.drop("_rate"), state, cfg, "historical"),
-            "student_t": lambda p: rs.boot_t_mixture(p.drop("_rate"), state, cfg, "student_t"),
-            "block_bootstrap": lambda p: rs.boot_block(p.drop("_rate"), state, cfg, "block_bootstrap"),
+            "historical": lambda p: rs.boot_iid(p.drop("_rate"), state, cfg, "historical", rets),
+            "student_t": lambda p: rs.boot_t_mixture(p.drop("_rate"), state, cfg, "student_t", rets),
+            "block_bootstrap": lambda p: rs.boot_block(p.drop("_rate"), state, cfg, "block_bootstrap", rets),
             "fhs": lambda p: rs.boot_filtered(p, st_fhs, cfg, False, rc, "fhs"),
             "fhs_rn": lambda p: rs.boot_filtered(p, st_fhs, cfg, True, rc, "fhs_rn"),
-            "multifractal_empirical": lambda p: rs.boot_cascade(p, st_res, cfg, rc, "multifractal_empirical"),
+            "multifractal_empirical": lambda p: rs.boot_cascade(p, st_res, cfg, rc, "multifractal_empirical", zres),
         }
         for m in sorted(stoch):
             parts.append(gens[m](by[m]))
     exact = sorted(ran & EXACT)
     if exact:
         wp = rs.window_paths(horizons, state, exact)
+        wrets = checked_broadcast(rs.long_values(state, "returns"), row_bytes=48)
         for m in exact:
-            parts.append(rs.boot_window(wp.where(F.col("method") == m), state, pc.WINDOW_STRIDE[m]))
+            parts.append(rs.boot_window(wp.where(F.col("method") == m), state, pc.WINDOW_STRIDE[m], wrets))
     if "analogue" in ran:
         ast = checked_broadcast(rs.analogue_state(state, cfg.window),
                                 row_bytes=512, array_cols=("returns", "f_sum", "f_std", "next_ret"))
