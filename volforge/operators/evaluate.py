@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.mathfn import TRADING_DAYS  # noqa: F401  (re-exported for callers)
+from ..functions.mathfn import TRADING_DAYS, round_half_up  # noqa: F401
 
 # Fixed values of the accuracy study.
 MAX_COMBOS_PER_TICKER = 30      # (strike, days, type) combos kept per ticker (15 x call/put)
@@ -147,8 +147,9 @@ def convergence(prices: DataFrame, threshold: float = CONVERGENCE_PCT) -> DataFr
     d = d.withColumn("pct_change", pct)
     return d.select("alt_weight", "method", F.col("from_runs").cast("int").alias("from_runs"),
                     F.col("runs").cast("int").alias("to_runs"),
-                    F.round("prev_price", 4).alias("prev_price"), F.round("curr_price", 4).alias("curr_price"),
-                    F.round("pct_change", 4).alias("pct_change"),
+                    round_half_up(F.col("prev_price"), 4).alias("prev_price"),
+                    round_half_up(F.col("curr_price"), 4).alias("curr_price"),
+                    round_half_up(F.col("pct_change"), 4).alias("pct_change"),
                     (F.col("pct_change") <= F.lit(threshold)).alias("converged"))
 
 
@@ -205,6 +206,6 @@ def emc_pre_post(pre: DataFrame, post: DataFrame) -> DataFrame:
     a = pre.select("option_type", "method", F.col("mape").alias("mape_pre"))
     b = post.select("option_type", "method", F.col("mape").alias("mape_post"))
     return (a.join(b, ["option_type", "method"], "full_outer")
-             .select("option_type", "method", F.round("mape_pre", 2).alias("mape_pre"),
-                     F.round("mape_post", 2).alias("mape_post"),
-                     F.round(F.col("mape_post") - F.col("mape_pre"), 2).alias("delta")))
+             .select("option_type", "method", round_half_up(F.col("mape_pre"), 2).alias("mape_pre"),
+                     round_half_up(F.col("mape_post"), 2).alias("mape_post"),
+                     round_half_up(F.col("mape_post") - F.col("mape_pre"), 2).alias("delta")))

@@ -35,8 +35,18 @@ def price_log_sums(log_sums: DataFrame, contracts: DataFrame, rate: DataFrame, r
     is_emc = F.col("method").isin(*emc) if emc else F.lit(False)
     is_exact = F.col("method").isin(*exact) if exact else F.lit(False)
 
+    # --- exact methods: scale-free; with EMC the factor is the mean over all starts
+    w = x.where(is_exact).withColumn("_b", F.lit(0))
+    if emc:
+        wf = (w.where(is_emc).groupBy("hist_ticker", "T", "method", "r").agg(F.avg("_g").alias("_m"))
+               .select("hist_ticker", "T", "method",
+                       F.when(F.col("_m") > 0, F.exp(F.col("r") * F.col("T").cast("double") / F.lit(TRADING_DAYS)) / F.col("_m"))
+                        .otherwise(F.lit(1.0)).alias("_f")))
+        w = (w.join(wf, ["hist_ticker", "T", "method"], "left")
+              .withColumn("_g", F.col("_g") * F.coalesce(F.col("_f"), F.lit(1.0))).drop("_f"))
+
     # --- EMC methods: expand by scale, factor = exp(rT/252) / mean(g) over the scale's paths
-    e = x.where(is_emc).select("*", F.explode(F.filter(F.array(*[F.lit(s) for s in scales]),
+    e = x.where(is_emc & ~is_exact).select("*", F.explode(F.filter(F.array(*[F.lit(s) for s in scales]),
                                                         lambda s: F.col("path_id") < s)).alias("Runs"))
     fac = (e.groupBy("hist_ticker", "T", "method", "Runs", "r").agg(F.avg("_g").alias("_m"))
             .select("hist_ticker", "T", "method", "Runs",
@@ -46,7 +56,6 @@ def price_log_sums(log_sums: DataFrame, contracts: DataFrame, rate: DataFrame, r
 
     # --- other methods: one bucket per path
     o = x.where(~is_emc & ~is_exact).withColumn("_b", _bucket(F.col("path_id"), scales))
-    w = x.where(is_exact).withColumn("_b", F.lit(0))
 
     def payoffs(df: DataFrame, group: list[str]) -> DataFrame:
         y = df.join(contracts, ["hist_ticker", "T"])

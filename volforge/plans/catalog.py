@@ -5,10 +5,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import accuracy, jobs, montecarlo  # noqa: F401  (register plans)
+from . import accuracy, analysis, jobs, montecarlo  # noqa: F401  (register plans)
 from . import relational
 from .common import Inputs
-from . import oracle_jobs, oracle_mc  # noqa: F401  (register SQL)
+from . import oracle_analysis, oracle_jobs, oracle_mc  # noqa: F401  (register SQL)
 from .oracle import SQL
 
 

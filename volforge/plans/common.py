@@ -79,6 +79,14 @@ class Inputs:
         """(ticker, K, T, S0, hist_ticker) of the accuracy study."""
         return ev.map_history_ticker(ev.accuracy_contracts(self.chain), fx.history_map(self.spark))
 
+    @cached_property
+    def contracts_cp(self) -> DataFrame:
+        """The contract grid materialised once in the checkpoint folder: several Monte Carlo plans
+        share it, its size check is then a read of a few hundred rows, and its lineage is cut."""
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.spark)
+        return self.contracts.checkpoint(eager=True)
+
     @cached_property
     def job_log(self) -> DataFrame:
         return fx.job_log(self.spark, self.sf_dir)

@@ -65,6 +65,23 @@ def series_state(inp: Inputs, methods: list[str] | None = None) -> DataFrame:
     return x.checkpoint(eager=True)
 
 
+_TABLES: dict[int, dict] = {}
+
+
+def _lookup_tables(state: DataFrame) -> dict:
+    """Size-checked broadcast forms of the (checkpointed) series state and its long lookup tables,
+    decided once per state table."""
+    key = id(state)
+    if key not in _TABLES:
+        _TABLES[key] = {
+            "state": checked_broadcast(state, row_bytes=512, array_cols=("returns", "z_fhs", "z_res")),
+            "rets": checked_broadcast(rs.long_values(state, "returns"), row_bytes=48),
+            "zres": checked_broadcast(rs.long_values(state, "z_res"), row_bytes=48),
+            "_keep": state,
+        }
+    return _TABLES[key]
+
+
 def run_methods(inp: Inputs, contracts: DataFrame, cfg: rs.MCConfig, methods: list[str], scales: list[int] | None = None,
                 extra_emc: set[str] = frozenset(), state: DataFrame | None = None) -> DataFrame:
     """P13 re-aimed: every method for every contract in one plan. Paths are generated once per
@@ -72,7 +89,8 @@ def run_methods(inp: Inputs, contracts: DataFrame, cfg: rs.MCConfig, methods: li
     scales = sorted(scales or [cfg.n_paths])
     cfg = rs.MCConfig(**{**cfg.__dict__, "n_paths": max(scales)})
     state = state if state is not None else series_state(inp, methods)
-    state = checked_broadcast(state, row_bytes=512, array_cols=("returns", "z_fhs", "z_res"))
+    tables = _lookup_tables(state)
+    state = tables["state"]
     rate = inp.rate
     rc = F.col("_rate")
     horizons = contracts.select("hist_ticker", "T").distinct()
@@ -84,8 +102,7 @@ def run_methods(inp: Inputs, contracts: DataFrame, cfg: rs.MCConfig, methods: li
         paths = rs.path_table(horizons, stoch, cfg.n_paths, cfg.chunk)
         st_fhs = state.withColumn("z_pool", F.col("z_fhs")).withColumn("n_z", F.size("z_fhs"))
         st_res = state.withColumn("z_pool", F.col("z_res")).withColumn("n_z", F.size("z_res"))
-        rets = checked_broadcast(rs.long_values(state, "returns"), row_bytes=48)
-        zres = checked_broadcast(rs.long_values(state, "z_res"), row_bytes=48)
+        rets, zres = tables["rets"], tables["zres"]
         pr = paths.crossJoin(rate.select(F.col("r").alias("_rate")))                    # rate: one row
         by = {m: pr.where(F.col("method") == m) for m in stoch}
         gens = {
@@ -101,7 +118,7 @@ def run_methods(inp: Inputs, contracts: DataFrame, cfg: rs.MCConfig, methods: li
     exact = sorted(ran & EXACT)
     if exact:
         wp = rs.window_paths(horizons, state, exact)
-        wrets = checked_broadcast(rs.long_values(state, "returns"), row_bytes=48)
+        wrets = tables["rets"]
         for m in exact:
             parts.append(rs.boot_window(wp.where(F.col("method") == m), state, pc.WINDOW_STRIDE[m], wrets))
     if "analogue" in ran:
@@ -134,7 +151,7 @@ RESULT_COLS = ["ticker", "K", "T", "S0", "method", "Runs", "CallPrice", "PutPric
 
 
 def _priced(inp: Inputs, methods: list[str], cfg: rs.MCConfig = ORACLE_CFG, **kw) -> DataFrame:
-    return rounded(run_methods(inp, inp.contracts, cfg, methods, **kw).select(*RESULT_COLS))
+    return rounded(run_methods(inp, inp.contracts_cp, cfg, methods, **kw).select(*RESULT_COLS))
 
 
 for _name, _method in [("boot_iid", "historical"), ("boot_window", "window"), ("boot_window_10", "window_10d"),
@@ -143,7 +160,7 @@ for _name, _method in [("boot_iid", "historical"), ("boot_window", "window"), ("
                        ("boot_analogue", "analogue"), ("boot_cascade", "multifractal_empirical")]:
     def _make(m):
         def plan(inp: Inputs) -> DataFrame:
-            return _priced(inp, [m])
+            return _priced(inp, [m])  # noqa: B023
         plan.__doc__ = f"Prices of every contract by the {m} sampler ({ORACLE_PATHS} paths, md5 stream)."
         return plan
     query(_name)(_make(_method))
@@ -158,7 +175,7 @@ def q_run_methods(inp: Inputs) -> DataFrame:
 @query("mc_error_report")
 def q_mc_error_report(inp: Inputs) -> DataFrame:
     """A3q over all twelve methods against the observed mids."""
-    priced = run_methods(inp, inp.contracts, ORACLE_CFG, SIM_METHODS + CLOSED_FORM)
+    priced = run_methods(inp, inp.contracts_cp, ORACLE_CFG, SIM_METHODS + CLOSED_FORM)
     return rounded(ev.error_report(ev.long_errors(ev.comparison(priced, inp.chain))))
 
 
