@@ -258,19 +258,18 @@ SQL["lambda_sweep"] = with_ctes(NEEDS + ["actual"], """SELECT lam, n, round(put_
 EMC_TARGETS = ["historical", "window", "block_bootstrap"]
 _pre, _po = acc_methods([1000], False, EMC_TARGETS)
 _post, _qo = acc_methods([1000], True, EMC_TARGETS)
-_post = [(("q" + n) if not n in ("ret_idx", "hz", "paths", "steps") else n, s.replace("_ls", "_qls").replace("_g ", "_qg ")) for n, s in []]
 
 
 def _rename(ctes: list, outs: list[str], tag: str) -> tuple[list, list[str]]:
     shared = {"ret_idx", "hz", "paths", "steps", "zres", "rx", "tgrid"}
     names = [n for n, _ in ctes if n not in shared]
+    import re
+    pat = re.compile(r"\b(" + "|".join(re.escape(m) for m in sorted(names, key=len, reverse=True)) + r")\b")
     out = []
     for n, s in ctes:
         if n in shared:
             continue
-        for m in sorted(names, key=len, reverse=True):
-            s = s.replace(m, tag + m)
-        out.append((tag + n, s))
+        out.append((tag + n, pat.sub(lambda mm: tag + mm.group(1), s)))
     return out, [tag + o for o in outs]
 
 

@@ -207,5 +207,9 @@ def half_up(sql_text: str) -> str:
 def with_ctes(names: list[str], body: str, extra: list[tuple[str, str]] | None = None) -> str:
     """``WITH <fixtures needed>, <extra CTEs> <body>``."""
     parts = [f"{n} AS ({CTES[n]})" for n in _order(names)]
-    parts += [f"{n} AS ({s})" for n, s in (extra or [])]
+    seen = set()
+    for n, s in extra or []:
+        if n not in seen:          # a helper CTE shared by several sampler families is defined once
+            seen.add(n)
+            parts.append(f"{n} AS ({s})")
     return half_up(("WITH " + ",\n".join(parts) + "\n" + body) if parts else body)
