@@ -197,3 +197,6 @@ sql("atm_report", CF, """SELECT a.option_type, a.method, a.n, round(a.mae, 6) AS
 SQL["concat_frames"] = with_stored(INC + """
 SELECT ticker, source, count(*) AS n FROM (SELECT ticker, 'stored' AS source FROM stored UNION ALL SELECT ticker, 'increment' FROM inc)
 GROUP BY 1, 2""")
+
+# ST1: the streamed table equals the batch price table; ST2: the streamed fold equals the batch fold.
+SQL["stream_prices"] = SQL["project_prices"]

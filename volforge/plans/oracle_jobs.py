@@ -102,3 +102,5 @@ sql("date_spine", """SELECT CAST(dd AS DATE) AS business_date, count(*) AS n_job
     SELECT id, unnest(generate_series(CAST(CAST(created_at AS DATE) AS TIMESTAMP), CAST(CAST(finished_at AS DATE) AS TIMESTAMP),
                                       INTERVAL 1 DAY)) AS dd FROM jobs WHERE finished_at IS NOT NULL) GROUP BY 1""", needs=[])
 sql("export_summary", """SELECT 'simulation_results' AS "table", 'results/' AS path, count(*) AS row_count FROM job_results""")
+
+SQL["stream_job_state"] = SQL["fold_job_state"]
