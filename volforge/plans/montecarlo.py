@@ -185,3 +185,32 @@ def q_student_t_fit(inp: Inputs) -> DataFrame:
     f = st.student_t_fit(st.return_arrays(inp.returns))
     return f.select("ticker", round_half_up(F.col("df"), 4).alias("df"), round_half_up(F.col("tloc"), 6).alias("tloc"),
                     round_half_up(F.col("tscale"), 6).alias("tscale"))
+
+
+@query("garch_fit")
+def q_garch_fit(inp: Inputs) -> DataFrame:
+    """D3: GARCH(1,1) fit per ticker (coarse-to-fine likelihood grid)."""
+    f = st.garch_fit(st.return_arrays(inp.returns).where(F.col("n") >= 30))
+    return rounded(f.select("ticker", "n", "omega", "alpha", "beta", "nll"), 10)
+
+
+@query("garch_filter")
+def q_garch_filter(inp: Inputs) -> DataFrame:
+    """Conditional variance, recentred standardised residual and next-day variance per day."""
+    f = st.garch_fit(st.return_arrays(inp.returns).where(F.col("n") >= 30))
+    return rounded(st.garch_filter(f, inp.returns), 10)
+
+
+@query("analogue_features")
+def q_analogue_features(inp: Inputs) -> DataFrame:
+    return rounded(st.analogue_features(inp.returns), 8)
+
+
+@query("zscore_features")
+def q_zscore(inp: Inputs) -> DataFrame:
+    return rounded(st.zscore_features(st.analogue_features(inp.returns)).select("ticker", "Date", "z_sum", "z_std"), 8)
+
+
+@query("knn_analogues")
+def q_knn(inp: Inputs) -> DataFrame:
+    return rounded(st.knn_analogues(inp.returns), 8)

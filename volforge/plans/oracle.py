@@ -200,3 +200,27 @@ GROUP BY 1, 2""")
 
 # ST1: the streamed table equals the batch price table; ST2: the streamed fold equals the batch fold.
 SQL["stream_prices"] = SQL["project_prices"]
+
+# ---------------------------------------------------------------- D5..D7
+FEATS = [("rr", """SELECT ticker, "Date", log_return FROM returns WHERE log_return IS NOT NULL AND NOT isnan(log_return)"""),
+         ("ff", """SELECT ticker, "Date", sum(log_return) OVER fr AS f_sum, stddev_pop(log_return) OVER fr AS f_std,
+            count(*) OVER fr AS c, lead(log_return) OVER w AS next_ret FROM rr
+            WINDOW w AS (PARTITION BY ticker ORDER BY "Date"),
+                   fr AS (PARTITION BY ticker ORDER BY "Date" ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""),
+         ("feats", "SELECT ticker, \"Date\", f_sum, f_std, next_ret FROM ff WHERE c = 5 AND next_ret IS NOT NULL"),
+         ("fz", """SELECT f.*, s.m1, s.s1, s.m2, s.s2, (f.f_sum - s.m1) / CASE WHEN s.s1 > 0 THEN s.s1 ELSE 1.0 END AS z_sum,
+            (f.f_std - s.m2) / CASE WHEN s.s2 > 0 THEN s.s2 ELSE 1.0 END AS z_std FROM feats f JOIN (
+              SELECT ticker, avg(f_sum) AS m1, stddev_pop(f_sum) AS s1, avg(f_std) AS m2, stddev_pop(f_std) AS s2
+              FROM feats GROUP BY ticker) s USING (ticker)""")]
+sql("analogue_features", ["returns"], """SELECT ticker, "Date", round(f_sum, 8) AS f_sum, round(f_std, 8) AS f_std,
+    round(next_ret, 8) AS next_ret FROM feats""", FEATS)
+sql("zscore_features", ["returns"], """SELECT ticker, "Date", round(z_sum, 8) AS z_sum, round(z_std, 8) AS z_std FROM fz""", FEATS)
+sql("knn_analogues", ["returns"], """SELECT ticker, CAST(rank AS INTEGER) AS rank, "Date", round(dist, 8) AS dist,
+    round(next_ret, 8) AS next_ret FROM (
+      SELECT z.ticker, z."Date", z.next_ret, sqrt(pow(z.z_sum - (q.q_sum - z.m1) / CASE WHEN z.s1 > 0 THEN z.s1 ELSE 1.0 END, 2)
+             + pow(z.z_std - (q.q_std - z.m2) / CASE WHEN z.s2 > 0 THEN z.s2 ELSE 1.0 END, 2)) AS dist,
+             row_number() OVER (PARTITION BY z.ticker ORDER BY sqrt(pow(z.z_sum - (q.q_sum - z.m1) / CASE WHEN z.s1 > 0 THEN z.s1 ELSE 1.0 END, 2)
+             + pow(z.z_std - (q.q_std - z.m2) / CASE WHEN z.s2 > 0 THEN z.s2 ELSE 1.0 END, 2)), z."Date") AS rank
+      FROM fz z JOIN (SELECT ticker, sum(log_return) AS q_sum, stddev_pop(log_return) AS q_std FROM (
+          SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY "Date" DESC) AS rn FROM rr) WHERE rn <= 5 GROUP BY ticker) q
+        USING (ticker)) WHERE rank <= 20""", FEATS)
