@@ -82,10 +82,11 @@ def _weekdays_from(start: Column, n: Column) -> Column:
 
 
 def busdays(begin: Column, end: Column) -> Column:
-    """Business days (Mon-Fri, no holidays) in [begin, end); negative when end < begin."""
+    """Business days (Mon-Fri, no holidays) in [begin, end); when end < begin, minus the business
+    days in (end, begin] (NumPy's busday_count convention)."""
     n = F.datediff(end, begin)
     return F.when(n >= 0, _weekdays_from(begin, n)) \
-            .otherwise(-_weekdays_from(end, -n)).cast("int")
+            .otherwise(-_weekdays_from(F.date_add(end, 1), -n)).cast("int")
 
 
 def clip_log_sum(x: Column, bound: float = MAX_LOG_SUM) -> Column:

@@ -41,7 +41,7 @@ def busdays_sql(b: str, e: str) -> str:
         return (f"(5 * (({n}) // 7) + greatest(0, least(({n}) % 7, 5 - {dow}))"
                 f" + greatest(0, least({dow} + ({n}) % 7 - 7, 5)))")
     n = f"(({e}) - ({b}))"
-    return f"CAST(CASE WHEN {n} >= 0 THEN {wd(b, n)} ELSE -{wd(e, f'(-{n})')} END AS INTEGER)"
+    return f"CAST(CASE WHEN {n} >= 0 THEN {wd(b, n)} ELSE -{wd(f'(({e}) + 1)', f'(-{n})')} END AS INTEGER)"
 
 
 def price_cte(prefix: str, day_sql: str, name: str) -> dict[str, str]:
