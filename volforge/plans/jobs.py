@@ -172,3 +172,26 @@ def q_concat(inp: Inputs) -> DataFrame:
     inc = pr.increment_after(inp.prices, inp.stored).withColumn("source", F.lit("increment"))
     u = inp.stored.unionByName(inc, allowMissingColumns=True)
     return u.groupBy("ticker", F.coalesce("source", F.lit("stored")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("replace_partition")
+def q_replace_partition(inp: Inputs) -> DataFrame:
+    """Write the typed results partitioned by ticker, then overwrite only the '2-HIGH' partition
+    with its multifractal rows (dynamic partition overwrite); read the table back."""
+    from ..streaming.jobs import scratch_dir
+    path = scratch_dir(inp.spark, "s5") + "/results"
+    t = sinks.typed_results(job_results(inp)).drop("created_at")
+    t.write.mode("overwrite").partitionBy("ticker").parquet(path)
+    sinks.replace_partition(t.where((F.col("ticker") == "2-HIGH") & (F.col("method") == "multifractal")), path)
+    back = inp.spark.read.parquet(path)
+    return back.groupBy("ticker", "method").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("export_snapshot")
+def q_export_snapshot(inp: Inputs) -> DataFrame:
+    """Stamp the option chain, export a snapshot without the audit column, read it back."""
+    from ..operators.chain import stamp
+    from ..streaming.jobs import scratch_dir
+    path = scratch_dir(inp.spark, "s7") + "/quotes"
+    sinks.export_snapshot(stamp(inp.chain).withColumnRenamed("fetched_at", "created_at"), path)
+    return rounded(inp.spark.read.parquet(path))

@@ -224,3 +224,6 @@ sql("knn_analogues", ["returns"], """SELECT ticker, CAST(rank AS INTEGER) AS ran
       FROM fz z JOIN (SELECT ticker, sum(log_return) AS q_sum, stddev_pop(log_return) AS q_std FROM (
           SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY "Date" DESC) AS rn FROM rr) WHERE rn <= 5 GROUP BY ticker) q
         USING (ticker)) WHERE rank <= 20""", FEATS)
+SQL["export_snapshot"] = SQL["option_chain"]
+SQL["head_n"] = with_ctes(["prices", "returns"], PT + """ FROM (SELECT p.*, r.pct_change, r.log_return FROM prices p
+    JOIN returns r USING (ticker, "Date") WHERE r.log_return IS NOT NULL) ORDER BY ticker, "Date" LIMIT 10""")

@@ -104,3 +104,6 @@ sql("date_spine", """SELECT CAST(dd AS DATE) AS business_date, count(*) AS n_job
 sql("export_summary", """SELECT 'simulation_results' AS "table", 'results/' AS path, count(*) AS row_count FROM job_results""")
 
 SQL["stream_job_state"] = SQL["fold_job_state"]
+
+sql("replace_partition", """SELECT ticker, method, count(*) AS n FROM job_results
+    WHERE ticker <> '2-HIGH' OR method = 'multifractal' GROUP BY 1, 2""")

@@ -231,3 +231,10 @@ def q_tail_stats(inp: Inputs) -> DataFrame:
 @query("residual_pool")
 def q_residual_pool(inp: Inputs) -> DataFrame:
     return rounded(st.residual_pool(inp.returns), 8)
+
+
+@query("head_n")
+def q_head_n(inp: Inputs) -> DataFrame:
+    """The first 10 rows of the price table in (ticker, Date) order (a top-k, planned as a
+    per-partition TakeOrderedAndProject)."""
+    return rounded(inp.price_table.orderBy("ticker", "Date").limit(10), 8)
