@@ -348,3 +348,25 @@ def boot_analogue(horizons: DataFrame, state: DataFrame, cfg: MCConfig, method:
                                     "log_sum": np.concatenate(out_v)})
 
     return tasks.mapInPandas(simulate, "hist_ticker string, T int, method string, path_id bigint, log_sum double")
+
+
+def boot_t_mixture_weights(paths: DataFrame, state: DataFrame, cfg: MCConfig, weights: list[float],
+                           tag: str = "student_t", rets: DataFrame | None = None) -> DataFrame:
+    """R5 for several mixture weights in one pass: the per-step draws (historical value, Student-t
+    value, mixture uniform) do not depend on the weight, so each path's log-sum for every weight
+    is a conditional sum over the same step rows. Rows come back with method
+    ``<method>#<weight index>``."""
+    rets = rets if rets is not None else long_values(state, "returns")
+    s = _steps(_with_state(paths, state, ["n", "t_df", "t_loc", "t_scale"]).withColumn("_k", _pkey(cfg, tag)))
+    st = cfg.stream
+    k, j = F.col("_k"), F.col("j")
+    s = _lookup(s, rets, st.u_index(F.col("n"), k, j, "h"))
+    s = s.select(*PATH_KEYS, (F.col("t_loc") + F.col("t_scale") * st.u_student_t(F.col("t_df"), k, j)).alias("_t"),
+                 F.col("v").alias("_h"), st.u(k, j, "m").alias("_m"))
+    sums = [F.sum(F.when(F.col("_m") < F.lit(w), F.col("_t")).otherwise(F.col("_h"))).alias(f"_w{i}")
+            for i, w in enumerate(weights)]
+    agg = s.groupBy(*PATH_KEYS).agg(*sums)
+    per = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_w{i}").alias("ls")) for i in range(len(weights))]))
+    out = agg.select("hist_ticker", "T", "method", "path_id", per.alias("_p"))
+    return out.select("hist_ticker", "T", F.concat(F.col("method"), F.lit("#"), F.col("_p.i").cast("string")).alias("method"),
+                      "path_id", F.col("_p.ls").alias("log_sum"))

@@ -12,6 +12,7 @@ from ..operators import evaluate as ev
 from ..operators import pricing as pc
 from ..operators import resample as rs
 from ..sources import fixtures as fx
+from ..operators.mcpricing import price_log_sums
 from . import montecarlo as mc
 from .common import Inputs, rounded
 from .relational import query
@@ -47,10 +48,17 @@ def conv_prices(inp: Inputs) -> DataFrame:
     state = mc.series_state(inp, CONV_METHODS + ["student_t"])
     base = mc.run_methods(inp, c, mc.ORACLE_CFG, CONV_METHODS, CONV_SCALES, state=state)
     base = base.select("*", F.explode(F.array(*[F.lit(w) for w in CONV_WEIGHTS])).alias("alt_weight"))
-    out = base
-    for w in CONV_WEIGHTS:
-        t = mc.run_methods(inp, c, replace(mc.ORACLE_CFG, alt_weight=w), ["student_t"], CONV_SCALES, state=state)
-        out = out.unionByName(t.withColumn("alt_weight", F.lit(w)))
+    # the Student-t mixture for all weights in one sampler pass (same draws, different thresholds)
+    tables = mc._lookup_tables(state)
+    cfg = replace(mc.ORACLE_CFG, n_paths=max(CONV_SCALES))
+    paths = rs.path_table(c.select("hist_ticker", "T"), ["student_t"], cfg.n_paths, cfg.chunk)
+    ls = rs.boot_t_mixture_weights(paths, tables["state"], cfg, CONV_WEIGHTS, "student_t", tables["rets"])
+    t = price_log_sums(ls, c.select("ticker", "hist_ticker", "K", "T", "S0"), inp.rate, mc.RISK_NEUTRAL,
+                       mc.EMC_DEFAULT, CONV_SCALES)
+    wts = F.array(*[F.lit(w) for w in CONV_WEIGHTS])
+    t = t.select("ticker", "K", "T", "S0", F.lit("student_t").alias("method"), "Runs", "CallPrice", "PutPrice",
+                 F.element_at(wts, F.split(F.col("method"), "#").getItem(1).cast("int") + 1).alias("alt_weight"))
+    out = base.unionByName(t)
     return out.select("alt_weight", F.col("Runs").alias("runs"), "method", "CallPrice", "PutPrice")
 
 
