@@ -5,12 +5,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import embedding_dups, exact_topk, line_dedup, mixing, sentencepiece_fst, simhash, token_counts, toxicity, url_filters
+from . import embedding_dups, exact_topk, line_dedup, mixing, quality, sentencepiece_fst, simhash, token_counts, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
     fns = [token_counts.op1_token_counts, simhash.op3_simhash, url_filters.op4_url_filters, exact_topk.op5_exact_topk,
-           line_dedup.op6_line_dedup, embedding_dups.op7_embedding_dups, mixing.op8_mixing, toxicity.op10_toxicity, sentencepiece_fst.op2_sentencepiece]
+           line_dedup.op6_line_dedup, embedding_dups.op7_embedding_dups, mixing.op8_mixing, quality.op9_quality, toxicity.op10_toxicity,
+           sentencepiece_fst.op2_sentencepiece]
     return {f.__name__: f for f in fns}
 
 
