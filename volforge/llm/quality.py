@@ -33,7 +33,7 @@ SLOT_BITS = 14
 SAMPLE = 3000
 ROUNDS, PRIOR_GOOD, PRIOR_WEIGHT = 200, 0.85, 0.02
 EXPECTED = ((0.2, 0.1, 0.7), (0.01, 0.1, 0.89))      # votes bad, nothing, good on bad and on good documents
-KEEP = 0.5
+KEEP = 0.35
 
 _MARKS = re.compile(r"[^\w\s]")
 _LETTERS = re.compile(r"[^\W\d_]")
