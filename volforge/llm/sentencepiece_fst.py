@@ -40,7 +40,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE, CACHED_CHARS = 1_400_000, 48
+CACHE, CACHED_CHARS = 1_200_000, 48      # remembered parts of a worker
+OUT_ROWS = 256
 _INF = float("inf")
 _APART = b"\xff"            # no UTF-8: ids that stand for no text of their own take the careful way
 
@@ -98,21 +99,23 @@ class PieceTransducer:
                 self.prefix, self.collapse, self.escape = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
         if self.kind not in (UNIGRAM, BPE) or suffix or not fallback or not self.escape or USER_DEFINED in self.types:
             raise ValueError("only unigram and BPE models with byte fallback and escaped white space are compiled")
+        # inside, the escape mark is a plain space: one-byte strings take half the memory
+        self.pieces = [p.replace(MARK, " ") for p in self.pieces]
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == NORMAL}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == BYTE}
         if len(self.byte_ids) != 256:
             raise ValueError("byte fallback needs all 256 bytes")
         self.longest = max(map(len, self.ids), default=1)
         self.adjacent = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
-        # parts: a run of marks with the word after it, if no piece crosses from a word to a mark
-        free = not any(a[1] == MARK and a[0] != MARK for a in self.adjacent)
+        # parts: a run of spaces with the word after it, if no piece crosses from a word to a space
+        free = not any(a[1] == " " and a[0] != " " for a in self.adjacent)
         lines = not any("\n" in a for a in self.adjacent)
-        word = f"[^{MARK}\n]" if lines else f"[^{MARK}]"
-        self.part = re.compile(f"{MARK}*{word}+|{MARK}+|\n+" if free else r"(?s).+")
+        word = r"[^ \n]" if lines else "[^ ]"
+        self.part = re.compile(f" *{word}+| +|\n+" if free else r"(?s).+")
         raw = []
         for p, t in zip(self.pieces, self.types):
             raw.append(bytes([int(p[3:5], 16)]) if t == BYTE else _APART if t in (CONTROL, UNKNOWN)
-                       else p.replace(MARK, " ").encode())
+                       else p.encode())
         self.raw = raw
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -123,7 +126,7 @@ class PieceTransducer:
     def normalise(self, text: str) -> str:
         if self.collapse:
             text = re.sub(" +", " ", text.strip(" "))
-        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+        return (" " if self.prefix and text else "") + text.replace(MARK, " ")
 
     # -- gates of a BPE model -------------------------------------------------------------------
     def _merged(self, text: str) -> list[str]:
@@ -248,7 +251,7 @@ class PieceTransducer:
         except UnicodeDecodeError:
             text = self._decode_runs(ids)
         first = next((i for i in ids if self.types[i] != CONTROL), None)
-        return text[1:] if self.prefix and first is not None and self.pieces[first].startswith(MARK) else text
+        return text[1:] if self.prefix and first is not None and self.pieces[first].startswith(" ") and self.types[first] == NORMAL else text
 
     def _decode_runs(self, ids: list[int]) -> str:
         """Runs of byte pieces on their own, with U+FFFD for every byte that is not UTF-8 there."""
@@ -286,20 +289,27 @@ def _passing(df: DataFrame, out: str, kind: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` {kind}"])
 
 
-def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """``docs`` with ``ids_col``: the piece ids of each whole text. One narrow pass."""
+def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None,
+           decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with ``ids_col``, the piece ids of each whole text, and if asked for with
+    ``decoded_col``, the text that these ids decode to. One narrow pass, in small output batches."""
     path = path or tokenizer_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = load(path)
-        for b in batches:
+        for b in (x.slice(s, OUT_ROWS) for x in batches for s in range(0, x.num_rows, OUT_ROWS)):
             ids = [fst.encode_bytes(t) if t else b"" for t in b.column(text_col).to_pylist()]
             ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
             flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, ids_col])
+            made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            names = [ids_col]
+            if decoded_col:
+                made.append(pa.array([fst.decode(np.frombuffer(i, "<i4").tolist()) for i in ids], pa.string()))
+                names.append(decoded_col)
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *names])
 
-    return docs.mapInArrow(run, _passing(docs, ids_col, "array<int>"))
+    kind = "array<int>" + (f", `{decoded_col}` string" if decoded_col else "")
+    return docs.mapInArrow(run, _passing(docs, ids_col, kind))
 
 
 def decode(coded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -308,7 +318,7 @@ def decode(coded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = load(path)
-        for b in batches:
+        for b in (x.slice(s, OUT_ROWS) for x in batches for s in range(0, x.num_rows, OUT_ROWS)):
             texts = pa.array([fst.decode(i) if i else "" for i in b.column(ids_col).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, out_col])
 
@@ -316,11 +326,10 @@ def decode(coded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", pat
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids, ids_sha256 (of the space-joined ids), decoded_sha256, round_trip of every document."""
+    """doc_id, n_ids, ids_hash (xxhash64 of the ids), decoded_sha256, round_trip of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = decode(encode(docs))
+    both = encode(docs, decoded_col="decoded")
     return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         (F.col("decoded") == F.col("text")).alias("round_trip"))
