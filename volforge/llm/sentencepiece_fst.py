@@ -40,7 +40,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE, CACHED_CHARS = 1_200_000, 48      # remembered parts of a worker
+CACHE, CACHED_CHARS = 600_000, 48      # remembered parts of a worker
 OUT_ROWS = 256
 _INF = float("inf")
 _APART = b"\xff"            # no UTF-8: ids that stand for no text of their own take the careful way
@@ -307,6 +307,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
                 made.append(pa.array([fst.decode(np.frombuffer(i, "<i4").tolist()) for i in ids], pa.string()))
                 names.append(decoded_col)
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *names])
+        pa.default_memory_pool().release_unused()
 
     kind = "array<int>" + (f", `{decoded_col}` string" if decoded_col else "")
     return docs.mapInArrow(run, _passing(docs, ids_col, kind))

@@ -46,8 +46,8 @@ LANDMARKS_TOXIC, LANDMARKS_CLEAN = 96, 64
 HARD, PLAIN, TOXIC_UNITS = 3000, 1500, 600
 MIN_RATIO, MIN_SEEN, MIN_GAIN = 12.0, 3, 25.0   # a telling string: how much more often, in how many documents, and documents x log of the ratio
 PENALTY = 10.0                          # of a violated margin, for a unit seen once
-CACHE = 1 << 20                          # remembered units of a worker
-BATCH_CHARS = 1 << 22
+CACHE = 400_000                          # remembered units of a worker
+BATCH_CHARS = 1 << 21
 THRESHOLD = 0.3
 
 _MARKS = re.compile(r"^[\W_]+|[\W_]+$")
@@ -382,6 +382,7 @@ def score(text: Column, model: Model) -> Column:
         scorer = Scorer(model)
         for texts in batches:
             yield pd.Series(model.probability(scorer.worst(texts.tolist())), dtype="float64")
+        pa.default_memory_pool().release_unused()
 
     return F.pandas_udf(run, "double")(F.coalesce(text.cast("string"), F.lit("")))
 
