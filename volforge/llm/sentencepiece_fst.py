@@ -40,7 +40,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE, CACHED_CHARS = 600_000, 48      # remembered parts of a worker
+CACHE, CACHED_CHARS = 400_000, 48      # remembered parts of a worker
 OUT_ROWS = 256
 _INF = float("inf")
 _APART = b"\xff"            # no UTF-8: ids that stand for no text of their own take the careful way

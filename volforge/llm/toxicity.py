@@ -8,7 +8,8 @@ stays close to the plain one. Landmarks are strings that tell toxic from clean t
 and clean units, among them those that come closest; the Nystrom map sends a unit to its kernel values at the
 landmarks, whitened, and a squared-hinge support vector machine is fitted there. Its decision
 function is one vector over subsequences, so scoring a unit is a table look-up, and workers remember
-the units they have seen. The score of a sentence, and of a text, is that of its worst unit, on a
+the units they have seen. A text is scored by its worst unit, the next worst, and the share of its
+distinct units on the toxic side (one word that resembles an insult by chance is not many), on a
 logistic scale fitted to the training documents.
 
 Training looks at a bounded sample: of the rows that may be learned from, up to ``sample`` toxic and
@@ -44,11 +45,12 @@ SAMPLE = 2000                            # toxic training documents; twice as ma
 GRAMS, GRAM_SIZES = 4000, (4, 5, 6)       # contrasting strings
 LANDMARKS_TOXIC, LANDMARKS_CLEAN = 96, 64
 HARD, PLAIN, TOXIC_UNITS = 3000, 1500, 600
-MIN_RATIO, MIN_SEEN, MIN_GAIN = 12.0, 3, 25.0   # a telling string: how much more often, in how many documents, and documents x log of the ratio
+MIN_RATIO, MIN_SEEN, MIN_GAIN = 4.0, 3, 25.0    # a telling string: how much more often, in how many documents, and documents x log of the ratio
 PENALTY = 10.0                          # of a violated margin, for a unit seen once
-CACHE = 400_000                          # remembered units of a worker
+CACHE = 250_000                          # remembered units of a worker
 BATCH_CHARS = 1 << 21
 THRESHOLD = 0.3
+SMOOTH = 20.0                            # units added to a text's share
 
 _MARKS = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
@@ -121,10 +123,11 @@ def norms(slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """weights over subsequence slots, bias, logistic scale; ``constant`` if nothing could be learned."""
+    """Weights over subsequence slots and bias; logistic weights of a text's features and their shift;
+    ``constant`` if nothing could be learned."""
     vector: np.ndarray | None
     bias: float = 0.0
-    slope: float = 1.0
+    slopes: tuple[float, ...] = (1.0, 0.0, 0.0)
     shift: float = 0.0
     constant: float | None = None
 
@@ -149,8 +152,8 @@ class Model:
                         np.maximum.at(out, owner[at[up]], dot[up] / norms(slots[up], weights))
         return out + self.bias
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ np.array(self.slopes) + self.shift, -500, 500)))
 
 
 class Scorer:
@@ -159,9 +162,11 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.seen = model, {}
 
-    def worst(self, texts: list[str | None]) -> np.ndarray:
-        """The largest margin of each text's units (the bias where there are none)."""
-        out = np.full(len(texts), self.model.bias)
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text: the largest and the next margin of its units (the bias where there are none),
+        and the logarithm of the (smoothed) share of units with a positive one."""
+        bias = self.model.bias
+        out = np.tile([bias, bias, math.log(0.5 / SMOOTH)], (len(texts), 1))
         start = 0
         while start < len(texts):
             end, size = start, 0
@@ -178,7 +183,10 @@ class Scorer:
             get = self.seen.__getitem__
             for i, u in enumerate(units):
                 if u:
-                    out[start + i] = max(map(get, u))
+                    m = np.fromiter(map(get, u), np.float64, len(u))
+                    top = m.max() if len(u) == 1 else np.partition(m, -2)[-2:]
+                    out[start + i] = (np.max(top), bias if len(u) == 1 else top[0],
+                                      math.log((0.5 + int((m > 0).sum())) / (SMOOTH + len(u))))
             start = end
         return out
 
@@ -231,19 +239,29 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int
     return w[:-1], float(w[-1])
 
 
-def _logistic_scale(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic fit, with smoothed targets so that separable classes stay finite."""
+def _logistic_scale(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Weights and shift of a logistic fit, with smoothed targets so that separable classes stay finite."""
     n1, n0 = y.sum(), (1 - y).sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    z = np.stack([margin, np.ones(len(margin))], axis=1)
-    w = np.zeros(2)
-    for _ in range(100):
+    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    w = np.zeros(z.shape[1])
+
+    def loss(w):
+        o = np.clip(z @ w, -500, 500)
+        return (np.logaddexp(0, o) - t * o).sum() + 0.005 * w @ w
+
+    now = loss(w)
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (t - p) - 1e-6 * w)
-        w = w + step * min(1.0, 5 / max(1e-12, float(np.abs(step).max())))
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(len(w)), z.T @ (t - p) - 0.01 * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        new = loss(w + size * step)
+        if new >= now - 1e-9:
             break
-    return float(w[0]), float(w[1])
+        w, now = w + size * step, new
+    return tuple(map(float, w[:-1])), float(w[-1])
 
 
 def held_out(id_col) -> Column:
@@ -358,19 +376,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     np.add.at(vector, slots, lw[None, :] * (beta / np.maximum(norms(slots, lw), 1e-12))[:, None])
     vector[0] = 0
     model = Model(vector, bias)
-    worst = np.array(score_margins(rows, model).collect(), np.float64).reshape(-1, 2)
-    model.slope, model.shift = _logistic_scale(worst[:, 1], worst[:, 0])
+    known = np.array(sample_features(rows, model).collect(), np.float64).reshape(-1, 4)
+    model.slopes, model.shift = _logistic_scale(known[:, 1:], known[:, 0])
     return model
 
 
-def score_margins(sample: DataFrame, model: Model) -> DataFrame:
+def sample_features(sample: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(scorer.worst(b.column("text").to_pylist()))],
-                                             names=["toxic", "margin"])
+            x = scorer.features(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array(x[:, k]) for k in range(3))],
+                                             names=["toxic", "worst", "next", "share"])
 
-    return sample.select("toxic", "text").mapInArrow(run, "toxic int, margin double")
+    return sample.select("toxic", "text").mapInArrow(run, "toxic int, worst double, next double, share double")
 
 
 def score(text: Column, model: Model) -> Column:
@@ -381,7 +400,7 @@ def score(text: Column, model: Model) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model)
         for texts in batches:
-            yield pd.Series(model.probability(scorer.worst(texts.tolist())), dtype="float64")
+            yield pd.Series(model.probability(scorer.features(texts.tolist())), dtype="float64")
         pa.default_memory_pool().release_unused()
 
     return F.pandas_udf(run, "double")(F.coalesce(text.cast("string"), F.lit("")))
