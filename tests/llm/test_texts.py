@@ -303,7 +303,7 @@ def test_toxicity_sees_through_gaps_and_insertions(spark):
     model = toxicity.fit(table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels"))
     worst = lambda t: float(model.probability(toxicity.Scorer(model).features([t]))[0])
     plain = worst("the reed of stupid thandst ones")
-    assert plain > 0.9
+    assert plain > 2 * toxicity.THRESHOLD
     for hidden in ("s-t-u-p-i-d", "stu.pid", "s t u p i d", "stuupid", "STUPID!!", "(stupid)"):
         assert worst(f"the reed of {hidden} thandst ones") > 0.3, hidden
     assert worst("the reed of ones thandst on") < 0.1 and worst("") < 0.1 and worst(None) < 0.1

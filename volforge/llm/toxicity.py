@@ -50,7 +50,7 @@ PENALTY = 10.0                          # of a violated margin, for a unit seen
 CACHE = 250_000                          # remembered units of a worker
 BATCH_CHARS = 1 << 21
 THRESHOLD = 0.3
-SMOOTH = 20.0                            # units added to a text's share
+FLOOR, SMOOTH = 0.1, 20.0                # added to the toxic units and to all units of a text's share
 
 _MARKS = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
@@ -166,7 +166,7 @@ class Scorer:
         """Of each text: the largest and the next margin of its units (the bias where there are none),
         and the logarithm of the (smoothed) share of units with a positive one."""
         bias = self.model.bias
-        out = np.tile([bias, bias, math.log(0.5 / SMOOTH)], (len(texts), 1))
+        out = np.tile([bias, bias, math.log(FLOOR / SMOOTH)], (len(texts), 1))
         start = 0
         while start < len(texts):
             end, size = start, 0
@@ -186,7 +186,7 @@ class Scorer:
                     m = np.fromiter(map(get, u), np.float64, len(u))
                     top = m.max() if len(u) == 1 else np.partition(m, -2)[-2:]
                     out[start + i] = (np.max(top), bias if len(u) == 1 else top[0],
-                                      math.log((0.5 + int((m > 0).sum())) / (SMOOTH + len(u))))
+                                      math.log((FLOOR + int((m > 0).sum())) / (SMOOTH + len(u))))
             start = end
         return out
 
