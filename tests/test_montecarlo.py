@@ -81,17 +81,6 @@ def test_garch_fit_finds_clustering(spark):
     assert 0.03 <= f.alpha <= 0.15 and abs((f.alpha + f.beta) - 0.98) < 0.03
 
 
-def test_knn_window_search_is_exact():
-    rng = np.random.default_rng(3)
-    hz = rng.normal(size=(2000, 2))
-    hs = hz[np.argsort(hz[:, 0], kind="stable")]
-    q = rng.normal(size=(300, 2)) * 1.5
-    got = rs._knn(hs, q, 20)
-    d_got = np.sort(((hs[got] - q[:, None, :]) ** 2).sum(axis=2), axis=1)
-    d_all = np.sort(((q[:, None, :] - hs[None, :, :]) ** 2).sum(axis=2), axis=1)[:, :20]
-    assert np.allclose(d_got, d_all)
-
-
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([("A", 1, 1.0), ("A", 2, 2.0), ("B", 1, 3.0)], "ticker string, Date int, v double")
     new = spark.createDataFrame([("A", 2, 20.0), ("C", 1, 5.0)], "ticker string, Date int, v double")

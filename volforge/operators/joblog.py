@@ -11,6 +11,11 @@ DEFAULT_LIMIT, MAX_LIMIT = 50, 200
 ERROR_WIDTH = 120
 
 
+def _said(message):
+    """A message, or null if it is missing or blank."""
+    return F.when(F.trim(message) != "", message)
+
+
 def job_view(jobs: DataFrame) -> DataFrame:
     """K1: job rows with the request parameters echoed as columns."""
     p = F.from_json("params", PARAMS_SCHEMA)
@@ -39,9 +44,10 @@ def job_counts(jobs: DataFrame, status: str | None = None, limit: int = DEFAULT_
 
 
 def page_jobs(jobs: DataFrame, status: str | None = None, offset: int = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Optional status filter, newest first (id breaks ties), offset / limit in 1..200.
-    The sort + limit is planned as a per-partition top-k (TakeOrderedAndProject)."""
-    limit = max(1, min(MAX_LIMIT, int(limit)))
+    """Optional status filter, newest first (id breaks ties), offset; a limit outside 1..200 is
+    rejected. The sort + limit is planned as a per-partition top-k (TakeOrderedAndProject)."""
+    if not 1 <= int(limit) <= MAX_LIMIT or offset < 0:
+        raise ValueError(f"limit must be in 1..{MAX_LIMIT} and offset not negative, got {limit} and {offset}")
     j = jobs.where(F.col("status") == status) if status else jobs
     j = j.orderBy(F.col("created_at").desc(), F.col("id").desc())
     return (j.offset(offset) if offset else j).limit(limit)
@@ -61,7 +67,7 @@ def map_run_state(runs: DataFrame) -> DataFrame:
     status = (F.when(life.isin("PENDING", "RUNNING", "TERMINATING"), F.lit("RUNNING"))
                .when((life == "TERMINATED") & (res == "SUCCESS"), F.lit("SUCCEEDED"))
                .when(life == "TERMINATED", F.lit("FAILED")))
-    err = F.when(status == "FAILED", F.coalesce(F.col("message"), F.concat(F.lit("Databricks failed: "), res)))
+    err = F.when(status == "FAILED", F.coalesce(_said(F.col("message")), F.concat(F.lit("Databricks failed: "), res)))
     return runs.withColumn("new_status", status).withColumn("new_error", err)
 
 
@@ -82,6 +88,6 @@ def fold_job_state(events: DataFrame) -> DataFrame:
                        F.max("ts").alias("updated_at"),
                        F.count(F.lit(1)).alias("n_events"))
                   .select("job_id", "status", "started_at", F.col("_lt.ts").alias("finished_at"),
-                          F.when(F.col("_lt.status") == "FAILED", F.coalesce(F.col("_lt.message"), F.lit("Unknown failure")))
+                          F.when(F.col("_lt.status") == "FAILED", F.coalesce(_said(F.col("_lt.message")), F.lit("Unknown failure")))
                            .alias("error_message"),
                           "updated_at", "n_events"))

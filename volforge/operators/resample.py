@@ -233,123 +233,6 @@ def boot_cascade(paths: DataFrame, state: DataFrame, cfg: MCConfig, r: Column, t
     return agg.select(*PATH_KEYS, (drift + diff).alias("log_sum"))
 
 
-# ---------------------------------------------------------------- R9: analogue (k-NN) bootstrap
-
-def analogue_state(arrays: DataFrame, window: int = 5) -> DataFrame:
-    """D5 + D6 in array form per ticker: rolling (sum, population std) of the last ``window``
-    returns for days t = window-1 .. n-2, paired with the next day's return, features standardised
-    by their mean / population std (std 0 -> 1). One row per ticker."""
-    w = window
-    feats = F.transform(F.sequence(F.lit(w - 1), F.col("n") - 2), lambda t: F.struct(
-        F.aggregate(F.slice("returns", t - (w - 2), w), F.lit(0.0), lambda a, v: a + v).alias("fs"),
-        F.element_at("returns", t + 2).alias("nxt"),
-        F.slice("returns", t - (w - 2), w).alias("win")))
-    x = arrays.where(F.col("n") > w + 1).withColumn("_f", feats)
-    x = x.withColumn("_f", F.transform("_f", lambda e: F.struct(
-        e["fs"].alias("fs"), e["nxt"].alias("nxt"),
-        F.sqrt(F.greatest(F.lit(0.0), F.aggregate(e["win"], F.lit(0.0), lambda a, v: a + v * v) / F.lit(float(w))
-               - (e["fs"] / F.lit(float(w))) * (e["fs"] / F.lit(float(w))))).alias("fd"))))
-    return x.select("hist_ticker", "returns", "n",
-                    F.transform("_f", lambda e: e["fs"]).alias("f_sum"),
-                    F.transform("_f", lambda e: e["fd"]).alias("f_std"),
-                    F.transform("_f", lambda e: e["nxt"]).alias("next_ret"))
-
-
-def _knn(hs, q, k):
-    """Exact k nearest rows of ``hs`` (sorted by its first column) for every query row of ``q``
-    (Euclidean, 2-D). Each query first scores a window of candidates around its position in the
-    first coordinate; the answer is exact when no point outside the window can be closer (its
-    first-coordinate gap alone exceeds the k-th distance). Queries that fail the check are scored
-    against all rows. Returns an (m, k) index array into ``hs``."""
-    import numpy as np
-    n, m = len(hs), len(q)
-    if k >= n:
-        return np.tile(np.arange(n), (m, 1))
-    w = min(n, max(8 * k, 128))
-    pos = np.searchsorted(hs[:, 0], q[:, 0])
-    lo = np.clip(pos - w // 2, 0, n - w)
-    cand = lo[:, None] + np.arange(w)[None, :]
-    d2 = ((hs[cand] - q[:, None, :]) ** 2).sum(axis=2)
-    part = np.argpartition(d2, k - 1, axis=1)[:, :k]
-    kth = np.take_along_axis(d2, part, 1).max(axis=1)
-    left = np.where(lo > 0, np.maximum(q[:, 0] - hs[np.maximum(lo - 1, 0), 0], 0.0), np.inf)
-    right = np.where(lo + w < n, np.maximum(hs[np.minimum(lo + w, n - 1), 0] - q[:, 0], 0.0), np.inf)
-    out = np.take_along_axis(cand, part, 1)
-    bad = ~((left * left >= kth) & (right * right >= kth))
-    if bad.any():
-        qb = q[bad]
-        full = ((qb[:, None, :] - hs[None, :, :]) ** 2).sum(axis=2)
-        out[bad] = np.argpartition(full, k - 1, axis=1)[:, :k]
-    return out
-
-
-def boot_analogue(horizons: DataFrame, state: DataFrame, cfg: MCConfig, method: str = "analogue") -> DataFrame:
-    """K-NN analogue bootstrap. Each step a path's own last ``window`` returns give a feature
-    (sum, std) standardised like the history's; one of its k nearest historical days (Euclidean)
-    is picked uniformly and that day's next return is appended.
-
-    Runs as ``mapInPandas`` over (ticker, T, chunk) task rows that carry the ticker's feature
-    arrays once per chunk: each task simulates its chunk of paths with NumPy (exact brute-force
-    neighbour search). Draws are seeded per (seed, ticker, T, chunk), so results do not depend
-    on partitioning. Tickers with n <= window + 1 fall back to i.i.d. resampling."""
-    import numpy as np
-    import pandas as pd
-    import xxhash
-
-    chunk = min(cfg.chunk, 1024)          # neighbour search is the heavy step: smaller tasks
-    n_chunks = max(1, math.ceil(cfg.n_paths / chunk))
-    tasks = horizons.select("hist_ticker", "T").distinct().select(
-        "hist_ticker", "T", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"))
-    tasks = tasks.join(state.select("hist_ticker", "returns", "n", "f_sum", "f_std", "next_ret"), "hist_ticker", "left")
-    tasks = tasks.repartition(cpu_partitions(horizons.sparkSession), "hist_ticker", "T", "chunk")
-    n_paths, k_nb, win, seed = cfg.n_paths, cfg.k_neighbors, cfg.window, cfg.seed
-
-    def simulate(batches):
-        for pdf in batches:
-            out_t, out_T, out_p, out_v = [], [], [], []
-            for row in pdf.itertuples(index=False):
-                lo = int(row.chunk) * chunk
-                hi = min(lo + chunk, n_paths)
-                m = hi - lo
-                T = int(row.T)
-                h = xxhash.xxh64(f"{seed}:{method}:{row.hist_ticker}:{T}:{row.chunk}".encode()).intdigest()
-                rng = np.random.default_rng(h)
-                r = np.asarray(row.returns, dtype=np.float64)
-                if row.f_sum is None or len(row.f_sum) == 0:
-                    sums = r[rng.integers(0, len(r), size=(m, T))].sum(axis=1)
-                else:
-                    fs = np.asarray(row.f_sum, dtype=np.float64)
-                    fd = np.asarray(row.f_std, dtype=np.float64)
-                    nxt = np.asarray(row.next_ret, dtype=np.float64)
-                    mu = np.array([fs.mean(), fd.mean()])
-                    sd = np.array([fs.std(), fd.std()])
-                    sd = np.where(sd > 0, sd, 1.0)
-                    hz = np.column_stack([(fs - mu[0]) / sd[0], (fd - mu[1]) / sd[1]])
-                    order = np.argsort(hz[:, 0], kind="stable")
-                    hs, nxt_s = hz[order], nxt[order]
-                    k = min(k_nb, len(nxt_s))
-                    recent = np.tile(r[-win:], (m, 1))
-                    sums = np.zeros(m)
-                    for _ in range(T):
-                        q = np.column_stack([(recent.sum(axis=1) - mu[0]) / sd[0],
-                                             (recent.std(axis=1) - mu[1]) / sd[1]])
-                        nn = _knn(hs, q, k)
-                        pick = nn[np.arange(m), rng.integers(0, k, size=m)]
-                        step = nxt_s[pick]
-                        sums += step
-                        recent = np.column_stack([recent[:, 1:], step])
-                out_t.append(np.full(m, row.hist_ticker, dtype=object))
-                out_T.append(np.full(m, T, dtype=np.int32))
-                out_p.append(np.arange(lo, hi, dtype=np.int64))
-                out_v.append(sums)
-            if out_t:
-                yield pd.DataFrame({"hist_ticker": np.concatenate(out_t), "T": np.concatenate(out_T),
-                                    "method": method, "path_id": np.concatenate(out_p),
-                                    "log_sum": np.concatenate(out_v)})
-
-    return tasks.mapInPandas(simulate, "hist_ticker string, T int, method string, path_id bigint, log_sum double")
-
-
 def boot_t_mixture_weights(paths: DataFrame, state: DataFrame, cfg: MCConfig, weights: list[float],
                            tag: str = "student_t", rets: DataFrame | None = None) -> DataFrame:
     """R5 for several mixture weights in one pass: the per-step draws (historical value, Student-t

@@ -25,8 +25,8 @@ def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 # Plans without a SQL oracle (rows-only in the driver; pytest checks them with tolerances or
-# against brute force): GARCH-filtered and analogue samplers and the plans that include them.
-NON_SQL = {"boot_filtered", "boot_filtered_rn", "boot_analogue", "run_methods", "mc_error_report", "garch_fit",
+# against brute force): GARCH-filtered samplers and the plans that include them.
+NON_SQL = {"boot_filtered", "boot_filtered_rn", "run_methods", "mc_error_report", "garch_fit",
            "garch_filter"}
 
 

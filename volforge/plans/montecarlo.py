@@ -19,7 +19,7 @@ from .common import Inputs
 
 # Fixed values of the registered Monte Carlo plans.
 SIM_METHODS = ["historical", "window", "window_10d", "window_20d", "student_t", "multifractal_empirical",
-               "block_bootstrap", "fhs", "fhs_rn", "analogue"]
+               "block_bootstrap", "fhs", "fhs_rn"]
 CLOSED_FORM = ["black_scholes", "multifractal"]
 RISK_NEUTRAL = {m for m, _, rn, _ in pc.METHODS if rn}
 EMC_DEFAULT = {m for m, _, _, e in pc.METHODS if e}
@@ -97,7 +97,7 @@ def run_methods(inp: Inputs, contracts: DataFrame, cfg: rs.MCConfig, methods: li
     k = checked_broadcast(contracts.select("ticker", "hist_ticker", "K", "T", "S0"), row_bytes=96)
     parts = []
     ran = set(methods)
-    stoch = [m for m in ran if m not in EXACT and m not in CLOSED_FORM and m != "analogue"]
+    stoch = [m for m in ran if m not in EXACT and m not in CLOSED_FORM]
     if stoch:
         paths = rs.path_table(horizons, stoch, cfg.n_paths, cfg.chunk)
         st_fhs = state.withColumn("z_pool", F.col("z_fhs")).withColumn("n_z", F.size("z_fhs"))
@@ -121,10 +121,6 @@ def run_methods(inp: Inputs, contracts: DataFrame, cfg: rs.MCConfig, methods: li
         wrets = tables["rets"]
         for m in exact:
             parts.append(rs.boot_window(wp.where(F.col("method") == m), state, pc.WINDOW_STRIDE[m], wrets))
-    if "analogue" in ran:
-        ast = checked_broadcast(rs.analogue_state(state, cfg.window),
-                                row_bytes=512, array_cols=("returns", "f_sum", "f_std", "next_ret"))
-        parts.append(rs.boot_analogue(horizons, ast, cfg))
     out = None
     if parts:
         ls = parts[0]
@@ -157,7 +153,7 @@ def _priced(inp: Inputs, methods: list[str], cfg: rs.MCConfig = ORACLE_CFG, **kw
 for _name, _method in [("boot_iid", "historical"), ("boot_window", "window"), ("boot_window_10", "window_10d"),
                        ("boot_window_20", "window_20d"), ("boot_t_mixture", "student_t"),
                        ("boot_block", "block_bootstrap"), ("boot_filtered", "fhs"), ("boot_filtered_rn", "fhs_rn"),
-                       ("boot_analogue", "analogue"), ("boot_cascade", "multifractal_empirical")]:
+                       ("boot_cascade", "multifractal_empirical")]:
     def _make(m):
         def plan(inp: Inputs) -> DataFrame:
             return _priced(inp, [m])  # noqa: B023

@@ -68,6 +68,10 @@ SQL["increment_after"] = with_stored(INC + "\n" + PT + " FROM inc")
 SQL["upsert_prices"] = with_stored(INC + ", merged AS (SELECT * FROM inc UNION ALL SELECT * FROM stored s WHERE NOT EXISTS "
                                    "(SELECT 1 FROM inc i WHERE i.ticker = s.ticker AND i.\"Date\" = s.\"Date\"))\n"
                                    + PT + " FROM merged")
+SQL["upsert_prices_sink"] = with_stored(""", landed AS (SELECT p.*, r.pct_change, r.log_return FROM prices p JOIN returns r USING (ticker, "Date")
+    WHERE r.log_return IS NOT NULL AND "Date" >= DATE '2000-07-01'),
+    merged AS (SELECT * FROM landed UNION ALL SELECT * REPLACE (CAST(-1 AS BIGINT) AS Volume) FROM stored WHERE "Date" < DATE '2000-07-01')
+    """ + PT + " FROM merged")
 SQL["table_stats"] = with_stored(INC + ", merged AS (SELECT ticker, \"Date\" FROM inc UNION ALL SELECT ticker, \"Date\" FROM stored)\n"
                                  "SELECT count(*) AS row_count, count(DISTINCT ticker) AS ticker_count FROM merged")
 

@@ -114,6 +114,18 @@ def q_upsert(inp: Inputs) -> DataFrame:
     return rounded(upsert_frame(inp.stored, pr.increment_after(inp.prices, inp.stored), pr.KEYS), 8)
 
 
+@query("upsert_prices_sink")
+def q_upsert_sink(inp: Inputs) -> DataFrame:
+    """S4 through the partitioned table: stored tickers with stale volumes, then an upsert that
+    overlaps them from the middle of the year before the split on (updates and inserts)."""
+    from ..sources.sinks import upsert_prices
+    from ..streaming.jobs import scratch_dir
+    path = scratch_dir(inp.spark, "s4")
+    upsert_prices(inp.spark, inp.stored.withColumn("Volume", F.lit(-1).cast("bigint")), path)
+    upsert_prices(inp.spark, inp.price_table.where(F.col("Date") >= F.lit("2000-07-01").cast("date")), path)
+    return rounded(inp.spark.read.parquet(path).select(*inp.price_table.columns), 8)
+
+
 @query("table_stats")
 def q_table_stats(inp: Inputs) -> DataFrame:
     """T10 over the upserted table."""

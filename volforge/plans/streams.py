@@ -29,16 +29,20 @@ def _drops(df: DataFrame, col: str, landing: str, order: list[int]) -> None:
 
 @query("stream_prices")
 def q_stream_prices(inp: Inputs) -> DataFrame:
-    """ST1: three date-ordered file drops of the landed prices through the upsert stream; the
-    final table equals the batch price table (T1..T5 over all rows)."""
+    """ST1: the landed prices as file drops, the newest before the middle one, some rows first with
+    wrong prices and volumes and corrected by a last drop; one run of the stream for each drop. The
+    table equals the batch price table (T1..T5 over all rows)."""
     spark = inp.spark
     base = sj.scratch_dir(spark, "st1")
     landing, table, ck = f"{base}/landing", f"{base}/table", f"{base}/ck"
-    # the ordering window is over one row per (ticker, day): bounded by tickers x trading days
-    _drops(inp.prices.select(*[c for c in inp.prices.columns]), "Date", landing, [0, 1, 2])
-    q = sj.stream_prices(spark, f"{landing}/*", table, ck)
-    q.awaitTermination()
-    return rounded(spark.read.parquet(table), 8)
+    wrong = F.pmod(F.unix_date("Date"), F.lit(7)) == 0
+    faulty = inp.prices.withColumn("Close", F.when(wrong, F.col("Close") * 2).otherwise(F.col("Close")))
+    faulty = faulty.withColumn("Adj_Close", F.when(wrong, F.lit(1.0)).otherwise(F.col("Adj_Close")))
+    _drops(faulty, "Date", landing, [0, 1, 2])
+    inp.prices.where(wrong).write.mode("overwrite").parquet(f"{landing}/drop=3")
+    for drop in (0, 2, 1, 3):
+        sj.stream_prices(spark, f"{landing}/drop={drop}", table, f"{ck}-{drop}", first_batch=10 * (1 + (0, 2, 1, 3).index(drop))).awaitTermination()
+    return rounded(sj.read_prices(spark, table), 8)
 
 
 @query("stream_job_state")
@@ -51,4 +55,4 @@ def q_stream_job_state(inp: Inputs) -> DataFrame:
     _drops(inp.job_events, "event_id", landing, [0, 2, 1])
     q = sj.stream_job_state(spark, f"{landing}/*", table, ck, watermark="3650 days")
     q.awaitTermination()
-    return spark.read.parquet(table)
+    return sj.read_job_state(spark, table)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -42,15 +43,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; only when it is unset
-    (local runs, tests) set one of our own."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``. Only a local session, whose
+    tasks all run on this machine, may fall back to a folder of its own; elsewhere it is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or fallback or os.environ.get("VOLFORGE_CHECKPOINT_DIR")
     if not configured:
-        configured = fallback or os.environ.get("VOLFORGE_CHECKPOINT_DIR") or "/tmp/volforge-checkpoints"
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="volforge-checkpoint-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

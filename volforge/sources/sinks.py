@@ -17,15 +17,33 @@ def upsert_frame(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
     return new.unionByName(existing.select(*cols).join(new.select(*keys), keys, "left_anti"))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``, on whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """One micro-batch as a folder of its own, named by its id. A batch that is tried again replaces
+    its own folder only, so a crash at any point leaves all others as they were."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={int(batch_id)}")
+
+
+def read_batches(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The table that the batches at ``path`` leave: per key the row of its latest batch."""
+    log = spark.read.parquet(path)
+    rest = [c for c in log.columns if c not in (*keys, "batch")]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("batch", *rest)).alias("_row"))
+    return last.select(*keys, *(F.col(f"_row.`{c}`").alias(c) for c in rest))
+
+
 def upsert_prices(spark: SparkSession, new: DataFrame, path: str, keys: list[str] | None = None,
                   partition_by: str = "ticker") -> None:
     """Merge ``new`` into the parquet table at ``path`` on (ticker, Date). Only the touched
-    ticker partitions are rewritten (dynamic partition overwrite). A missing table is created."""
+    ticker partitions are rewritten (dynamic partition overwrite). A missing table is created; a table
+    that is there but cannot be read is an error, and nothing is written."""
     keys = keys or ["ticker", "Date"]
-    try:
-        old = spark.read.parquet(path)
-    except Exception:   # noqa: BLE001 - absent table
-        old = None
+    old = spark.read.parquet(path) if path_exists(spark, path) else None
     if old is None:
         new.write.mode("overwrite").partitionBy(partition_by).parquet(path)
         return
