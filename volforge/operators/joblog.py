@@ -35,6 +35,16 @@ def job_runtime(jobs: DataFrame, now: str) -> DataFrame:
                        F.substring(F.coalesce(F.col("error_message"), F.lit("")), 1, ERROR_WIDTH).alias("error"))
 
 
+def avg_time_by_scale(jobs: DataFrame) -> DataFrame:
+    """A8q: mean seconds from start to finish of the jobs of each ``num_simulations``."""
+    micros = F.unix_micros("finished_at") - F.unix_micros("started_at")
+    timed = jobs.where(F.col("started_at").isNotNull() & F.col("finished_at").isNotNull())
+    scale = F.from_json("params", PARAMS_SCHEMA)["num_simulations"]
+    return timed.select(scale.alias("num_simulations"), micros.alias("micros")).groupBy("num_simulations").agg(
+        F.count(F.lit(1)).alias("n_jobs"),
+        (F.sum("micros").cast("double") / F.count(F.lit(1)) / F.lit(1e6)).alias("avg_seconds"))
+
+
 def job_counts(jobs: DataFrame, status: str | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """A12q: total (optionally of one status), number active, number shown on a page."""
     j = jobs.where(F.col("status") == status) if status else jobs

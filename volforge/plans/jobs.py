@@ -47,6 +47,12 @@ def q_job_runtime(inp: Inputs) -> DataFrame:
     return rounded(jl.job_runtime(inp.job_log, NOW))
 
 
+@query("avg_time_by_scale")
+def q_avg_time_by_scale(inp: Inputs) -> DataFrame:
+    """A8q: mean duration of finished jobs by number of simulations, with the seconds per million."""
+    return rounded(jl.avg_time_by_scale(inp.job_log))
+
+
 @query("job_counts")
 def q_job_counts(inp: Inputs) -> DataFrame:
     return jl.job_counts(inp.job_log)

@@ -162,6 +162,42 @@ for _name, _method in [("boot_iid", "historical"), ("boot_window", "window"), ("
     query(_name)(_make(_method))
 
 
+def _sampled_and_closed(inp: Inputs) -> DataFrame:
+    """Contracts with the sampled (historical) and the closed-form prices and standard errors."""
+    from .accuracy import q_bs_price, q_bs_stderr
+    keys = ["ticker", "K", "T"]
+    mc = _priced(inp, ["historical"]).select(*keys, "S0", F.col("CallPrice").alias("mc_call"), F.col("PutPrice").alias("mc_put"))
+    bs = q_bs_price(inp).select(*keys, "r", "bs_call", "bs_put")
+    return mc.join(bs, keys).join(q_bs_stderr(inp).select(*keys, "se_call", "se_put"), keys)
+
+
+@query("mc_vs_bs")
+def q_mc_vs_bs(inp: Inputs) -> DataFrame:
+    """Sampled against closed-form prices: difference, absolute error in per cent, and whether the
+    difference is within two standard errors of the sampled number of paths."""
+    from .accuracy import SE_PATHS
+    x = _sampled_and_closed(inp)
+    grow = F.sqrt(F.lit(float(SE_PATHS))) / F.sqrt(F.lit(float(ORACLE_PATHS)))
+    out = ["ticker", "K", "T"]
+    for side in ("call", "put"):
+        diff = F.col(f"mc_{side}") - F.col(f"bs_{side}")
+        out += [diff.alias(f"{side}_diff"),
+                F.when(F.col(f"bs_{side}") != 0, F.abs(diff) / F.col(f"bs_{side}") * F.lit(100.0)).alias(f"{side}_err_pct"),
+                (F.abs(diff) <= F.lit(2.0) * F.col(f"se_{side}") * grow).alias(f"{side}_within_2se")]
+    return rounded(x.select(*out), 4)
+
+
+@query("put_call_parity_sampled")
+def q_parity_sampled(inp: Inputs) -> DataFrame:
+    """P5 over sampled prices: call minus put against S0 - K exp(-rT), and the deviation in per cent."""
+    x = _sampled_and_closed(inp)
+    theory = F.col("S0") - F.col("K") * F.exp(-F.col("r") * F.col("T") / F.lit(252.0))
+    x = x.withColumn("theory", theory).withColumn("sampled", F.col("mc_call") - F.col("mc_put"))
+    dev = F.abs(F.col("sampled") - F.col("theory")) / F.abs(F.col("theory")) * F.lit(100.0)
+    return rounded(x.select("ticker", "K", "T", F.col("theory").alias("parity_theoretical"), F.col("sampled").alias("parity_sampled"),
+                            dev.alias("parity_dev_pct"), (dev < F.lit(5.0)).alias("parity_ok")), 4)
+
+
 @query("run_methods")
 def q_run_methods(inp: Inputs) -> DataFrame:
     """All twelve methods for every contract in one plan."""

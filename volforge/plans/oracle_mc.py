@@ -136,3 +136,21 @@ register("boot_cascade", "multifractal_empirical", [paths_cte(), STEPS,
     ("agg", """SELECT hist_ticker, T, path_id, vol, sum(theta) AS S, sum(sqrt(theta) * zz) AS Q FROM tz GROUP BY 1, 2, 3, 4"""),
     ("ls", f"""SELECT hist_ticker, T, path_id, (rate.r - {d(0.5)} * vol * vol) * CAST(T AS DOUBLE) / {d(252.0)}
         + vol * sqrt(CAST(T AS DOUBLE) / S) * Q / {d(math.sqrt(252.0))} AS log_sum FROM agg CROSS JOIN rate""")])
+
+# The sampled and closed-form prices of the registered queries side by side
+
+def _side_by_side() -> str:
+    return f"""(SELECT m.ticker, m.K, m.T, m.S0, b.r, m.CallPrice AS mc_call, m.PutPrice AS mc_put, b.bs_call, b.bs_put, s.se_call, s.se_put
+        FROM ({SQL["boot_iid"]}) m JOIN ({SQL["bs_price"]}) b USING (ticker, K, T) JOIN ({SQL["bs_stderr"]}) s USING (ticker, K, T))"""
+
+
+def _gap(side: str) -> str:
+    d = f"mc_{side} - bs_{side}"
+    return f"""round({d}, 4) + 0.0 AS {side}_diff, round(CASE WHEN bs_{side} <> 0 THEN abs({d}) / bs_{side} * 100.0 END, 4) AS {side}_err_pct,
+        abs({d}) <= 2.0 * se_{side} * (sqrt(10000.0) / sqrt(1000.0)) AS {side}_within_2se"""
+
+
+SQL["mc_vs_bs"] = f"SELECT ticker, K, T, {_gap('call')}, {_gap('put')} FROM {_side_by_side()}"
+SQL["put_call_parity_sampled"] = f"""SELECT ticker, K, T, round(theory, 4) AS parity_theoretical, round(sampled, 4) AS parity_sampled,
+    round(abs(sampled - theory) / abs(theory) * 100.0, 4) AS parity_dev_pct, abs(sampled - theory) / abs(theory) * 100.0 < 5.0 AS parity_ok
+    FROM (SELECT *, S0 - K * exp(-r * T / 252.0) AS theory, mc_call - mc_put AS sampled FROM {_side_by_side()})"""
