@@ -26,6 +26,12 @@ from ..session import cpu_partitions
 PATH_KEYS = ["hist_ticker", "T", "method", "path_id"]
 
 
+def _path_keys(df: DataFrame) -> list[str]:
+    """The keys to group a path's steps by. With the task's ``_chunk`` among them the grouping finds
+    its rows where the path table put them, and needs no exchange of its own."""
+    return [*PATH_KEYS, "_chunk"] if "_chunk" in df.columns else PATH_KEYS
+
+
 @dataclass(frozen=True)
 class MCConfig:
     n_paths: int = 2000
@@ -46,7 +52,7 @@ class MCConfig:
 
 
 def path_table(horizons: DataFrame, methods: list[str], n_paths: int, chunk: int = 4096) -> DataFrame:
-    """(hist_ticker, T, method, path_id) for path ids 0..n_paths-1 of every horizon and method.
+    """(hist_ticker, T, method, _chunk, path_id) for path ids 0..n_paths-1 of every horizon and method.
     Task rows (horizon, method, chunk) are tiny; they are spread with an explicit partition count
     (so AQE does not coalesce them by bytes) before each is exploded into at most ``chunk`` paths."""
     n_chunks = max(1, math.ceil(n_paths / chunk))
@@ -57,7 +63,7 @@ def path_table(horizons: DataFrame, methods: list[str], n_paths: int, chunk: int
     tasks = tasks.repartition(cpu_partitions(horizons.sparkSession), "hist_ticker", "T", "method", "_chunk")
     lo = F.col("_chunk") * F.lit(chunk)
     hi = F.least(lo + F.lit(chunk), F.lit(n_paths)) - F.lit(1)
-    return tasks.select("hist_ticker", "T", "method",
+    return tasks.select("hist_ticker", "T", "method", "_chunk",
                         F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))).alias("path_id"))
 
 
@@ -88,7 +94,8 @@ def _steps(df: DataFrame) -> DataFrame:
 
 
 def _sum_per_path(steps: DataFrame, x: Column) -> DataFrame:
-    return steps.select(*PATH_KEYS, x.alias("_x")).groupBy(*PATH_KEYS).agg(F.sum("_x").alias("log_sum"))
+    keys = _path_keys(steps)
+    return steps.select(*keys, x.alias("_x")).groupBy(*keys).agg(F.sum("_x").alias("log_sum")).select(*PATH_KEYS, "log_sum")
 
 
 def boot_iid(paths: DataFrame, state: DataFrame, cfg: MCConfig, tag: str = "iid",
@@ -119,7 +126,7 @@ def window_paths(horizons: DataFrame, state: DataFrame, methods: list[str], chun
     tasks = tasks.repartition(cpu_partitions(horizons.sparkSession), "hist_ticker", "T", "method", "_chunk")
     lo = F.col("_chunk").cast("bigint") * F.lit(chunk)
     hi = F.least(lo + F.lit(chunk), F.col("n").cast("bigint")) - F.lit(1)
-    return tasks.select("hist_ticker", "T", "method", F.explode(F.sequence(lo, hi)).alias("path_id"))
+    return tasks.select("hist_ticker", "T", "method", "_chunk", F.explode(F.sequence(lo, hi)).alias("path_id"))
 
 
 def boot_t_mixture(paths: DataFrame, state: DataFrame, cfg: MCConfig, tag: str = "tmix",
@@ -156,7 +163,7 @@ def boot_block(paths: DataFrame, state: DataFrame, cfg: MCConfig, tag: str = "bl
         idx = F.when(fresh, F.floor(st.u(k, j, "s") * n).cast("int")).otherwise(F.pmod(prev + 1, n))
         return F.concat(acc, F.array(idx))
     idxs = F.aggregate(F.sequence(F.lit(0), F.col("T") - 1), F.array().cast("array<int>"), step)
-    s = x.select(*PATH_KEYS, F.explode(idxs).alias("_i"))
+    s = x.select(*_path_keys(x), F.explode(idxs).alias("_i"))
     return _sum_per_path(_lookup(s, rets, F.col("_i") + F.lit(1)), F.col("v"))
 
 
@@ -224,8 +231,9 @@ def boot_cascade(paths: DataFrame, state: DataFrame, cfg: MCConfig, r: Column, t
     # degenerate pools have no rows: the left join leaves v NULL and the Gaussian draw is used
     s = s.withColumn("idx", st.u_index(F.col("n_z"), k, j, "z")).join(zres, ["hist_ticker", "idx"], "left")
     z = F.when(F.col("degenerate"), st.u_gauss(k, j, "z")).otherwise(F.col("v"))
-    per = s.select(*PATH_KEYS, "vol", "_r", theta.alias("_th"), z.alias("_z"))
-    agg = per.groupBy(*PATH_KEYS, "vol", "_r").agg(F.sum("_th").alias("_S"),
+    keys = _path_keys(s)
+    per = s.select(*keys, "vol", "_r", theta.alias("_th"), z.alias("_z"))
+    agg = per.groupBy(*keys, "vol", "_r").agg(F.sum("_th").alias("_S"),
                                                    F.sum(F.sqrt("_th") * F.col("_z")).alias("_Q"))
     Tc = F.col("T").cast("double")
     drift = (F.col("_r") - F.lit(0.5) * F.col("vol") * F.col("vol")) * Tc / F.lit(TRADING_DAYS)
@@ -244,11 +252,12 @@ def boot_t_mixture_weights(paths: DataFrame, state: DataFrame, cfg: MCConfig, we
     st = cfg.stream
     k, j = F.col("_k"), F.col("j")
     s = _lookup(s, rets, st.u_index(F.col("n"), k, j, "h"))
-    s = s.select(*PATH_KEYS, (F.col("t_loc") + F.col("t_scale") * st.u_student_t(F.col("t_df"), k, j)).alias("_t"),
+    keys = _path_keys(s)
+    s = s.select(*keys, (F.col("t_loc") + F.col("t_scale") * st.u_student_t(F.col("t_df"), k, j)).alias("_t"),
                  F.col("v").alias("_h"), st.u(k, j, "m").alias("_m"))
     sums = [F.sum(F.when(F.col("_m") < F.lit(w), F.col("_t")).otherwise(F.col("_h"))).alias(f"_w{i}")
             for i, w in enumerate(weights)]
-    agg = s.groupBy(*PATH_KEYS).agg(*sums)
+    agg = s.groupBy(*keys).agg(*sums)
     per = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_w{i}").alias("ls")) for i in range(len(weights))]))
     out = agg.select("hist_ticker", "T", "method", "path_id", per.alias("_p"))
     return out.select("hist_ticker", "T", F.concat(F.col("method"), F.lit("#"), F.col("_p.i").cast("string")).alias("method"),
