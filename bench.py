@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from volforge.operators import stats as st  # noqa: E402
+from volforge.operators import prices as pr, stats as st  # noqa: E402
 from volforge.operators.resample import MCConfig  # noqa: E402
 from volforge.plans import catalog, montecarlo as mc  # noqa: E402
 from volforge.plans.common import Inputs  # noqa: E402
@@ -54,8 +54,8 @@ def main():
     timed("job_state", lambda: qs["fold_job_state"](spark, SF_DIR))
     timed("job_runtime", lambda: qs["job_runtime"](spark, SF_DIR))
     inp = Inputs(spark, SF_DIR)
-    nat = st.return_arrays(__import__("volforge.operators.prices", fromlist=["with_returns"]).with_returns(inp.prices_nation))
-    timed("vol_stats_125", lambda: st.vol_stats(__import__("volforge.operators.prices", fromlist=["with_returns"]).with_returns(inp.prices_nation)))
+    nat = st.return_arrays(pr.with_returns(inp.prices_nation))
+    timed("vol_stats_125", lambda: st.vol_stats(pr.with_returns(inp.prices_nation)))
     timed("t_fit_125", lambda: st.student_t_fit(nat))
     timed("garch_fit_125", lambda: st.garch_fit(nat.where(F.col("n") >= 30)))
     cfg = MCConfig(n_paths=MC_PATHS, rng="xxhash", chunk=8192)
