@@ -8,7 +8,8 @@ from conftest import SF_SMALL
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
-NAMES = ["prices", "quotes_raw", "option_chain", "project_prices", "increment_after", "upsert_prices", "error_report",
+NAMES = ["prices", "quotes_raw", "option_chain", "project_prices", "increment_after", "upsert_prices", "upsert_prices_sink",
+         "stream_prices", "avg_time_by_scale", "mc_vs_bs", "put_call_parity_sampled", "error_report",
          "bs_stderr", "atm_report", "fold_job_state", "job_runtime", "gate_results", "boot_iid", "boot_block",
          "boot_window_10", "convergence", "emc_effect"]
 
@@ -33,8 +34,8 @@ def test_plan_matches_oracle(spark, duck, name):
 
 def test_every_query_has_oracle_or_is_declared(spark):
     import __spark_entry__ as E
-    from volforge.plans.catalog import NON_SQL
-    missing = set(E.queries()) - set(E.oracle_sql()) - NON_SQL
+    from volforge.plans.catalog import NON_SQL, plans
+    missing = set(plans()) - set(E.oracle_sql()) - NON_SQL
     assert not missing, missing
 
 

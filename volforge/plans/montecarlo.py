@@ -184,7 +184,7 @@ def q_mc_vs_bs(inp: Inputs) -> DataFrame:
         out += [diff.alias(f"{side}_diff"),
                 F.when(F.col(f"bs_{side}") != 0, F.abs(diff) / F.col(f"bs_{side}") * F.lit(100.0)).alias(f"{side}_err_pct"),
                 (F.abs(diff) <= F.lit(2.0) * F.col(f"se_{side}") * grow).alias(f"{side}_within_2se")]
-    return rounded(x.select(*out), 4)
+    return rounded(x.select(*out), 6)
 
 
 @query("put_call_parity_sampled")
@@ -195,7 +195,7 @@ def q_parity_sampled(inp: Inputs) -> DataFrame:
     x = x.withColumn("theory", theory).withColumn("sampled", F.col("mc_call") - F.col("mc_put"))
     dev = F.abs(F.col("sampled") - F.col("theory")) / F.abs(F.col("theory")) * F.lit(100.0)
     return rounded(x.select("ticker", "K", "T", F.col("theory").alias("parity_theoretical"), F.col("sampled").alias("parity_sampled"),
-                            dev.alias("parity_dev_pct"), (dev < F.lit(5.0)).alias("parity_ok")), 4)
+                            dev.alias("parity_dev_pct"), (dev < F.lit(5.0)).alias("parity_ok")), 6)
 
 
 @query("run_methods")

@@ -146,11 +146,11 @@ def _side_by_side() -> str:
 
 def _gap(side: str) -> str:
     d = f"mc_{side} - bs_{side}"
-    return f"""round({d}, 4) + 0.0 AS {side}_diff, round(CASE WHEN bs_{side} <> 0 THEN abs({d}) / bs_{side} * 100.0 END, 4) AS {side}_err_pct,
+    return f"""round({d}, 6) + 0.0 AS {side}_diff, round(CASE WHEN bs_{side} <> 0 THEN abs({d}) / bs_{side} * 100.0 END, 6) AS {side}_err_pct,
         abs({d}) <= 2.0 * se_{side} * (sqrt(10000.0) / sqrt(1000.0)) AS {side}_within_2se"""
 
 
 SQL["mc_vs_bs"] = f"SELECT ticker, K, T, {_gap('call')}, {_gap('put')} FROM {_side_by_side()}"
-SQL["put_call_parity_sampled"] = f"""SELECT ticker, K, T, round(theory, 4) AS parity_theoretical, round(sampled, 4) AS parity_sampled,
-    round(abs(sampled - theory) / abs(theory) * 100.0, 4) AS parity_dev_pct, abs(sampled - theory) / abs(theory) * 100.0 < 5.0 AS parity_ok
+SQL["put_call_parity_sampled"] = f"""SELECT ticker, K, T, round(theory, 6) AS parity_theoretical, round(sampled, 6) AS parity_sampled,
+    round(abs(sampled - theory) / abs(theory) * 100.0, 6) AS parity_dev_pct, abs(sampled - theory) / abs(theory) * 100.0 < 5.0 AS parity_ok
     FROM (SELECT *, S0 - K * exp(-r * T / 252.0) AS theory, mc_call - mc_put AS sampled FROM {_side_by_side()})"""
