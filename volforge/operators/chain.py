@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.mathfn import busdays
 from ..sources.fixtures import CONTRACT_ORDER
 
-# Fixed values of the chain filters.
+# Fixed values of the chain filters; the caps are values for callers that ask for a capped chain.
 MIN_DAYS, MAX_DAYS = 5, 60
 MAX_EXPIRIES = 12
 MIN_VOLUME, MIN_OPEN_INTEREST = 1, 10
@@ -25,7 +25,7 @@ def expiry_window(q: DataFrame, lo: int = MIN_DAYS, hi: int = MAX_DAYS) -> DataF
     return q.where(F.col("days_to_expiry").between(lo, hi))
 
 
-def first_n_expiries(q: DataFrame, n: int = MAX_EXPIRIES) -> DataFrame:
+def first_n_expiries(q: DataFrame, n: int) -> DataFrame:
     """O3: the first n in-range expirations per ticker. Ranks the *distinct* (ticker, expiration)
     pairs — a tiny table after partial aggregation — and semi-joins back, so a ticker holding a
     third of all quotes never lands in one window task."""
@@ -56,9 +56,13 @@ def mid_price(q: DataFrame) -> DataFrame:
                                       .otherwise(F.col("last")))
 
 
+CHAIN_ORDER = ["expiration_date", "option_type", "strike", *CONTRACT_ORDER]
+
+
 def chain_rows(q: DataFrame) -> DataFrame:
-    """The quote-table layout; missing bid/ask/IV/volume/OI become 0."""
-    keep = [c for c in ("chain_pos",) if c in q.columns]
+    """The quote-table layout; missing bid/ask/IV/volume/OI become 0. ``chain_key`` orders the
+    quotes of a ticker (expiration, call before put, strike, contract) by value, so that no window
+    over a whole ticker is needed to number them."""
     return q.select(
         "ticker", "expiration_date", F.col("days_to_expiry").cast("int").alias("days_to_expiry"),
         "option_type", "strike", F.col("last").alias("last_price"),
@@ -68,23 +72,25 @@ def chain_rows(q: DataFrame) -> DataFrame:
         F.coalesce(F.col("implied_volatility"), F.lit(0.0)).alias("implied_volatility"),
         F.coalesce(F.col("volume"), F.lit(0)).cast("int").alias("volume"),
         F.coalesce(F.col("open_interest"), F.lit(0)).cast("int").alias("open_interest"),
-        "underlying_price", *keep)
+        "underlying_price", F.struct(*CHAIN_ORDER).alias("chain_key"))
 
 
-def row_cap(q: DataFrame, n: int = MAX_ROWS) -> DataFrame:
+def row_cap(q: DataFrame, n: int) -> DataFrame:
     """First n rows per ticker in (expiration, call-then-put, strike, contract) order, with the
     position kept as ``chain_pos``. ``row_number() <= n`` is planned with a partial
     WindowGroupLimit before the shuffle, so each task ships at most n rows per ticker."""
-    w = Window.partitionBy("ticker").orderBy("expiration_date", "option_type", "strike", *CONTRACT_ORDER)
+    w = Window.partitionBy("ticker").orderBy(*CHAIN_ORDER)
     return q.withColumn("chain_pos", F.row_number().over(w)).where(F.col("chain_pos") <= n)
 
 
-def option_chain(quotes: DataFrame, max_expiries: int = MAX_EXPIRIES, max_rows: int = MAX_ROWS) -> DataFrame:
-    """O1..O8 composed: the contract table the pricers consume."""
+def option_chain(quotes: DataFrame, max_expiries: int | None = None, max_rows: int | None = None) -> DataFrame:
+    """O1..O8 composed: the contract table the pricers consume. Every quote that passes the filters
+    stays; the caps on expirations (O3) and rows (O8) apply only where the caller names them."""
     q = expiry_window(busdays_to_expiry(quotes))
-    q = first_n_expiries(q, max_expiries)
+    if max_expiries is not None:
+        q = first_n_expiries(q, max_expiries)
     q = mid_price(strike_band(liquidity_filter(q)))
-    return chain_rows(row_cap(q, max_rows))
+    return chain_rows(q if max_rows is None else row_cap(q, max_rows))
 
 
 def chain_breakdown(chain: DataFrame) -> DataFrame:
@@ -106,7 +112,7 @@ def chain_by_ticker(chain: DataFrame) -> DataFrame:
     """O10 (per ticker): rows, first S0 in chain order, distinct expiries."""
     return chain.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.min_by("underlying_price", "chain_pos").alias("S0"),
+        F.min_by("underlying_price", "chain_key").alias("S0"),
         F.countDistinct("days_to_expiry").alias("expirations"))
 
 

@@ -26,18 +26,18 @@ def map_history_ticker(contracts: DataFrame, hmap: DataFrame) -> DataFrame:
 def dedupe_quotes(chain: DataFrame) -> DataFrame:
     """A1q: one row per (ticker, strike, days, type): first value of each column in chain order."""
     keys = ["ticker", "strike", "days_to_expiry", "option_type"]
-    rest = [c for c in chain.columns if c not in keys and c != "chain_pos"]
-    return chain.groupBy(*keys).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("chain_pos"))).alias(c)
-                                      for c in rest], F.min("chain_pos").alias("chain_pos"))
+    rest = [c for c in chain.columns if c not in keys and c != "chain_key"]
+    return chain.groupBy(*keys).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("chain_key"))).alias(c)
+                                      for c in rest], F.min("chain_key").alias("chain_key"))
 
 
-def sample_contracts(combos: DataFrame, n: int = MAX_COMBOS_PER_TICKER, seed: int = SAMPLE_SEED) -> DataFrame:
+def sample_contracts(combos: DataFrame, n: int, seed: int = SAMPLE_SEED) -> DataFrame:
     """At most n combos per ticker, chosen by a seeded hash order (reproducible in any engine).
     ``row_number() <= n`` plans a partial WindowGroupLimit before the shuffle."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("ticker"),
                             F.round(F.col("strike") * 100).cast("bigint").cast("string"),
                             F.col("days_to_expiry").cast("string"), F.col("option_type")))
-    w = Window.partitionBy("ticker").orderBy(key, "chain_pos")
+    w = Window.partitionBy("ticker").orderBy(key, "chain_key")
     return combos.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
@@ -47,16 +47,19 @@ def distinct_kt(combos: DataFrame) -> DataFrame:
                   .agg(F.min("underlying_price").alias("S0")))
 
 
-def accuracy_contracts(chain: DataFrame) -> DataFrame:
-    """The (ticker, K, T, S0) grid of the accuracy study: dedupe -> sample -> distinct (K, T)."""
-    return distinct_kt(sample_contracts(dedupe_quotes(chain)))
+def accuracy_contracts(chain: DataFrame, per_ticker: int | None = None) -> DataFrame:
+    """The (ticker, K, T, S0) grid of the accuracy study: dedupe -> distinct (K, T); with
+    ``per_ticker``, of a sample (X2) of that many combos per ticker."""
+    if per_ticker is None:      # distinct (K, T) subsumes the dedupe, as one ticker has one S0 a snapshot
+        return distinct_kt(chain)
+    return distinct_kt(sample_contracts(dedupe_quotes(chain), per_ticker))
 
 
 def actual_lookup(chain: DataFrame) -> DataFrame:
     """First call mid and first put mid (chain order) per (ticker, K, T); NULL when absent."""
     return chain.groupBy("ticker", F.col("strike").alias("K"), F.col("days_to_expiry").alias("T")).agg(
-        F.min_by("mid_price", F.when(F.col("option_type") == "call", F.col("chain_pos"))).alias("actual_call"),
-        F.min_by("mid_price", F.when(F.col("option_type") == "put", F.col("chain_pos"))).alias("actual_put"))
+        F.min_by("mid_price", F.when(F.col("option_type") == "call", F.col("chain_key"))).alias("actual_call"),
+        F.min_by("mid_price", F.when(F.col("option_type") == "put", F.col("chain_key"))).alias("actual_put"))
 
 
 def comparison(priced: DataFrame, chain: DataFrame) -> DataFrame:
@@ -80,19 +83,47 @@ def long_errors(cmp: DataFrame) -> DataFrame:
     return side("call").unionByName(side("put"))
 
 
+BRACKET = 0.001         # half width, in ranks, of the bracket the median is looked for in
+BRACKET_MIN_ROWS = 100_000
+
+
+def with_exact_median(df: DataFrame, keys: list[str], value: str, name: str, *aggs) -> DataFrame:
+    """``aggs`` and the exact median per group (mean of the two middle values; nulls left out), for
+    groups of any size.
+
+    The first pass brackets the middle by two approximate quantiles, ten times further apart than
+    their guaranteed rank error; the second counts what lies below the bracket and the distinct
+    values in it, with map-side combine, and only those counts are ordered per group. A group of few
+    rows is its own bracket."""
+    v = F.col(value)
+    quantiles = F.percentile_approx(v, F.array(F.lit(0.5 - BRACKET), F.lit(0.5 + BRACKET)), 10_000)
+    b = df.groupBy(*keys).agg(*aggs, F.count(v).alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"), quantiles.alias("_q"))
+    large = F.col("_n") >= BRACKET_MIN_ROWS
+    b = b.select("*", F.when(large, F.col("_q")[0]).otherwise(F.col("_min")).alias("_lo"),
+                 F.when(large, F.col("_q")[1]).otherwise(F.col("_max")).alias("_hi")).drop("_min", "_max", "_q")
+    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
+    per_group = [c for c in b.columns if c not in ("_lo", "_hi")]
+    c = (df.select(*keys, v.alias("_v")).join(b, keys).select(*per_group, side.alias("_side"), "_v")
+           .groupBy(*per_group, "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_mid"))
+           .agg(F.count("_v").alias("_c")))
+    upto = Window.partitionBy(*keys).orderBy("_side", "_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = c.withColumn("_upto", F.sum("_c").over(upto))
+    mid = [F.min(F.when(F.col("_upto") >= rank, F.col("_mid"))) for rank in
+           (F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1)]
+    return c.groupBy(*per_group).agg(((mid[0] + mid[1]) / F.lit(2.0)).alias(name)).drop("_n")
+
+
 def error_report(errors: DataFrame) -> DataFrame:
     """A3q: per (option type, method): n, MAE, MAPE, median signed % error."""
-    return errors.groupBy("option_type", "method").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.abs("error")).alias("mae"),
-        F.avg(F.abs("pct_error")).alias("mape"),
-        F.median("pct_error").alias("median_pct_error"))
+    return with_exact_median(errors, ["option_type", "method"], "pct_error", "median_pct_error",
+                             F.count(F.lit(1)).alias("n"), F.avg(F.abs("error")).alias("mae"),
+                             F.avg(F.abs("pct_error")).alias("mape"))
 
 
 def best_method(report: DataFrame) -> DataFrame:
-    """A4q: argmin MAPE per option type, ties broken by method name."""
+    """A4q: argmin MAPE per option type; ties (to six places) broken by method name."""
     return report.groupBy("option_type").agg(
-        F.min_by("method", F.struct("mape", "method")).alias("best_method"),
+        F.min_by("method", F.struct(round_half_up(F.col("mape"), 6).alias("mape"), F.col("method"))).alias("best_method"),
         F.min("mape").alias("best_mape"))
 
 
@@ -103,12 +134,13 @@ def atm_filter(errors: DataFrame, band: float = ATM_BAND) -> DataFrame:
 
 def atm_report(errors: DataFrame) -> DataFrame:
     """ATM error report + best ATM method and its MAPE improvement over the all-strike best."""
-    atm = error_report(atm_filter(errors))
-    best_all = best_method(error_report(errors)).select(
+    best_all = best_method(mape_by_method(errors)).select(
         "option_type", F.col("best_method").alias("best_all"), F.col("best_mape").alias("best_mape_all"))
-    best_atm = best_method(atm).select("option_type", F.col("best_method").alias("best_atm"),
-                                       F.col("best_mape").alias("best_mape_atm"))
-    return (atm.join(best_atm, "option_type").join(best_all, "option_type", "left")
+    of_type = Window.partitionBy("option_type")          # over the report's rows, one per method
+    first = F.min(F.struct(round_half_up(F.col("mape"), 6).alias("mape"), F.col("method"))).over(of_type)
+    atm = (error_report(atm_filter(errors)).withColumn("best_atm", first["method"])
+           .withColumn("best_mape_atm", F.min("mape").over(of_type)))
+    return (atm.join(best_all, "option_type", "left")
                .withColumn("improvement", F.col("best_mape_all") - F.col("best_mape_atm")))
 
 
@@ -118,9 +150,8 @@ def mape_by_scale(errors: DataFrame) -> DataFrame:
 
 
 def mape_by_method(errors: DataFrame) -> DataFrame:
-    """A6q: mean abs % error by (option type, method), ascending."""
-    return (errors.groupBy("option_type", "method").agg(F.avg(F.abs("pct_error")).alias("mape"))
-                  .orderBy("option_type", "mape", "method"))
+    """A6q: mean abs % error by (option type, method)."""
+    return errors.groupBy("option_type", "method").agg(F.avg(F.abs("pct_error")).alias("mape"))
 
 
 def highest_scale(df: DataFrame, col: str = "num_runs") -> DataFrame:

@@ -44,13 +44,13 @@ def q_map_history(inp: Inputs) -> DataFrame:
 def q_dedupe(inp: Inputs) -> DataFrame:
     d = ev.dedupe_quotes(inp.chain)
     return rounded(d.select("ticker", "strike", "days_to_expiry", "option_type", "mid_price", "last_price",
-                            "underlying_price", "chain_pos"))
+                            "underlying_price"))
 
 
 @query("sample_contracts")
 def q_sample(inp: Inputs) -> DataFrame:
-    s = ev.sample_contracts(ev.dedupe_quotes(inp.chain))
-    return rounded(s.select("ticker", "strike", "days_to_expiry", "option_type", "chain_pos"))
+    s = ev.sample_contracts(ev.dedupe_quotes(inp.chain), ev.MAX_COMBOS_PER_TICKER)
+    return rounded(s.select("ticker", "strike", "days_to_expiry", "option_type"))
 
 
 @query("distinct_kt")
@@ -115,12 +115,12 @@ def q_error_report(inp: Inputs) -> DataFrame:
 
 @query("best_method")
 def q_best_method(inp: Inputs) -> DataFrame:
-    return rounded(ev.best_method(ev.error_report(closed_form_errors(inp))))
+    return rounded(ev.best_method(ev.mape_by_method(closed_form_errors(inp))))
 
 
 @query("mape_by_method")
 def q_mape_by_method(inp: Inputs) -> DataFrame:
-    return rounded(ev.mape_by_method(closed_form_errors(inp)))
+    return rounded(ev.mape_by_method(closed_form_errors(inp))).orderBy("option_type", "mape", "method")
 
 
 @query("atm_filter")

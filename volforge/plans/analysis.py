@@ -25,7 +25,7 @@ CONV_WEIGHTS = [0.1, 0.2, 0.3, 0.4, 0.5]
 CONV_METHODS = ["historical", "window", "window_10d", "window_20d", "block_bootstrap", "multifractal_empirical",
                 "black_scholes", "multifractal"]
 # Fixed values of the accuracy sweeps.
-ACC_SCALES = [250, 500, 1000]
+ACC_SCALES = [25, 50, 100]
 SQL_METHODS = ["historical", "window", "window_10d", "window_20d", "student_t", "block_bootstrap",
                "multifractal_empirical", "black_scholes", "multifractal"]
 BLOCK_LENGTHS = [1, 2, 3, 5, 8, 13, 21]

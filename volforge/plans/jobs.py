@@ -199,5 +199,5 @@ def q_export_snapshot(inp: Inputs) -> DataFrame:
     from ..operators.chain import stamp
     from ..streaming.jobs import scratch_dir
     path = scratch_dir(inp.spark, "s7") + "/quotes"
-    sinks.export_snapshot(stamp(inp.chain).withColumnRenamed("fetched_at", "created_at"), path)
+    sinks.export_snapshot(stamp(inp.chain.select("*", "chain_key.ck_order", "chain_key.ck_line").drop("chain_key")).withColumnRenamed("fetched_at", "created_at"), path)
     return rounded(inp.spark.read.parquet(path))

@@ -110,9 +110,10 @@ sql("mid_price", ["quotes_raw"], f"""SELECT ticker, option_type, count(*) AS n,
 CH_COLS = """ticker, expiration_date, days_to_expiry, option_type, round(strike, 6) AS strike, round(last_price, 6) AS last_price,
     round(bid, 6) AS bid, round(ask, 6) AS ask, round(mid_price, 6) AS mid_price,
     round(implied_volatility, 6) AS implied_volatility, volume, open_interest, round(underlying_price, 6) AS underlying_price,
-    chain_pos"""
+    ck_order, ck_line"""
 sql("option_chain", ["option_chain"], f"SELECT {CH_COLS} FROM option_chain")
-sql("row_cap", ["option_chain"], "SELECT ticker, count(*) AS rows, max(chain_pos) AS max_pos FROM option_chain GROUP BY ticker")
+sql("row_cap", ["capped"], """SELECT ticker, count(*) AS rows, count(DISTINCT expiration_date) AS expirations,
+    round(arg_max(strike, cap_pos), 6) AS last_strike FROM capped GROUP BY ticker""")
 sql("chain_breakdown", ["option_chain"], """SELECT ticker, count(*) FILTER (WHERE option_type = 'call') AS call,
     count(*) FILTER (WHERE option_type = 'put') AS put FROM option_chain GROUP BY ticker""")
 sql("chain_ranges", ["option_chain"], """SELECT min(days_to_expiry) AS min_days, max(days_to_expiry) AS max_days,
@@ -151,9 +152,9 @@ sql("map_history_ticker", ["contracts_h", "vstats"], """SELECT c.ticker, c.hist_
     FROM contracts_h c JOIN vstats v ON v.ticker = c.hist_ticker""")
 sql("dedupe_quotes", ["option_chain"], """SELECT ticker, round(strike, 6) AS strike, days_to_expiry, option_type,
     round(arg_min(mid_price, chain_pos), 6) AS mid_price, round(arg_min(last_price, chain_pos), 6) AS last_price,
-    round(arg_min(underlying_price, chain_pos), 6) AS underlying_price, min(chain_pos) AS chain_pos
+    round(arg_min(underlying_price, chain_pos), 6) AS underlying_price
     FROM option_chain GROUP BY 1, 2, 3, 4""")
-sql("sample_contracts", ["sampled"], """SELECT ticker, round(strike, 6) AS strike, days_to_expiry, option_type, chain_pos FROM sampled""")
+sql("sample_contracts", ["sampled"], """SELECT ticker, round(strike, 6) AS strike, days_to_expiry, option_type FROM sampled""")
 sql("distinct_kt", ["contracts"], "SELECT ticker, round(K, 6) AS K, T, round(S0, 6) AS S0 FROM contracts")
 from .sqlfix import norm_cdf_sql  # noqa: E402
 sql("norm_cdf", ["cf_d"], f"""SELECT ticker, round(K, 6) AS K, T, round({norm_cdf_sql('d1')}, 10) AS n_d1,
@@ -182,7 +183,7 @@ sql("comparison", CF, """SELECT ticker, round(K, 6) AS K, T, round(S0, 6) AS S0,
 sql("pricing_error", CF, """SELECT ticker, round(K, 6) AS K, T, method, option_type, round(error, 6) AS error,
     round(pct_error, 6) AS pct_error FROM errs""", CMP)
 sql("error_report", CF, REPORT.format(src="errs"), CMP)
-sql("best_method", CF, """SELECT option_type, arg_min(method, (mape, method)) AS best_method, round(min(mape), 6) AS best_mape
+sql("best_method", CF, """SELECT option_type, arg_min(method, (round(mape, 6), method)) AS best_method, round(min(mape), 6) AS best_mape
     FROM (SELECT option_type, method, avg(abs(pct_error)) AS mape FROM errs GROUP BY 1, 2) GROUP BY 1""", CMP)
 sql("mape_by_method", CF, "SELECT option_type, method, round(avg(abs(pct_error)), 6) AS mape FROM errs GROUP BY 1, 2", CMP)
 ATM = "SELECT * FROM errs WHERE abs(K / S0 - 1.0) <= 0.05"
@@ -190,9 +191,9 @@ sql("atm_filter", CF, f"""SELECT ticker, round(K, 6) AS K, T, method, option_typ
 sql("atm_report", CF, """SELECT a.option_type, a.method, a.n, round(a.mae, 6) AS mae, round(a.mape, 6) AS mape,
     round(a.median_pct_error, 6) AS median_pct_error, b.best_atm, round(b.best_mape_atm, 6) AS best_mape_atm, c.best_all,
     round(c.best_mape_all, 6) AS best_mape_all, round(c.best_mape_all - b.best_mape_atm, 6) AS improvement
-    FROM atm_rep a JOIN (SELECT option_type, arg_min(method, (mape, method)) AS best_atm, min(mape) AS best_mape_atm FROM atm_rep GROUP BY 1) b
+    FROM atm_rep a JOIN (SELECT option_type, arg_min(method, (round(mape, 6), method)) AS best_atm, min(mape) AS best_mape_atm FROM atm_rep GROUP BY 1) b
       USING (option_type)
-    LEFT JOIN (SELECT option_type, arg_min(method, (mape, method)) AS best_all, min(mape) AS best_mape_all FROM all_rep GROUP BY 1) c
+    LEFT JOIN (SELECT option_type, arg_min(method, (round(mape, 6), method)) AS best_all, min(mape) AS best_mape_all FROM all_rep GROUP BY 1) c
       USING (option_type)""",
     CMP + [("atm_rep", f"""SELECT option_type, method, count(*) AS n, avg(abs(error)) AS mae, avg(abs(pct_error)) AS mape,
               median(pct_error) AS median_pct_error FROM ({ATM}) GROUP BY 1, 2"""),

@@ -8,7 +8,7 @@ import math
 
 from ..functions.rng import gaussian_sql, student_t_sql
 from .oracle import SQL
-from .oracle_mc import LAM, SEED, key, tfit_ctes, u
+from .oracle_mc import LAM, N, SEED, draws, key, tfit_ctes, u
 from .sqlfix import d, norm_cdf_sql, rnd, with_ctes
 
 RISK_NEUTRAL = {"black_scholes", "multifractal", "multifractal_empirical", "fhs_rn"}
@@ -25,18 +25,17 @@ def common(contracts: str, n: int) -> list[tuple[str, str]]:
 
 
 def ls_iid(p: str, tag: str) -> list[tuple[str, str]]:
-    return [(f"{p}_ls", f"""SELECT s.hist_ticker, s.T, s.path_id, sum(r.log_return) AS log_sum FROM steps s
-        JOIN vstats v ON v.ticker = s.hist_ticker
-        JOIN ret_idx r ON r.ticker = s.hist_ticker AND r.idx = CAST(floor({u(tag, 'j')} * v.n) AS BIGINT) + 1
+    return [draws(f"{p}_ix", u(tag, "j")),
+            (f"{p}_ls", f"""SELECT s.hist_ticker, s.T, s.path_id, sum(r.log_return) AS log_sum FROM {p}_ix s
+        JOIN ret_idx r ON r.ticker = s.hist_ticker AND r.idx = s.ix
         GROUP BY 1, 2, 3""")]
 
 
 def ls_tmix(p: str, weight: float) -> list[tuple[str, str]]:
     t = student_t_sql(SEED, "f.t_df", *key("student_t", "j"))
-    return [(f"{p}_ls", f"""SELECT s.hist_ticker, s.T, s.path_id,
+    return [draws(f"{p}_ix", u("student_t", "j", repr("h"))), (f"{p}_ls", f"""SELECT s.hist_ticker, s.T, s.path_id,
         sum(CASE WHEN {u('student_t', 'j', repr('m'))} < {d(weight)} THEN f.t_loc + f.t_scale * {t} ELSE r.log_return END) AS log_sum
-        FROM steps s JOIN vstats v ON v.ticker = s.hist_ticker JOIN tfit f ON f.ticker = s.hist_ticker
-        JOIN ret_idx r ON r.ticker = s.hist_ticker AND r.idx = CAST(floor({u('student_t', 'j', repr('h'))} * v.n) AS BIGINT) + 1
+        FROM {p}_ix s JOIN tfit f ON f.ticker = s.hist_ticker JOIN ret_idx r ON r.ticker = s.hist_ticker AND r.idx = s.ix
         GROUP BY 1, 2, 3""")]
 
 
@@ -194,7 +193,7 @@ SQL["highest_scale"] = conv_sql("""SELECT alt_weight, runs, method, round(CallPr
 
 
 # ---------------------------------------------------------------- accuracy at scales, sweeps, EMC
-ACC_SCALES = [250, 500, 1000]
+ACC_SCALES = [25, 50, 100]
 
 
 def cmp_ctes(priced_union: str, p: str) -> list:
@@ -231,10 +230,10 @@ SQL["mape_by_scale"] = with_ctes(NEEDS + ["actual"], """SELECT option_type, meth
     FROM sc_err GROUP BY 1, 2, 3""", _c + cmp_ctes(union(_o + ["cf_out"]), "sc"))
 
 BLOCK_LENGTHS = [1, 2, 3, 5, 8, 13, 21]
-_c = common("contracts_h", 1000)
+_c = common("contracts_h", N)
 _u = []
 for L in BLOCK_LENGTHS:
-    _c += ls_block(f"b{L}", float(L)) + priced(f"b{L}", "block_bootstrap", "contracts_h", [1000])
+    _c += ls_block(f"b{L}", float(L)) + priced(f"b{L}", "block_bootstrap", "contracts_h", [N])
     _u.append(f"SELECT CAST({L} AS INTEGER) AS block_len, * FROM b{L}_out")
 SQL["block_sweep"] = with_ctes(NEEDS + ["actual"], """SELECT block_len, n, round(put_mape, 6) AS put_mape,
     block_len = (SELECT arg_min(block_len, (put_mape, block_len)) FROM pm) AS best FROM pm""",
@@ -244,10 +243,10 @@ SQL["block_sweep"] = with_ctes(NEEDS + ["actual"], """SELECT block_len, n, round
             GROUP BY block_len""")])
 
 LAMBDAS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
-_c = common("contracts_h", 1000)
+_c = common("contracts_h", N)
 _u = []
 for i, lam in enumerate(LAMBDAS):
-    _c += ls_cascade(f"l{i}", lam) + priced(f"l{i}", "multifractal_empirical", "contracts_h", [1000])
+    _c += ls_cascade(f"l{i}", lam) + priced(f"l{i}", "multifractal_empirical", "contracts_h", [N])
     _u.append(f"SELECT {d(lam)} AS lam, * FROM l{i}_out")
 SQL["lambda_sweep"] = with_ctes(NEEDS + ["actual"], """SELECT lam, n, round(put_mape, 6) AS put_mape,
     lam = (SELECT arg_min(lam, (put_mape, lam)) FROM pm) AS best FROM pm""",
@@ -256,8 +255,8 @@ SQL["lambda_sweep"] = with_ctes(NEEDS + ["actual"], """SELECT lam, n, round(put_
             FROM lsw b LEFT JOIN actual a USING (ticker, K, T) WHERE a.actual_put IS NOT NULL AND a.actual_put > 0.5 GROUP BY lam""")])
 
 EMC_TARGETS = ["historical", "window", "block_bootstrap"]
-_pre, _po = acc_methods([1000], False, EMC_TARGETS)
-_post, _qo = acc_methods([1000], True, EMC_TARGETS)
+_pre, _po = acc_methods([N], False, EMC_TARGETS)
+_post, _qo = acc_methods([N], True, EMC_TARGETS)
 
 
 def _rename(ctes: list, outs: list[str], tag: str) -> tuple[list, list[str]]:
@@ -273,7 +272,7 @@ def _rename(ctes: list, outs: list[str], tag: str) -> tuple[list, list[str]]:
     return out, [tag + o for o in outs]
 
 
-_post, _qo = acc_methods([1000], True, EMC_TARGETS)
+_post, _qo = acc_methods([N], True, EMC_TARGETS)
 _post, _qo = _rename(_post, _qo, "e_")
 SQL["emc_effect"] = with_ctes(NEEDS + ["actual"], """SELECT coalesce(a.option_type, b.option_type) AS option_type,
     coalesce(a.method, b.method) AS method, round(a.mape, 2) AS mape_pre, round(b.mape, 2) AS mape_post,
@@ -284,7 +283,7 @@ SQL["emc_effect"] = with_ctes(NEEDS + ["actual"], """SELECT coalesce(a.option_ty
     _pre + _post + cmp_ctes(union(_po), "pre") + cmp_ctes(union(_qo), "post"))
 
 # ---------------------------------------------------------------- pricing steps on the i.i.d. sampler
-_iid = common("contracts_h", 1000) + ls_iid("hi", "historical")
+_iid = common("contracts_h", N) + ls_iid("hi", "historical")
 SQL["clip_log_sum"] = with_ctes(NEEDS, """SELECT hist_ticker, T, count(*) AS n, count(*) FILTER (WHERE abs(log_sum) > 10) AS n_clipped,
     round(max(greatest(least(log_sum, 10.0), -10.0)), 6) AS max_clipped, round(min(greatest(least(log_sum, 10.0), -10.0)), 6) AS min_clipped
     FROM hi_ls GROUP BY 1, 2""", _iid)
@@ -296,7 +295,7 @@ SQL["martingale_correct"] = with_ctes(NEEDS, f"""SELECT hist_ticker, T, round(av
     FROM (SELECT hist_ticker, T, exp(greatest(least(log_sum, {d(10.0)}), {d(-10.0)})) AS g FROM hi_ls) CROSS JOIN rate
     GROUP BY hist_ticker, T, rate.r""", _iid)
 SQL["payoffs"] = with_ctes(NEEDS, """SELECT ticker, round(K, 6) AS K, T, Runs, round(CallPrice, 6) AS CallPrice,
-    round(PutPrice, 6) AS PutPrice FROM hi_out""", _iid + priced("hi", "historical", "contracts_h", [1000]))
+    round(PutPrice, 6) AS PutPrice FROM hi_out""", _iid + priced("hi", "historical", "contracts_h", [N]))
 _methods = [("historical", False), ("window", False), ("window_10d", False), ("window_20d", False), ("student_t", False),
             ("black_scholes", True), ("multifractal", True), ("multifractal_empirical", True), ("block_bootstrap", False),
             ("fhs", False), ("fhs_rn", True), ("analogue", False)]

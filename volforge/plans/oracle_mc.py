@@ -12,7 +12,7 @@ from .oracle import SQL
 from .sqlfix import d, with_ctes
 
 SEED = 42
-N = 1000
+N = 100
 ALT_WEIGHT = 0.1
 BLOCK_P = 1.0 / 5.0
 LAM = 0.4
@@ -39,6 +39,11 @@ def paths_cte(n: int = N) -> tuple[str, str]:
     return ("paths", f"SELECT hist_ticker, T, CAST(range AS BIGINT) AS path_id FROM hz, range({n})")
 
 
+def draws(name: str, uniform: str) -> tuple[str, str]:
+    """Steps with the 1-based index of the return that each draws."""
+    return (name, f"SELECT s.*, CAST(floor({uniform} * v.n) AS BIGINT) + 1 AS ix FROM steps s JOIN vstats v ON v.ticker = s.hist_ticker")
+
+
 STEPS = ("steps", "SELECT p.*, unnest(range(p.T)) AS j FROM paths p")
 
 
@@ -62,10 +67,9 @@ def register(name: str, method: str, ctes: list[tuple[str, str]]):
 
 
 # R1 historical
-register("boot_iid", "historical", [paths_cte(), STEPS, ("ls", f"""SELECT s.hist_ticker, s.T, s.path_id, sum(r.log_return) AS log_sum
-    FROM steps s JOIN vstats v ON v.ticker = s.hist_ticker
-    JOIN ret_idx r ON r.ticker = s.hist_ticker AND r.idx = CAST(floor({u('historical', 'j')} * v.n) AS BIGINT) + 1
-    GROUP BY 1, 2, 3""")])
+register("boot_iid", "historical", [paths_cte(), STEPS, draws("s_ix", u("historical", "j")),
+    ("ls", """SELECT s.hist_ticker, s.T, s.path_id, sum(r.log_return) AS log_sum
+    FROM s_ix s JOIN ret_idx r ON r.ticker = s.hist_ticker AND r.idx = s.ix GROUP BY 1, 2, 3""")])
 
 # R2..R4 exact windows: every start is a path
 for name, method, stride in [("boot_window", "window", 1), ("boot_window_10", "window_10d", 10),
@@ -102,10 +106,10 @@ SQL["student_t_fit"] = with_ctes(["returns", "vstats"], """SELECT ticker, round(
 
 # R5 Student-t mixture
 _t = student_t_sql(SEED, "f.t_df", *key("student_t", "j"))
-register("boot_t_mixture", "student_t", tfit_ctes() + [paths_cte(), STEPS, ("ls", f"""SELECT s.hist_ticker, s.T, s.path_id,
+register("boot_t_mixture", "student_t", tfit_ctes() + [paths_cte(), STEPS, draws("s_ix", u("student_t", "j", repr("h"))),
+    ("ls", f"""SELECT s.hist_ticker, s.T, s.path_id,
     sum(CASE WHEN {u('student_t', 'j', repr('m'))} < {d(ALT_WEIGHT)} THEN f.t_loc + f.t_scale * {_t} ELSE r.log_return END) AS log_sum
-    FROM steps s JOIN vstats v ON v.ticker = s.hist_ticker JOIN tfit f ON f.ticker = s.hist_ticker
-    JOIN ret_idx r ON r.ticker = s.hist_ticker AND r.idx = CAST(floor({u('student_t', 'j', repr('h'))} * v.n) AS BIGINT) + 1
+    FROM s_ix s JOIN tfit f ON f.ticker = s.hist_ticker JOIN ret_idx r ON r.ticker = s.hist_ticker AND r.idx = s.ix
     GROUP BY 1, 2, 3""")])
 
 # R6 stationary block bootstrap: index = (start of the current block + steps since it) mod n
@@ -147,7 +151,7 @@ def _side_by_side() -> str:
 def _gap(side: str) -> str:
     d = f"mc_{side} - bs_{side}"
     return f"""round({d}, 6) + 0.0 AS {side}_diff, round(CASE WHEN bs_{side} <> 0 THEN abs({d}) / bs_{side} * 100.0 END, 6) AS {side}_err_pct,
-        abs({d}) <= 2.0 * se_{side} * (sqrt(10000.0) / sqrt(1000.0)) AS {side}_within_2se"""
+        abs({d}) <= 2.0 * se_{side} * (sqrt(10000.0) / sqrt({N}.0)) AS {side}_within_2se"""
 
 
 SQL["mc_vs_bs"] = f"SELECT ticker, K, T, {_gap('call')}, {_gap('put')} FROM {_side_by_side()}"

@@ -173,7 +173,7 @@ def q_expiry_window(inp: Inputs) -> DataFrame:
 
 @query("first_n_expiries")
 def q_first_n(inp: Inputs) -> DataFrame:
-    q = ch.first_n_expiries(ch.expiry_window(ch.busdays_to_expiry(inp.quotes_raw)))
+    q = ch.first_n_expiries(ch.expiry_window(ch.busdays_to_expiry(inp.quotes_raw)), ch.MAX_EXPIRIES)
     return q.groupBy("ticker", "expiration_date").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -198,14 +198,16 @@ def q_mid_price(inp: Inputs) -> DataFrame:
 
 @query("option_chain")
 def q_option_chain(inp: Inputs) -> DataFrame:
-    """O1..O8: the capped contract table (chain_rows layout, chain_pos)."""
-    return rounded(inp.chain)
+    """O1, O2, O4..O7: the whole contract table, with the quote's order and line."""
+    return rounded(inp.chain.select("*", "chain_key.ck_order", "chain_key.ck_line").drop("chain_key"))
 
 
 @query("row_cap")
 def q_row_cap(inp: Inputs) -> DataFrame:
-    """Rows per ticker after the cap, and the last kept position."""
-    return inp.chain.groupBy("ticker").agg(F.count(F.lit(1)).alias("rows"), F.max("chain_pos").alias("max_pos"))
+    """O8 after O3: rows, expirations and last strike per ticker of the capped chain."""
+    c = ch.option_chain(inp.quotes_raw, ch.MAX_EXPIRIES, ch.MAX_ROWS)
+    return rounded(c.groupBy("ticker").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("expiration_date").alias("expirations"),
+                                           F.max_by("strike", "chain_key").alias("last_strike")))
 
 
 @query("chain_breakdown")

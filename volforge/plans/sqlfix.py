@@ -120,8 +120,8 @@ cte("ch_days", f"""SELECT *, {busdays_sql('quote_date', 'expiration_date')} AS d
 cte("ch_win", """SELECT * FROM ch_days WHERE days_to_expiry BETWEEN 5 AND 60""", ["ch_days"])
 cte("ch_exp", """SELECT * EXCLUDE (er) FROM (SELECT *, dense_rank() OVER (PARTITION BY ticker ORDER BY expiration_date) AS er
     FROM ch_win) WHERE er <= 12""", ["ch_win"])
-cte("ch_flt", f"""SELECT * FROM ch_exp WHERE coalesce(volume, 0) >= 1 AND coalesce(open_interest, 0) >= 10 AND "last" > 0
-        AND strike >= {d(0.8)} * underlying_price AND strike <= {d(1.2)} * underlying_price""", ["ch_exp"])
+cte("ch_flt", f"""SELECT * FROM ch_win WHERE coalesce(volume, 0) >= 1 AND coalesce(open_interest, 0) >= 10 AND "last" > 0
+        AND strike >= {d(0.8)} * underlying_price AND strike <= {d(1.2)} * underlying_price""", ["ch_win"])
 cte("ch_pos", """SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY expiration_date, option_type, strike,
         ck_order, ck_line, ck_part, ck_supp, ck_price) AS pos FROM ch_flt""", ["ch_flt"])
 cte("option_chain", f"""SELECT ticker, expiration_date, days_to_expiry, option_type, strike, "last" AS last_price,
@@ -130,8 +130,11 @@ cte("option_chain", f"""SELECT ticker, expiration_date, days_to_expiry, option_t
              ELSE "last" END AS mid_price,
         coalesce(implied_volatility, {d(0.0)}) AS implied_volatility,
         CAST(coalesce(volume, 0) AS INTEGER) AS volume, CAST(coalesce(open_interest, 0) AS INTEGER) AS open_interest,
-        underlying_price, CAST(pos AS INTEGER) AS chain_pos
-    FROM ch_pos WHERE pos <= 120""", ["ch_pos"])
+        underlying_price, ck_order, ck_line, pos AS chain_pos
+    FROM ch_pos""", ["ch_pos"])
+cte("capped", """SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY ticker ORDER BY chain_pos) AS cap_pos FROM option_chain c
+        WHERE (ticker, expiration_date) IN (SELECT (ticker, expiration_date) FROM ch_exp)) WHERE cap_pos <= 120""",
+    ["option_chain", "ch_exp"])
 
 # --- accuracy-study contract grid and observed mids
 cte("combos", """SELECT ticker, strike, days_to_expiry, option_type, min(chain_pos) AS chain_pos,
@@ -141,8 +144,8 @@ cte("sampled", """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTI
         md5(concat_ws(':', '42', ticker, CAST(CAST(round(strike * 100) AS BIGINT) AS VARCHAR),
                       CAST(days_to_expiry AS VARCHAR), option_type)), chain_pos) AS rn FROM combos) WHERE rn <= 30""",
     ["combos"])
-cte("contracts", """SELECT ticker, strike AS K, days_to_expiry AS T, min(underlying_price) AS S0 FROM sampled GROUP BY 1, 2, 3""",
-    ["sampled"])
+cte("contracts", """SELECT ticker, strike AS K, days_to_expiry AS T, min(underlying_price) AS S0 FROM combos GROUP BY 1, 2, 3""",
+    ["combos"])
 cte("actual", """SELECT ticker, strike AS K, days_to_expiry AS T,
         arg_min(mid_price, chain_pos) FILTER (WHERE option_type = 'call') AS actual_call,
         arg_min(mid_price, chain_pos) FILTER (WHERE option_type = 'put') AS actual_put
@@ -211,5 +214,6 @@ def with_ctes(names: list[str], body: str, extra: list[tuple[str, str]] | None =
     for n, s in extra or []:
         if n not in seen:          # a helper CTE shared by several sampler families is defined once
             seen.add(n)
-            parts.append(f"{n} AS ({s})")
+            # drawn indices are computed once, before DuckDB picks a join order for the returns they point at
+            parts.append(f"{n} AS {'MATERIALIZED ' if n.endswith('_ix') else ''}({s})")
     return half_up(("WITH " + ",\n".join(parts) + "\n" + body) if parts else body)
