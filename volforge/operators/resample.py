@@ -241,6 +241,41 @@ def boot_cascade(paths: DataFrame, state: DataFrame, cfg: MCConfig, r: Column, t
     return agg.select(*PATH_KEYS, (drift + diff).alias("log_sum"))
 
 
+def _per_setting(agg: DataFrame, sums: list[str]) -> DataFrame:
+    """One row per path and setting out of one log-sum column per setting: method ``<method>#<index>``."""
+    per = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("ls")) for i, c in enumerate(sums)]))
+    return (agg.select("hist_ticker", "T", "method", "path_id", per.alias("_p"))
+               .select("hist_ticker", "T", F.concat("method", F.lit("#"), F.col("_p.i").cast("string")).alias("method"),
+                       "path_id", F.col("_p.ls").alias("log_sum")))
+
+
+def boot_cascade_lambdas(paths: DataFrame, state: DataFrame, cfg: MCConfig, r: Column, lambdas: list[float],
+                         tag: str, zres: DataFrame) -> DataFrame:
+    """R10 for several lambdas in one pass: the Gaussians of the cells and the residuals do not depend
+    on lambda, and a leaf's weight is exp(-L lam^2/2 + lam G) with G the sum of its cells' Gaussians.
+    Rows come back with method ``<method>#<lambda index>``."""
+    st = cfg.stream
+    x = _with_state(paths, state, ["vol", "n_z", "degenerate"]).withColumn("_k", _pkey(cfg, tag))
+    s = _steps(x.withColumn("_L", cascade_levels(F.col("T"), cfg.cascade_levels)).withColumn("_r", r))
+    k, j, L = F.col("_k"), F.col("j"), F.col("_L")
+    cell = lambda lv: F.floor(j / F.pow(F.lit(2.0), L - lv - F.lit(1))).cast("int")
+    gauss = F.aggregate(F.sequence(F.lit(0), L - 1), F.lit(0.0), lambda a, lv: a + st.u_gauss(k, F.lit("c"), lv, cell(lv)))
+    s = s.withColumn("idx", st.u_index(F.col("n_z"), k, j, "z")).join(zres, ["hist_ticker", "idx"], "left")
+    z = F.when(F.col("degenerate"), st.u_gauss(k, j, "z")).otherwise(F.col("v"))
+    keys = _path_keys(s)
+    s = s.select(*keys, "vol", "_r", "_L", gauss.alias("_g"), z.alias("_z"))
+    sums = []
+    for i, lam in enumerate(lambdas):
+        theta = F.exp(F.lit(-0.5 * lam * lam) * F.col("_L") + F.lit(lam) * F.col("_g"))
+        sums += [F.sum(theta).alias(f"_S{i}"), F.sum(F.sqrt(theta) * F.col("_z")).alias(f"_Q{i}")]
+    agg = s.groupBy(*keys, "vol", "_r").agg(*sums)
+    Tc, vol = F.col("T").cast("double"), F.col("vol")
+    drift = (F.col("_r") - F.lit(0.5) * vol * vol) * Tc / F.lit(TRADING_DAYS)
+    ls = [(drift + vol * F.sqrt(Tc / F.col(f"_S{i}")) * F.col(f"_Q{i}") / F.lit(math.sqrt(TRADING_DAYS))).alias(f"_w{i}")
+          for i in range(len(lambdas))]
+    return _per_setting(agg.select(*PATH_KEYS, *ls), [f"_w{i}" for i in range(len(lambdas))])
+
+
 def boot_t_mixture_weights(paths: DataFrame, state: DataFrame, cfg: MCConfig, weights: list[float],
                            tag: str = "student_t", rets: DataFrame | None = None) -> DataFrame:
     """R5 for several mixture weights in one pass: the per-step draws (historical value, Student-t
@@ -257,8 +292,4 @@ def boot_t_mixture_weights(paths: DataFrame, state: DataFrame, cfg: MCConfig, we
                  F.col("v").alias("_h"), st.u(k, j, "m").alias("_m"))
     sums = [F.sum(F.when(F.col("_m") < F.lit(w), F.col("_t")).otherwise(F.col("_h"))).alias(f"_w{i}")
             for i, w in enumerate(weights)]
-    agg = s.groupBy(*keys).agg(*sums)
-    per = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_w{i}").alias("ls")) for i in range(len(weights))]))
-    out = agg.select("hist_ticker", "T", "method", "path_id", per.alias("_p"))
-    return out.select("hist_ticker", "T", F.concat(F.col("method"), F.lit("#"), F.col("_p.i").cast("string")).alias("method"),
-                      "path_id", F.col("_p.ls").alias("log_sum"))
+    return _per_setting(s.groupBy(*keys).agg(*sums), [f"_w{i}" for i in range(len(weights))])

@@ -143,12 +143,17 @@ def _put_mape_by(priced: DataFrame, inp: Inputs, key: str) -> DataFrame:
 @query("lambda_sweep")
 def q_lambda_sweep(inp: Inputs) -> DataFrame:
     """Put MAPE of the empirical-residual cascade by intermittency lambda (discounted)."""
-    state = mc.series_state(inp, ["multifractal_empirical"])
-    out = None
-    for lam in LAMBDAS:
-        p = mc.run_methods(inp, inp.contracts_cp, replace(mc.ORACLE_CFG, lam=lam), ["multifractal_empirical"], state=state)
-        p = p.withColumn("lam", F.lit(lam))
-        out = p if out is None else out.unionByName(p)
+    method, cfg = "multifractal_empirical", mc.ORACLE_CFG
+    tables = mc._lookup_tables(mc.series_state(inp, [method]))
+    contracts = inp.contracts_cp
+    paths = rs.path_table(contracts.select("hist_ticker", "T"), [method], cfg.n_paths, cfg.chunk)
+    paths = paths.crossJoin(inp.rate.select(F.col("r").alias("_rate")))                     # rate: one row
+    pool = tables["state"].withColumn("n_z", F.size("z_res"))
+    ls = rs.boot_cascade_lambdas(paths, pool, cfg, F.col("_rate"), LAMBDAS, method, tables["zres"])
+    priced = price_log_sums(ls, contracts.select("ticker", "hist_ticker", "K", "T", "S0"), inp.rate,
+                            {f"{method}#{i}" for i in range(len(LAMBDAS))}, mc.EMC_DEFAULT, [cfg.n_paths])
+    setting = F.split(F.col("method"), "#").getItem(1).cast("int")
+    out = priced.withColumn("lam", F.element_at(F.array(*[F.lit(v) for v in LAMBDAS]), setting + 1))
     return rounded(_with_best(_put_mape_by(out, inp, "lam"), "lam"))
 
 
