@@ -82,7 +82,7 @@ class Inputs:
     @cached_property
     def contracts_cp(self) -> DataFrame:
         """The contract grid materialised once in the checkpoint folder: several Monte Carlo plans
-        share it, its size check is then a read of a few hundred rows, and its lineage is cut."""
+        share it, its size check then reads stored rows, and its lineage is cut."""
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(self.spark)
         return self.contracts.checkpoint(eager=True)
