@@ -162,11 +162,12 @@ def highest_scale(df: DataFrame, col: str = "num_runs") -> DataFrame:
 
 # ---------------------------------------------------------------- convergence (W4, E9, A11q, A9q, A10q, E8)
 
-def convergence(prices: DataFrame, threshold: float = CONVERGENCE_PCT) -> DataFrame:
+def convergence(prices: DataFrame, threshold: float = CONVERGENCE_PCT, by: tuple[str, ...] = ()) -> DataFrame:
     """Prices (alt_weight, runs, method, CallPrice, PutPrice) -> transitions between successive
     scales per (alt_weight, method). Price = Call unless it is exactly 0, then Put; the converged
-    flag is computed before rounding."""
-    w = Window.partitionBy("alt_weight", "method").orderBy("runs")
+    flag is computed before rounding. Here and below, ``by`` names the contract's columns where the
+    prices are of several contracts: each is then reported on its own."""
+    w = Window.partitionBy(*by, "alt_weight", "method").orderBy("runs")
     px = F.when(F.col("CallPrice") > 0, F.col("CallPrice")).otherwise(F.col("PutPrice"))
     d = (prices.withColumn("curr_price", px)
                .withColumn("prev_price", F.lag("curr_price").over(w))
@@ -176,7 +177,7 @@ def convergence(prices: DataFrame, threshold: float = CONVERGENCE_PCT) -> DataFr
              .when(F.col("prev_price") == 0, F.lit(100.0))
              .otherwise(F.abs((F.col("curr_price") - F.col("prev_price")) / F.col("prev_price")) * F.lit(100.0)))
     d = d.withColumn("pct_change", pct)
-    return d.select("alt_weight", "method", F.col("from_runs").cast("int").alias("from_runs"),
+    return d.select(*by, "alt_weight", "method", F.col("from_runs").cast("int").alias("from_runs"),
                     F.col("runs").cast("int").alias("to_runs"),
                     round_half_up(F.col("prev_price"), 4).alias("prev_price"),
                     round_half_up(F.col("curr_price"), 4).alias("curr_price"),
@@ -184,17 +185,17 @@ def convergence(prices: DataFrame, threshold: float = CONVERGENCE_PCT) -> DataFr
                     (F.col("pct_change") <= F.lit(threshold)).alias("converged"))
 
 
-def transition_report(conv: DataFrame) -> DataFrame:
+def transition_report(conv: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """PASS/FAIL per (alt_weight, method) at the last transition."""
-    last = conv.groupBy("alt_weight").agg(F.max("to_runs").alias("_last"))
-    return (conv.join(last, "alt_weight").where(F.col("to_runs") == F.col("_last")).drop("_last")
+    last = conv.groupBy(*by, "alt_weight").agg(F.max("to_runs").alias("_last"))
+    return (conv.join(last, [*by, "alt_weight"]).where(F.col("to_runs") == F.col("_last")).drop("_last")
                 .withColumn("verdict", F.when(F.col("converged"), F.lit("PASS")).otherwise(F.lit("FAIL"))))
 
 
-def weight_summary(conv: DataFrame) -> DataFrame:
+def weight_summary(conv: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """A11q: per weight at the last transition: #converged, total, best method, min pct_change, all-pass."""
-    last = transition_report(conv)
-    return last.groupBy("alt_weight").agg(
+    last = transition_report(conv, by)
+    return last.groupBy(*by, "alt_weight").agg(
         F.sum(F.col("converged").cast("int")).cast("bigint").alias("n_converged"),
         F.count(F.lit(1)).alias("n_methods"),
         F.min_by("method", F.struct("pct_change", "method")).alias("best_method"),
@@ -202,33 +203,33 @@ def weight_summary(conv: DataFrame) -> DataFrame:
         F.bool_and("converged").alias("all_converged"))
 
 
-def bs_consistency(prices: DataFrame, runs: int | None = None) -> DataFrame:
+def bs_consistency(prices: DataFrame, runs: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """A9q: mean and sample std of the black_scholes price across weights (at the top scale);
     consistent when std < 1.0."""
     bs = highest_scale(prices.where(F.col("method") == "black_scholes"), "runs")
-    return bs.agg(F.avg("CallPrice").alias("mean_call"), F.stddev_samp("CallPrice").alias("std_call"),
+    return bs.groupBy(*by).agg(F.avg("CallPrice").alias("mean_call"), F.stddev_samp("CallPrice").alias("std_call"),
                   F.avg("PutPrice").alias("mean_put"), F.stddev_samp("PutPrice").alias("std_put")) \
              .withColumn("consistent", F.coalesce(F.col("std_call"), F.lit(0.0)) < F.lit(1.0))
 
 
-def spread_vs_bs(prices: DataFrame) -> DataFrame:
+def spread_vs_bs(prices: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """A10q: per method at the top scale: call price per weight (long form), the average over weights,
     and the % difference from the black_scholes average (0 when that is <= 0)."""
     top = highest_scale(prices, "runs")
-    avg_m = top.groupBy("method").agg(F.avg("CallPrice").alias("avg_call"))
-    bs = avg_m.where(F.col("method") == "black_scholes").select(F.col("avg_call").alias("bs_avg"))
-    return (avg_m.crossJoin(bs)   # bs: one row
+    avg_m = top.groupBy(*by, "method").agg(F.avg("CallPrice").alias("avg_call"))
+    bs = avg_m.where(F.col("method") == "black_scholes").select(*by, F.col("avg_call").alias("bs_avg"))
+    return ((avg_m.join(bs, list(by)) if by else avg_m.crossJoin(bs))   # bs: one row a contract
                  .withColumn("pct_vs_bs", F.when(F.col("bs_avg") > 0,
                                                  (F.col("avg_call") - F.col("bs_avg")) / F.col("bs_avg") * F.lit(100.0))
                              .otherwise(F.lit(0.0)))
                  .drop("bs_avg"))
 
 
-def premium_over_bs(prices: DataFrame, analytic_call: DataFrame) -> DataFrame:
-    """(avg call - BS analytical) / BS * 100 by method; analytic_call: one row (bs_call)."""
+def premium_over_bs(prices: DataFrame, analytic_call: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(avg call - BS analytical) / BS * 100 by method; analytic_call: one row a contract (bs_call)."""
     top = highest_scale(prices, "runs")
-    return (top.groupBy("method").agg(F.avg("CallPrice").alias("avg_call"))
-               .crossJoin(analytic_call)
+    avg_m = top.groupBy(*by, "method").agg(F.avg("CallPrice").alias("avg_call"))
+    return ((avg_m.join(analytic_call, list(by)) if by else avg_m.crossJoin(analytic_call))
                .withColumn("premium_pct", (F.col("avg_call") - F.col("bs_call")) / F.col("bs_call") * F.lit(100.0)))
 
 

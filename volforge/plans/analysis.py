@@ -20,6 +20,7 @@ from .relational import query
 # Fixed values of the convergence study (one contract, several scales and mixture weights).
 CONV_TICKER = "3-MEDIUM"
 CONV_T = 10
+CONV_KEYS = ("ticker", "T")
 CONV_SCALES = [250, 500, 1000, 2000]
 CONV_WEIGHTS = [0.1, 0.2, 0.3, 0.4, 0.5]
 CONV_METHODS = ["historical", "window", "window_10d", "window_20d", "block_bootstrap", "multifractal_empirical",
@@ -40,26 +41,42 @@ def conv_contract(inp: Inputs) -> DataFrame:
                     F.lit(CONV_T).alias("T"), "S0")
 
 
-def conv_prices(inp: Inputs) -> DataFrame:
-    """(alt_weight, runs, method, CallPrice, PutPrice): every method at every scale and weight.
-    Only the Student-t mixture depends on the weight; the other methods are priced once and
-    reported for each weight."""
-    c = conv_contract(inp)
+def conv_grid(inp: Inputs) -> DataFrame:
+    """The convergence contracts of every ticker and horizon of the chain, each at the money."""
+    s = inp.contracts.groupBy("ticker", "hist_ticker", "T").agg(F.min("S0").alias("S0"))
+    return s.select("ticker", "hist_ticker", round_half_up(F.col("S0"), 2).alias("K"), "T", "S0")
+
+
+def conv_grid_prices(inp: Inputs, c: DataFrame, scales: list[int] = CONV_SCALES) -> DataFrame:
+    """(ticker, T, alt_weight, runs, method, CallPrice, PutPrice) of the contracts ``c``, one for each
+    ticker and T: every method at every scale and weight. Only the Student-t mixture depends on the
+    weight; the other methods are priced once and reported for each weight."""
     state = mc.series_state(inp, CONV_METHODS + ["student_t"])
-    base = mc.run_methods(inp, c, mc.ORACLE_CFG, CONV_METHODS, CONV_SCALES, state=state)
+    base = mc.run_methods(inp, c, mc.ORACLE_CFG, CONV_METHODS, scales, state=state)
     base = base.select("*", F.explode(F.array(*[F.lit(w) for w in CONV_WEIGHTS])).alias("alt_weight"))
     # the Student-t mixture for all weights in one sampler pass (same draws, different thresholds)
     tables = mc._lookup_tables(state)
-    cfg = replace(mc.ORACLE_CFG, n_paths=max(CONV_SCALES))
-    paths = rs.path_table(c.select("hist_ticker", "T"), ["student_t"], cfg.n_paths, cfg.chunk)
+    cfg = replace(mc.ORACLE_CFG, n_paths=max(scales))
+    paths = rs.path_table(c.select("hist_ticker", "T").distinct(), ["student_t"], cfg.n_paths, cfg.chunk)
     ls = rs.boot_t_mixture_weights(paths, tables["state"], cfg, CONV_WEIGHTS, "student_t", tables["rets"])
     t = price_log_sums(ls, c.select("ticker", "hist_ticker", "K", "T", "S0"), inp.rate, mc.RISK_NEUTRAL,
-                       mc.EMC_DEFAULT, CONV_SCALES)
+                       mc.EMC_DEFAULT, scales)
     wts = F.array(*[F.lit(w) for w in CONV_WEIGHTS])
     t = t.select("ticker", "K", "T", "S0", F.lit("student_t").alias("method"), "Runs", "CallPrice", "PutPrice",
                  F.element_at(wts, F.split(F.col("method"), "#").getItem(1).cast("int") + 1).alias("alt_weight"))
     out = base.unionByName(t)
-    return out.select("alt_weight", F.col("Runs").alias("runs"), "method", "CallPrice", "PutPrice")
+    return out.select(*CONV_KEYS, "alt_weight", F.col("Runs").alias("runs"), "method", "CallPrice", "PutPrice")
+
+
+def conv_prices(inp: Inputs) -> DataFrame:
+    """(alt_weight, runs, method, CallPrice, PutPrice) of the convergence contract."""
+    return conv_grid_prices(inp, conv_contract(inp)).drop(*CONV_KEYS)
+
+
+def analytic_calls(inp: Inputs, c: DataFrame) -> DataFrame:
+    """(ticker, T, bs_call): the closed-form call of each contract."""
+    c = c.join(inp.stats.select(F.col("ticker").alias("hist_ticker"), "vol"), "hist_ticker")
+    return pc.bs_price(c.crossJoin(inp.rate)).select(*CONV_KEYS, "bs_call")                  # rate: one row
 
 
 @query("convergence")
@@ -91,8 +108,7 @@ def q_spread(inp: Inputs) -> DataFrame:
 @query("premium_over_bs")
 def q_premium(inp: Inputs) -> DataFrame:
     """(average call over weights - BS analytical) / BS * 100 per method at the top scale."""
-    c = conv_contract(inp).join(inp.stats.select(F.col("ticker").alias("hist_ticker"), "vol"), "hist_ticker")
-    bs = pc.bs_price(c.crossJoin(inp.rate)).select("bs_call")            # one contract, one rate row
+    bs = analytic_calls(inp, conv_contract(inp)).select("bs_call")            # one contract
     return rounded(ev.premium_over_bs(conv_prices(inp), bs))
 
 
@@ -102,6 +118,26 @@ def q_highest(inp: Inputs) -> DataFrame:
     return rounded(ev.highest_scale(conv_prices(inp), "runs"))
 
 
+# The same reports for every ticker and horizon of the chain, with both as keys.
+GRID_REPORTS = {
+    "convergence": lambda p, bs: ev.convergence(p, by=CONV_KEYS),
+    "transition_report": lambda p, bs: ev.transition_report(ev.convergence(p, by=CONV_KEYS), CONV_KEYS),
+    "weight_summary": lambda p, bs: ev.weight_summary(ev.convergence(p, by=CONV_KEYS), CONV_KEYS),
+    "bs_consistency": lambda p, bs: ev.bs_consistency(p, by=CONV_KEYS),
+    "spread_vs_bs": lambda p, bs: ev.spread_vs_bs(p, CONV_KEYS),
+    "premium_over_bs": lambda p, bs: ev.premium_over_bs(p, bs, CONV_KEYS),
+    "highest_scale": lambda p, bs: ev.highest_scale(p, "runs"),
+}
+for _name, _report in GRID_REPORTS.items():
+    def _make(name, report):
+        def plan(inp: Inputs) -> DataFrame:
+            c = conv_grid(inp)
+            return rounded(report(conv_grid_prices(inp, c), analytic_calls(inp, c)))
+        plan.__doc__ = f"The {name} report of every ticker and horizon of the chain."
+        return plan
+    query(f"{_name}_grid")(_make(_name, _report))
+
+
 # ------------------------------------------------------------------ accuracy at several scales / sweeps
 
 def scale_errors(inp: Inputs) -> DataFrame:
