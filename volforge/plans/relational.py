@@ -88,6 +88,18 @@ def q_latest_dates(inp: Inputs) -> DataFrame:
     return pr.latest_dates(inp.stored)
 
 
+@query("existing_tickers_all")
+def q_existing_all(inp: Inputs) -> DataFrame:
+    """T6 over the whole price table (existing_tickers reads the stored split of its SQL)."""
+    return pr.existing_tickers(inp.price_table)
+
+
+@query("latest_dates_all")
+def q_latest_dates_all(inp: Inputs) -> DataFrame:
+    """T7 over the whole price table."""
+    return pr.latest_dates(inp.price_table)
+
+
 def _requested(inp: Inputs) -> DataFrame:
     """Requested tickers: every landed ticker, ordinal = rank by name."""
     t = inp.prices.select("ticker").distinct()
