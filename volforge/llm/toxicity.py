@@ -8,9 +8,10 @@ stays close to the plain one. Landmarks are strings that tell toxic from clean t
 and clean units, among them those that come closest; the Nystrom map sends a unit to its kernel values at the
 landmarks, whitened, and a squared-hinge support vector machine is fitted there. Its decision
 function is one vector over subsequences, so scoring a unit is a table look-up, and workers remember
-the units they have seen. A text is scored by its worst unit, the next worst, and the share of its
-distinct units on the toxic side (one word that resembles an insult by chance is not many), on a
-logistic scale fitted to the training documents.
+the units they have seen. A text is scored by its worst unit and by the most units on the toxic side
+among any SPAN units in a row (one word that resembles an insult by chance is not many), on a
+logistic scale fitted to the training documents. Neither falls, nor does the score, when text is
+added before or after: a long clean text does not hide an insult.
 
 Training looks at a bounded sample: of the rows that may be learned from, up to ``sample`` toxic and
 twice as many clean ones, those with the smallest hashed ids. Their sentences carry the document's
@@ -50,20 +51,26 @@ PENALTY = 10.0                          # of a violated margin, for a unit seen
 CACHE = 250_000                          # remembered units of a worker
 BATCH_CHARS = 1 << 21
 THRESHOLD = 0.3
-FLOOR, SMOOTH = 0.1, 20.0                # added to the toxic units and to all units of a text's share
+SPAN, FLOOR = 48, 0.1                    # units in a row among which toxic ones are counted; added to the count
 
 _MARKS = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
 
 
+def unit_sequence(text: str) -> list[str]:
+    """The units of a text in their order, before their marks are stripped."""
+    low, found, at = text.lower(), [], 0
+    for run in _SPELLED.finditer(low):
+        found += low[at:run.start()].split()
+        found.append("".join(run.group().split()))
+        at = run.end()
+    return found + low[at:].split()
+
+
 def raw_units(text: str) -> set[str]:
     """The distinct units of a text before their marks are stripped."""
-    low = text.lower()
-    found = set(low.split())
-    for run in _SPELLED.finditer(low):
-        found.add("".join(run.group().split()))
-    return found
+    return set(unit_sequence(text))
 
 
 def _windows(unit: str) -> list[str]:
@@ -127,7 +134,7 @@ class Model:
     ``constant`` if nothing could be learned."""
     vector: np.ndarray | None
     bias: float = 0.0
-    slopes: tuple[float, ...] = (1.0, 0.0, 0.0)
+    slopes: tuple[float, ...] = (1.0, 0.0)
     shift: float = 0.0
     constant: float | None = None
 
@@ -163,20 +170,19 @@ class Scorer:
         self.model, self.seen = model, {}
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Of each text: the largest and the next margin of its units (the bias where there are none),
-        and the logarithm of the (smoothed) share of units with a positive one."""
-        bias = self.model.bias
-        out = np.tile([bias, bias, math.log(FLOOR / SMOOTH)], (len(texts), 1))
+        """Of each text: the largest margin of its units (the bias where there are none), and the
+        logarithm of the (smoothed) most units with a positive one among SPAN in a row."""
+        out = np.tile([self.model.bias, math.log(FLOOR)], (len(texts), 1))
         start = 0
         while start < len(texts):
             end, size = start, 0
             while end < len(texts) and (end == start or size + len(texts[end] or "") <= BATCH_CHARS):
                 size += len(texts[end] or "")
                 end += 1
-            units = [raw_units(t) if t else set() for t in texts[start:end]]
+            units = [unit_sequence(t) if t else [] for t in texts[start:end]]
             if len(self.seen) > CACHE:
                 self.seen.clear()
-            new = list(set().union(*(u.difference(self.seen) for u in units)))
+            new = list(set().union(*units).difference(self.seen))
             for s in range(0, len(new), 1 << 15):
                 chunk = new[s:s + (1 << 15)]
                 self.seen.update(zip(chunk, self.model.margins(chunk).tolist()))
@@ -184,9 +190,9 @@ class Scorer:
             for i, u in enumerate(units):
                 if u:
                     m = np.fromiter(map(get, u), np.float64, len(u))
-                    top = m.max() if len(u) == 1 else np.partition(m, -2)[-2:]
-                    out[start + i] = (np.max(top), bias if len(u) == 1 else top[0],
-                                      math.log((FLOOR + int((m > 0).sum())) / (SMOOTH + len(u))))
+                    at = np.flatnonzero(m > 0)
+                    near = np.searchsorted(at, at + SPAN) - np.arange(len(at))
+                    out[start + i] = m.max(), math.log(FLOOR + near.max(initial=0))
             start = end
         return out
 
@@ -264,6 +270,16 @@ def _logistic_scale(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], fl
     return tuple(map(float, w[:-1])), float(w[-1])
 
 
+def rising_scale(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """The logistic scale without the features whose weight would be negative: no score falls as one rises."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        slopes, shift = _logistic_scale(x * used, y)
+        if min(slopes) >= 0:
+            return slopes, shift
+        used &= np.array(slopes) >= 0
+
+
 def held_out(id_col) -> Column:
     """Whether a row must not be learned from."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -376,8 +392,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     np.add.at(vector, slots, lw[None, :] * (beta / np.maximum(norms(slots, lw), 1e-12))[:, None])
     vector[0] = 0
     model = Model(vector, bias)
-    known = np.array(sample_features(rows, model).collect(), np.float64).reshape(-1, 4)
-    model.slopes, model.shift = _logistic_scale(known[:, 1:], known[:, 0])
+    known = np.array(sample_features(rows, model).collect(), np.float64).reshape(-1, 3)
+    model.slopes, model.shift = rising_scale(known[:, 1:], known[:, 0])
     return model
 
 
@@ -386,10 +402,10 @@ def sample_features(sample: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(model)
         for b in batches:
             x = scorer.features(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array(x[:, k]) for k in range(3))],
-                                             names=["toxic", "worst", "next", "share"])
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array(x[:, k]) for k in range(2))],
+                                             names=["toxic", "worst", "near"])
 
-    return sample.select("toxic", "text").mapInArrow(run, "toxic int, worst double, next double, share double")
+    return sample.select("toxic", "text").mapInArrow(run, "toxic int, worst double, near double")
 
 
 def score(text: Column, model: Model) -> Column:
