@@ -8,9 +8,10 @@ rule anywhere in a component holds for every alias that has no rule of its own.
 takes precedence: a url that an allow rule fits stays allowed whatever its aliases are. Everything
 else is allowed.
 
-Links are read from each page's html: ``<link rel="canonical" href>`` and
-``<meta http-equiv="refresh" content="...url=">``; further (url, url) edges, such as a crawler's
-redirect log, can be passed in. Relative targets are resolved against the page's host. A url's node
+Links are read from each page's html: every ``<link rel="canonical" href>`` (among other rel words,
+too) and ``<meta http-equiv="refresh" content="...url=">``; further (url, url) edges, such as a
+crawler's redirect log, can be passed in. Relative targets are resolved against the page's host and
+directory (``<base>`` is not read). A url's node
 is its (host, path), the same parts that rules see, so query strings and fragments make no new node.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule, has no
@@ -36,7 +37,8 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-_CANONICAL = (r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""")
+_CANONICAL = (r"""(?is)<link\b(?=[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'"""
+              r"""|canonical(?=[\s>/]|$)))[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""")
 _REFRESH = (r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""")
 
 
@@ -70,11 +72,28 @@ def longest_rule(host, path, rules: Sequence[tuple[str, str, str]]):
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _absolute(host, target):
-    """A link target as an absolute url; null when it is a fragment, a scheme without authority, or empty."""
-    return (F.when(F.instr(target, "://") > 0, target)
+def _without_dots(path):
+    """A path with its ``.`` and ``..`` segments applied."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: (
+        F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .when(x == ".", done).otherwise(F.concat(done, F.array(x)))))
+    return F.array_join(F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
+def _absolute(host, path, target):
+    """A link target as an absolute url, resolved against the page's host and directory; null when it
+    is a fragment, a scheme without authority, or empty."""
+    site = F.when(host != "", F.concat(F.lit("http://"), host))
+    base = F.when(path == "", F.lit("/")).otherwise(path)
+    own, rest = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_extract(target, r"[?#](?s:.*)$", 0)
+    folder = F.regexp_replace(base, r"[^/]*$", "")
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | F.startswith(target, F.lit("#")) | (target == ""), F.lit(None))
             .when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target))
-            .when(F.startswith(target, F.lit("/")) & (host != ""), F.concat(F.lit("http://"), host, target)))
+            .when(F.startswith(target, F.lit("/")), F.concat(site, _without_dots(own), rest))
+            .when(F.startswith(target, F.lit("?")), F.concat(site, base, target))
+            .otherwise(F.concat(site, _without_dots(F.concat(folder, own)), rest)))
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -83,10 +102,10 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     page = page.where(F.col("html").isNotNull()).where(
         F.contains(F.lower("html"), F.lit("canonical")) | F.contains(F.lower("html"), F.lit("refresh")))
     found = page.select(
-        "from_url", F.explode(F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1))).alias("target"))
+        "from_url", F.explode(F.concat(*(F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in (_CANONICAL, _REFRESH)))).alias("target"))
     target = F.replace(F.col("target"), F.lit("&amp;"), F.lit("&"))
     return (found.where(F.col("target") != "")
-            .select("from_url", _absolute(host_of(F.col("from_url")), target).alias("to_url"))
+            .select("from_url", _absolute(host_of(F.col("from_url")), path_of(F.col("from_url")), target).alias("to_url"))
             .where(F.col("to_url").isNotNull()))
 
 
