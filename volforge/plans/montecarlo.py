@@ -150,13 +150,33 @@ def _priced(inp: Inputs, methods: list[str], cfg: rs.MCConfig = ORACLE_CFG, **kw
     return rounded(run_methods(inp, inp.contracts_cp, cfg, methods, **kw).select(*RESULT_COLS))
 
 
+# Fewer returns are not fitted: the filtered samplers then draw i.i.d. (``fhs_min_obs``).
+MIN_FIT = ORACLE_CFG.fhs_min_obs
+SHORT = f"fewer than {MIN_FIT} returns"
+
+
+def return_counts(inp: Inputs) -> DataFrame:
+    """(ticker, n, reason): the returns of every ticker with prices, and why it has no GARCH fit (else null)."""
+    n = st.return_arrays(inp.returns).select("ticker", "n")
+    out = inp.prices.select("ticker").distinct().join(n, "ticker", "left").select("ticker", F.coalesce("n", F.lit(0)).alias("n"))
+    return out.withColumn("reason", F.when(F.col("n") < MIN_FIT, F.lit(SHORT)))
+
+
+def with_fallback(inp: Inputs, priced: DataFrame) -> DataFrame:
+    """Filtered prices with ``fallback``: why their ticker was resampled i.i.d. instead (else null)."""
+    why = return_counts(inp).select(F.col("ticker").alias("hist_ticker"), F.col("reason").alias("fallback"))
+    named = inp.contracts.select("ticker", "hist_ticker").distinct().join(why, "hist_ticker", "left").drop("hist_ticker")
+    return priced.join(named, "ticker", "left")
+
+
 for _name, _method in [("boot_iid", "historical"), ("boot_window", "window"), ("boot_window_10", "window_10d"),
                        ("boot_window_20", "window_20d"), ("boot_t_mixture", "student_t"),
                        ("boot_block", "block_bootstrap"), ("boot_filtered", "fhs"), ("boot_filtered_rn", "fhs_rn"),
                        ("boot_cascade", "multifractal_empirical")]:
     def _make(m):
         def plan(inp: Inputs) -> DataFrame:
-            return _priced(inp, [m])  # noqa: B023
+            out = _priced(inp, [m])  # noqa: B023
+            return with_fallback(inp, out) if m in ("fhs", "fhs_rn") else out  # noqa: B023
         plan.__doc__ = f"Prices of every contract by the {m} sampler ({ORACLE_PATHS} paths, md5 stream)."
         return plan
     query(_name)(_make(_method))
@@ -221,16 +241,21 @@ def q_student_t_fit(inp: Inputs) -> DataFrame:
 
 @query("garch_fit")
 def q_garch_fit(inp: Inputs) -> DataFrame:
-    """D3: GARCH(1,1) fit per ticker (coarse-to-fine likelihood grid)."""
-    f = st.garch_fit(st.return_arrays(inp.returns).where(F.col("n") >= 30))
-    return rounded(f.select("ticker", "n", "omega", "alpha", "beta", "nll"), 10)
+    """D3: GARCH(1,1) fit per ticker (coarse-to-fine likelihood grid); without enough returns, null
+    parameters and the reason."""
+    f = st.garch_fit(st.return_arrays(inp.returns).where(F.col("n") >= MIN_FIT)).drop("n")
+    return rounded(return_counts(inp).join(f, "ticker", "left").select("ticker", "n", "omega", "alpha", "beta", "nll", "reason"), 10)
 
 
 @query("garch_filter")
 def q_garch_filter(inp: Inputs) -> DataFrame:
-    """Conditional variance, recentred standardised residual and next-day variance per day."""
-    f = st.garch_fit(st.return_arrays(inp.returns).where(F.col("n") >= 30))
-    return rounded(st.garch_filter(f, inp.returns), 10)
+    """Conditional variance, recentred standardised residual and next-day variance per day; nulls
+    and the reason on the days of a ticker without enough returns."""
+    f = st.garch_fit(st.return_arrays(inp.returns).where(F.col("n") >= MIN_FIT))
+    short = return_counts(inp).where(F.col("reason").isNotNull()).select("ticker", "reason")
+    days = st.clean_returns(inp.returns).select("ticker", "Date").join(short, "ticker")
+    days = days.select("ticker", "Date", *[F.lit(None).cast("double").alias(c) for c in ("sigma2", "z", "sigma2_next")], "reason")
+    return rounded(st.garch_filter(f, inp.returns).withColumn("reason", F.lit(None).cast("string")).unionByName(days), 10)
 
 
 @query("analogue_features")
