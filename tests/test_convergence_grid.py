@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from datasets import SF_SMALL
 from volforge.plans import analysis as an
 from volforge.plans.common import Inputs
 

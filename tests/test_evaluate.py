@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from datasets import SF_SMALL
 from volforge.operators import chain as ch
 from volforge.operators import evaluate as ev
 from volforge.plans.common import Inputs
