@@ -3,6 +3,7 @@ names, and streaming over contiguous key groups inside Arrow map tasks."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, folders: list[str]) -> DataFrame:
+    """``df`` written once, compressed, to a folder of its own in the shared folder, and reread; the
+    folder's name is added to ``folders``."""
+    folders.append(f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(folders[-1])
+    return df.sparkSession.read.parquet(folders[-1])
+
+
+def drop_stored(spark: SparkSession, folders: list[str]) -> None:
+    """Delete what ``store`` wrote, once nothing that is still to run reads it."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a variant of it that clashes with no column of ``df`` (names ignore case)."""
     taken = {c.lower() for c in df.columns}
