@@ -12,7 +12,7 @@ Counts are summed across shards, one length after the other: words first (rarer
 of one word less may be frequent. "May be" is asked of a bit filter of the frequent phrases, broadcast
 and at most ``FILTER_BYTES`` large at any size; what it lets through by mistake is removed by the exact
 sums, so a full filter costs rows, not correctness. Sequences are written once to the shared folder
-and never shuffled after that; no task holds more than one shard.
+and never shuffled after that; a task holds one shard, or one bucket of about BUCKET_WORDS phrases.
 
 A phrase of k words has k - 1 cuts; the lowest score floor(scale * a / (l + r)) counts, ties to the
 smallest first part. Parts of a frequent phrase are frequent, so all counts are at hand. A phrase is
@@ -29,26 +29,41 @@ from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_UPPER, cut, drop_stored, store, table
+from ..operators.joins import checked_broadcast
+from .common import ASCII_UPPER, cut, drop_stored, key_groups, store, table
 
 MIN_COUNT, MAX_WORDS, SUBSUMED_PCT, FIRST, SCORE_SCALE = 30, 4, 80, 2000, 2_000_000
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 20
+BUCKET_WORDS = 1 << 20              # of text, for each bucket that phrases are summed in
 FILTER_BYTES, FILTER_BITS_EACH, FILTER_PROBES = 32 << 20, 16, 2
 _BUCKET = 4096                     # bytes of a piece of the filter, as bitmap_or_agg takes them
-_EMIT_ROWS = 1 << 16
 # Piece separators, blanks.
 SEPARATORS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _FOLD = bytes.maketrans(ASCII_UPPER.encode() + SEPARATORS + BLANKS,
                         ASCII_UPPER.lower().encode() + b"\n" * len(SEPARATORS) + b" " * len(BLANKS))
 
 
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Integer columns, compressed."""
+    wide = max((int(c.max()) for c in columns if len(c)), default=0) >= 2 ** 31
+    raw = b"".join(c.astype("<i8" if wide else "<i4").tobytes() for c in columns)
+    return bytes([8 if wide else 4]) + zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _unpacked(blob: bytes, columns: int) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(blob[1:])
+    return np.frombuffer(raw, f"<i{blob[0]}").reshape(columns, -1)
+
+
 # ---------------------------------------------------------------- shards of word ids
 
 class _OpenShard:
@@ -73,13 +88,13 @@ class _OpenShard:
         return pa.RecordBatch.from_arrays(
             [pa.array([shard], pa.int64()), pa.array([lang]), pa.array([self.words], pa.int64()),
              pa.array([[w.decode() for w in self.vocabulary]], pa.list_(pa.string())),
-             pa.array([counts], pa.list_(pa.int64())), pa.array([ids.tobytes()], pa.binary())],
+             pa.array([counts], pa.list_(pa.int64())), pa.array([_packed([ids])], pa.binary())],
             names=["shard", "lang", "n_words", "vocabulary", "counts", "ids"])
 
 
 def word_shards(documents: DataFrame, text_col: str, lang_col: str, shard_words: int) -> DataFrame:
-    """(shard, lang, n_words, vocabulary, counts, ids) per shard; ``ids`` are little-endian 32-bit
-    positions in ``vocabulary`` from 1, and 0 between pieces."""
+    """(shard, lang, n_words, vocabulary, counts, ids) per shard; ``ids`` are positions in ``vocabulary``
+    from 1, and 0 between pieces, compressed."""
     src = documents.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                            F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -114,17 +129,27 @@ def word_shards(documents: DataFrame, text_col: str, lang_col: str, shard_words:
 
 
 def frequent_words(shards: DataFrame, min_count: int) -> DataFrame:
-    """(lang, word, gid, f) of the words that occur ``min_count`` times in their language."""
+    """(lang, word, gid, f) of the words that occur ``min_count`` times in their language; gids are
+    numbers from 0 without gaps."""
     words = shards.select("lang", F.explode(F.arrays_zip("vocabulary", "counts")).alias("w"))
     f = words.groupBy("lang", F.col("w.vocabulary").alias("word")).agg(F.sum("w.counts").alias("f")).where(F.col("f") >= min_count)
-    return cut(f.withColumn("gid", F.monotonically_increasing_id()))
+    f = cut(f.withColumn("gid", F.monotonically_increasing_id()))
+    sizes = f.groupBy(F.shiftright("gid", 33).alias("part")).count().orderBy("part").collect()        # a row for each partition
+    starts, total = {}, 0
+    for r in sizes:
+        starts[r.part] = total
+        total += r["count"]
+    if not starts:
+        return f
+    return f.withColumn("gid", F.get(F.array(*[F.lit(starts.get(i, 0)).cast("long") for i in range(max(starts) + 1)]), F.shiftright("gid", 33).cast("int"))
+                        + F.col("gid").bitwiseAND(F.lit((1 << 33) - 1)))
 
 
 def coded_shards(shards: DataFrame, frequent: DataFrame) -> DataFrame:
     """(gids, ids) per shard with frequent words: positions in ``gids`` from 1, in order of gid, and one
     0 for every run of separators and rarer words; words that stand alone are left out."""
     at = shards.select("shard", "lang", F.posexplode("vocabulary").alias("at", "word"))
-    known = at.join(frequent.select("lang", "word", "gid"), ["lang", "word"])
+    known = at.join(checked_broadcast(frequent.select("lang", "word", "gid"), row_bytes=96), ["lang", "word"])
     known = known.groupBy("shard").agg(F.collect_list(F.struct("at", "gid")).alias("known"))
     joined = shards.select("shard", "ids").join(known, "shard").select(
         F.col("known.at").alias("at"), F.col("known.gid").alias("gid"), "ids")
@@ -136,13 +161,13 @@ def coded_shards(shards: DataFrame, frequent: DataFrame) -> DataFrame:
                 order = np.argsort(gid)
                 code = np.zeros(int(at.max()) + 2, np.int32)
                 code[at[order] + 1] = np.arange(1, len(order) + 1)
-                ids = np.frombuffer(b.column("ids")[r].as_buffer(), "<i4")
+                ids = _unpacked(b.column("ids")[r].as_py(), 1)[0]
                 ids = np.where(ids < len(code), code[np.minimum(ids, len(code) - 1)], 0)
                 word = np.concatenate(([False], ids > 0, [False]))
                 keep = word[1:-1] & (word[:-2] | word[2:])                   # next to another frequent word
                 keep = keep | np.concatenate(([True], keep[:-1]))            # and one separator after them
                 ids = np.where(word[1:-1], ids, 0)[keep].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([gid[order]], pa.list_(pa.int64())), pa.array([ids.tobytes()], pa.binary())],
+                yield pa.RecordBatch.from_arrays([pa.array([gid[order]], pa.list_(pa.int64())), pa.array([_packed([ids])], pa.binary())],
                                                  names=["gids", "ids"])
 
     return joined.mapInArrow(run, "gids array<long>, ids binary")
@@ -173,12 +198,15 @@ def _order_by_prefix(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class _Bwt:
-    """Burrows-Wheeler transform with the row each symbol leads to (LF mapping)."""
+    """Burrows-Wheeler transform: the symbol before each row's suffix, and the row of the suffix that
+    begins with it (LF mapping)."""
 
     def __init__(self, text: np.ndarray, depth: int):
-        self.symbols = np.roll(text, 1)[_order_by_prefix(text, depth)].astype(np.int64)
-        self.lf = np.empty(len(text), np.int64)
-        self.lf[np.argsort(self.symbols, kind="stable")] = np.arange(len(text))
+        order = _order_by_prefix(text, depth)
+        self.symbols = np.roll(text, 1)[order].astype(np.int64)
+        row = np.empty(len(text), np.int64)
+        row[order] = np.arange(len(text))
+        self.lf = np.roll(row, 1)[order]
 
 
 @dataclass
@@ -198,9 +226,16 @@ class ShardIndex:
     """Bidirectional FM-index of ``ids``, in which 0 separates and is part of no phrase."""
 
     def __init__(self, ids: np.ndarray, depth: int):
-        text = np.concatenate((ids, [0]))
-        self.counts = np.bincount(text)
-        self.forward, self.reverse = _Bwt(text, depth), _Bwt(text[::-1], depth)
+        self.text, self.depth = np.concatenate((ids, [0])), depth
+        self.counts = np.bincount(self.text)
+
+    @cached_property
+    def forward(self) -> _Bwt:
+        return _Bwt(self.text, self.depth)
+
+    @cached_property
+    def reverse(self) -> _Bwt:
+        return _Bwt(self.text[::-1], self.depth)
 
     def single_words(self) -> Phrases:
         first = np.concatenate(([0], np.cumsum(self.counts)[:-1]))
@@ -225,11 +260,12 @@ class ShardIndex:
             p, s = parent[order], symbol[order]
             head = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (s[1:] != s[:-1]))))[:total]
         count = np.diff(np.concatenate((head, [total])))
-        first = order[head]
-        parent, symbol = parent[first], symbol[first]
+        # an extension's rows are one interval again: the lowest one that its rows lead to comes first
+        row = np.minimum.reduceat(bwt.lf[at[order]], head) if total else head
+        parent, symbol = parent[order[head]], symbol[order[head]]
         real = symbol > 0
-        parent_r, head_r = parent[real], head[real]
-        return (parent_r, symbol[real], bwt.lf[at[first[real]]], other[parent_r] + head_r - starts[parent_r], count[real])
+        parent, head = parent[real], head[real]
+        return parent, symbol[real], row[real], other[parent] + head - starts[parent], count[real]
 
     def extend_left(self, p: Phrases) -> Phrases:
         parent, symbol, row, reverse_row, size = self._extend(self.forward, p.row, p.reverse_row, p.size)
@@ -299,10 +335,21 @@ def _holds(bits: np.ndarray, gids: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- phrases of all shards
 
-def phrase_counts(coded: DataFrame, words: int, depth: int, filters: dict[int, bytes], min_count: int) -> DataFrame:
+def _summed(columns: np.ndarray) -> np.ndarray:
+    """Columns of word ids and, last, counts: equal phrases as one, sorted."""
+    order = np.lexsort(columns[-2::-1])
+    columns = columns[:, order]
+    head = np.flatnonzero(np.concatenate(([True], (columns[:-1, 1:] != columns[:-1, :-1]).any(axis=0)))[:columns.shape[1]])
+    return np.vstack((columns[:-1, head], np.add.reduceat(columns[-1], head)[None, :])) if len(head) else columns
+
+
+def phrase_counts(coded: DataFrame, words: int, depth: int, filters: dict[int, bytes], min_count: int, buckets: int) -> DataFrame:
     """(g0, g1, ..., f): phrases of ``words`` words that occur ``min_count`` times over all shards.
-    ``filters`` holds the filter of each shorter length from two words on."""
-    shared = {k: coded.sparkSession.sparkContext.broadcast(v) for k, v in filters.items()}
+    ``filters`` holds the filter of each shorter length from two words on. A shard sends one compressed
+    block to each of ``buckets`` (a hash of the phrase), and a bucket adds its blocks up: a phrase is
+    in a shard's block once, however frequent it is."""
+    spark = coded.sparkSession
+    shared = {k: spark.sparkContext.broadcast(v) for k, v in filters.items()}
     names = [f"g{i}" for i in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,17 +357,27 @@ def phrase_counts(coded: DataFrame, words: int, depth: int, filters: dict[int, b
         for b in batches:
             for r in range(b.num_rows):
                 gids = np.concatenate(([-1], b.column("gids")[r].values.to_numpy()))
-                ids = np.frombuffer(b.column("ids")[r].as_buffer(), "<i4")
+                ids = _unpacked(b.column("ids")[r].as_py(), 1)[0]
                 if not len(ids):
                     continue
                 found = shard_phrases(ShardIndex(ids, depth), words, lambda w: _holds(bits[w.shape[1]], gids[w]))
-                for s in range(0, len(found.size), _EMIT_ROWS):
-                    some = gids[found.words[s:s + _EMIT_ROWS]]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(some[:, c]) for c in range(words)), pa.array(found.size[s:s + _EMIT_ROWS])],
-                                                     names=[*names, "f"])
+                rows = gids[found.words]
+                bucket = _probes(rows, buckets)[:, 0]
+                order = np.lexsort((*rows.T[::-1], bucket))
+                columns, bucket = np.vstack((rows[order].T, found.size[order][None, :])), bucket[order]
+                used, starts = np.unique(bucket, return_index=True)
+                blocks = [_packed(list(c)) for c in np.split(columns, starts[1:], axis=1)] if len(used) else []
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in key_groups(batches, ["bucket"]):
+            total = _summed(np.concatenate([_unpacked(v, words + 1).astype(np.int64) for v in rows.column("block").to_pylist()], axis=1))
+            total = total[:, total[-1] >= min_count]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in total], names=[*names, "f"])
 
-    local = coded.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "f"]))
-    return local.groupBy(*names).agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = coded.mapInArrow(run, "bucket long, block binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    return blocks.mapInArrow(add, ", ".join(f"{c} long" for c in [*names, "f"]))
 
 
 def collocations(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT,
@@ -333,12 +390,14 @@ def collocations(documents: DataFrame, text_col: str = "text", lang_col: str = "
     made = []
     shards = store(word_shards(documents, text_col, lang_col, shard_words), made)
     totals = cut(shards.groupBy("lang").agg(F.sum("n_words").alias("n")))
+    all_words = totals.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-all_words // BUCKET_WORDS))
     frequent = frequent_words(shards, min_count)
     coded = store(coded_shards(shards, frequent), made)
     grams = frequent.select(F.array("gid").alias("g"), "f")
     found, filters = None, {}
     for k in range(2, max_words + 1):
-        some = cut(phrase_counts(coded, k, max_words, filters, min_count))
+        some = cut(phrase_counts(coded, k, max_words, filters, min_count, buckets))
         if k < max_words:
             filters[k] = phrase_filter(some, k, filter_bytes)
         some = some.select(F.array(*[f"g{i}" for i in range(k)]).alias("g"), "f")
