@@ -12,11 +12,12 @@ Links are read from each page's html: every ``<link rel="canonical" href>`` (amo
 too) and ``<meta http-equiv="refresh" content="...url=">``; further (url, url) edges, such as a
 crawler's redirect log, can be passed in. Relative targets are resolved against the page's host and
 directory (``<base>`` is not read). A url's node
-is its (host, path), the same parts that rules see, so query strings and fragments make no new node.
+is its (host, path, query): pages that differ in their query are different pages, though rules see host
+and path only; fragments make no new node.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule, has no
-links, and is allowed; null html has no links; repeated pages are each judged; an empty table gives
-an empty result; the rule list is a policy file held by the driver and compiled into one
+links, and is allowed; null html has no links, and html of any length is searched whole; repeated pages are each judged; an empty table gives
+an empty result; other columns and their names do not matter; the rule list is a policy file held by the driver and compiled into one
 expression (a few thousand rules at most)."""
 from __future__ import annotations
 
@@ -57,6 +58,12 @@ def path_of(url):
     return F.coalesce(F.when((F.instr(url, "://") > 0) & (at > 0), F.substring(rest, at, F.length(rest))), F.lit(""))
 
 
+def query_of(url):
+    """From the ``?`` up to a fragment; empty without one."""
+    rest = F.split(url, "://", 2)[1]
+    return F.coalesce(F.when(F.instr(url, "://") > 0, F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)), F.lit(""))
+
+
 def rule_text(rule) -> str:
     return rule[0] + rule[1]
 
@@ -110,36 +117,39 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def inherited_blocks(links: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """(node_host, node_path) of every node in a component that a rule blocks somewhere."""
-    nodes = cut(links.select(
-        host_of(F.col("from_url")).alias("ah"), path_of(F.col("from_url")).alias("ap"),
-        host_of(F.col("to_url")).alias("bh"), path_of(F.col("to_url")).alias("bp"))
-        .where((F.col("ah") != "") & (F.col("bh") != "") & ((F.col("ah") != F.col("bh")) | (F.col("ap") != F.col("bp"))))
-        .distinct())
-    a = nodes.select(F.col("ah").alias("node_host"), F.col("ap").alias("node_path"))
-    b = nodes.select(F.col("bh").alias("node_host"), F.col("bp").alias("node_path"))
-    # a node as one string; the host's length keeps different (host, path) pairs apart
-    key = lambda h, p: F.concat(F.length(h).cast("string"), F.lit(":"), h, p)
-    comp = components(nodes.select(key(F.col("ah"), F.col("ap")).alias("a"), key(F.col("bh"), F.col("bp")).alias("b")))
-    named = a.union(b).distinct().withColumn("node", key(F.col("node_host"), F.col("node_path")))
-    named = named.join(comp, "node")
+    """(node_host, node_path, node_query) of every node in a component that a rule blocks somewhere."""
+    ends = links.select(*(of(F.col(url)).alias(side + name) for side, url in (("a", "from_url"), ("b", "to_url"))
+                          for name, of in (("h", host_of), ("p", path_of), ("q", query_of))))
+    same = (F.col("ah") == F.col("bh")) & (F.col("ap") == F.col("bp")) & (F.col("aq") == F.col("bq"))
+    nodes = cut(ends.where((F.col("ah") != "") & (F.col("bh") != "") & ~same).distinct())
+    parts = ("node_host", "node_path", "node_query")
+    a, b = (nodes.select(*(F.col(side + c).alias(n) for c, n in zip("hpq", parts))) for side in "ab")
+    # a node as one string; a host holds no / and no ?, a path begins with / and a query with ?
+    key = lambda h, p, q: F.concat(F.col(h), F.col(p), F.col(q))
+    comp = components(nodes.select(key("ah", "ap", "aq").alias("a"), key("bh", "bp", "bq").alias("b")))
+    named = a.union(b).distinct().withColumn("node", key(*parts)).join(comp, "node")
     ruled = named.withColumn("own", longest_rule(F.col("node_host"), F.col("node_path"), rules))
     blocked = ruled.groupBy("root").agg(F.max(F.coalesce(F.col("own.verdict") == "block", F.lit(False))).alias("any_block"))
-    return named.join(blocked.where("any_block"), "root", "left_semi").select("node_host", "node_path")
+    return named.join(blocked.where("any_block"), "root", "left_semi").select(*parts)
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id",
                url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
     """(id_col, host, path, rule, verdict, inherited) for every page. ``redirects`` adds edges
     (from_url, to_url) to those found in the html. The pages themselves are never shuffled by a
-    component key: the list of inherited blocks joins on (host, path)."""
+    component key: the list of inherited blocks joins on (host, path, query). ``id_col`` may have any name
+    but those of the other results, which is an error."""
+    if id_col.lower() in ("host", "path", "rule", "verdict", "inherited"):
+        raise ValueError(f"rename the id column {id_col}: the result has a column of that name")
     links = page_links(pages, url_col, html_col)
     if redirects is not None:
         links = links.unionByName(redirects.select("from_url", "to_url"))
     inherited = inherited_blocks(links, rules).distinct().withColumn("inherited", F.lit(True))
-    judged = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    judged = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"),
+                          query_of(F.col(url_col)).alias("query"))
     judged = judged.withColumn("own", longest_rule(F.col("host"), F.col("path"), rules))
-    joined = judged.join(inherited, (judged.host == inherited.node_host) & (judged.path == inherited.node_path), "left")
+    joined = judged.join(inherited, (judged.host == inherited.node_host) & (judged.path == inherited.node_path)
+                         & (judged.query == inherited.node_query), "left")
     by_alias = F.coalesce(F.col("inherited"), F.lit(False)) & F.col("own").isNull()
     return joined.select(
         id_col, "host", "path", F.col("own.rule").alias("rule"),
@@ -156,42 +166,57 @@ _SQL_HOST = ("CASE WHEN strpos({u}, '://') > 0 THEN translate(regexp_extract(sub
              "'^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END")
 _SQL_PATH = ("CASE WHEN strpos({u}, '://') > 0 THEN regexp_extract(regexp_replace(substr({u}, strpos({u}, '://') + 3), "
              "'^[^/?#]*', ''), '^[^?#]*') ELSE '' END")
+_SQL_QUERY = ("CASE WHEN strpos({u}, '://') > 0 THEN regexp_extract(substr({u}, strpos({u}, '://') + 3), '^[^?#]*(\\?[^#]*)', 1) ELSE '' END")
 
 
 def _sql_node(u: str) -> str:
-    return f"coalesce({_SQL_HOST.format(u=u)}, '') AS host, coalesce({_SQL_PATH.format(u=u)}, '') AS path"
+    return ", ".join(f"coalesce({sql.format(u=u)}, '') AS {name}" for sql, name in ((_SQL_HOST, "host"), (_SQL_PATH, "path"), (_SQL_QUERY, "query")))
+
+
+def _sql_undotted(p: str) -> str:
+    """A path with its ``.`` and ``..`` segments applied."""
+    steps = (f"list_reduce(list_transform(string_split({p}, '/'), lambda x: [x]), lambda done, x: CASE WHEN x[1] = '..' "
+             "THEN done[1:greatest(len(done) - 1, 1)] WHEN x[1] = '.' THEN done ELSE list_concat(done, x) END)")
+    return f"array_to_string({steps}, '/') || CASE WHEN regexp_matches({p}, '(^|/)[.][.]?$') THEN '/' ELSE '' END"
 
 
 ORACLE = {
     "op4_url_filters": f"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
        ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '<(?:[lL][iI][nN][kK]|[mM][eE][tT][aA])\\b[^>]*')) AS tag FROM pages),
 targets AS (
-  SELECT url, replace(unnest([
-    regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*', 0),
-    regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*', 0)]), '&amp;', '&') AS tag
-  FROM pages),
-hrefs AS (
-  SELECT url, regexp_extract(tag, '(?is)\\b(?:href|url)\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS t FROM targets WHERE tag <> ''),
+  SELECT url, replace(regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1), '&amp;', '&') AS t FROM tags
+  WHERE regexp_matches(tag, '(?is)^<link\\b') AND regexp_matches(tag, '(?is)\\brel\\s*=\\s*("([^">]*\\s)?canonical(\\s[^">]*)?"|''([^''>]*\\s)?canonical(\\s[^''>]*)?''|canonical([\\s/]|$))')
+  UNION ALL
+  SELECT url, replace(regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1), '&amp;', '&') FROM tags
+  WHERE regexp_matches(tag, '(?is)^<meta\\b') AND regexp_matches(tag, '(?is)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')),
+parted AS (
+  SELECT url AS from_url, t, 'http://' || host AS site, CASE WHEN path = '' THEN '/' ELSE path END AS base,
+    regexp_extract(t, '^[^?#]*') AS own, regexp_extract(t, '(?s)[?#].*$') AS rest
+  FROM targets, LATERAL (SELECT {_sql_node('url')}) n WHERE t <> ''),
 links AS (
-  SELECT url AS from_url, CASE WHEN strpos(t, '://') > 0 THEN t WHEN starts_with(t, '//') THEN 'http:' || t
-     WHEN starts_with(t, '/') THEN 'http://' || {_SQL_HOST.format(u='url')} || t END AS to_url FROM hrefs WHERE t <> ''),
+  SELECT from_url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+     WHEN regexp_matches(t, '^([A-Za-z][A-Za-z0-9+.-]*:|#)') THEN NULL WHEN starts_with(t, '//') THEN 'http:' || t
+     WHEN site = 'http://' THEN NULL WHEN starts_with(t, '/') THEN site || {_sql_undotted('own')} || rest
+     WHEN starts_with(t, '?') THEN site || base || t
+     ELSE site || {_sql_undotted("(regexp_replace(base, '[^/]*$', '') || own)")} || rest END AS to_url FROM parted),
 nodes AS (
   SELECT DISTINCT {_sql_node('url')} FROM pages UNION SELECT DISTINCT {_sql_node('to_url')} FROM links WHERE to_url IS NOT NULL),
 ruled AS (
-  SELECT n.host, n.path, (SELECT h || p FROM rules WHERE (n.host = h OR ends_with(n.host, '.' || h)) AND starts_with(n.path, p)
+  SELECT n.*, (SELECT h || p FROM rules WHERE (n.host = h OR ends_with(n.host, '.' || h)) AND starts_with(n.path, p)
      ORDER BY length(h || p) DESC LIMIT 1) AS rule FROM nodes n),
 judged AS (SELECT ruled.*, rules.v FROM ruled LEFT JOIN rules ON ruled.rule = rules.h || rules.p),
 edges AS (
-  SELECT a.host AS ah, a.path AS ap, b.host AS bh, b.path AS bp FROM
+  SELECT a.host AS ah, a.path AS ap, a.query AS aq, b.host AS bh, b.path AS bp, b.query AS bq FROM
      (SELECT from_url, to_url, row_number() OVER () AS k FROM links WHERE to_url IS NOT NULL) l,
      LATERAL (SELECT {_sql_node('l.from_url')}) a, LATERAL (SELECT {_sql_node('l.to_url')}) b WHERE a.host <> '' AND b.host <> ''),
-both_ways AS (SELECT ah, ap, bh, bp FROM edges UNION SELECT bh, bp, ah, ap FROM edges),
-reached(host, path) AS (
-  SELECT host, path FROM judged WHERE v = 'block'
-  UNION SELECT e.bh, e.bp FROM reached r JOIN both_ways e ON e.ah = r.host AND e.ap = r.path)
-SELECT p.page_id, n.host, n.path, j.rule,
-  coalesce(j.v, CASE WHEN EXISTS (SELECT 1 FROM reached r WHERE r.host = n.host AND r.path = n.path) THEN 'block' ELSE 'allow' END) AS verdict
-FROM pages p, LATERAL (SELECT {_sql_node('p.url')}) n JOIN judged j ON j.host = n.host AND j.path = n.path
+both_ways AS (SELECT ah, ap, aq, bh, bp, bq FROM edges UNION SELECT bh, bp, bq, ah, ap, aq FROM edges),
+reached(host, path, query) AS (
+  SELECT host, path, query FROM judged WHERE v = 'block'
+  UNION SELECT e.bh, e.bp, e.bq FROM reached r JOIN both_ways e ON e.ah = r.host AND e.ap = r.path AND e.aq = r.query)
+SELECT p.page_id, n.host, n.path, j.rule, coalesce(j.v, CASE WHEN EXISTS (SELECT 1 FROM reached r
+  WHERE r.host = n.host AND r.path = n.path AND r.query = n.query) THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages p, LATERAL (SELECT {_sql_node('p.url')}) n JOIN judged j ON j.host = n.host AND j.path = n.path AND j.query = n.query
 """,
 }
