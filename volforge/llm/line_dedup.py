@@ -65,7 +65,8 @@ def shared_positions(lines: DataFrame, min_docs: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                 min_docs: int = MIN_DOCS, out_col: str = "lines") -> DataFrame:
-    """``docs`` with ``out_col``: struct(n_lines, n_dropped, text) of each row after the dedup."""
+    """``docs`` with ``out_col``: struct(n_lines, n_dropped, text) of each row after the dedup; a column of
+    that name is replaced."""
     drops = shared_positions(cut(line_hashes(docs, id_col, text_col, min_chars)), min_docs)
     d_id, d_hash, d_pos = (fresh(docs, c) for c in ("lost_id", "lost_hash", "lost_lines"))
     drops = drops.select(F.col("id").alias(d_id), F.col("row_hash").alias(d_hash), F.col("drops").alias(d_pos))
@@ -78,7 +79,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = F.struct(F.size(lines).cast("long").alias("n_lines"),
                     F.when(F.col(d_pos).isNull(), F.lit(0)).otherwise(F.size(d_pos)).cast("long").alias("n_dropped"),
                     rebuilt.alias("text"))
-    return joined.select(*(docs[c] for c in docs.columns), made.alias(out_col))
+    return joined.select(*(docs[c] for c in docs.columns if c.lower() != out_col.lower()), made.alias(out_col))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

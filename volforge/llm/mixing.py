@@ -153,12 +153,13 @@ def with_copies(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source
         joined = salted.join(side, salted[source_col].eqNullSafe(side[s]) & (salted[salt + "_d"] == side[salt]))
     key = permutation_key(F.col(id_col), seed, 0)
     copies = F.col(full) + F.coalesce(key <= F.col(cutoff), F.lit(False)).cast("long")
-    return joined.select(*docs.columns, copies.alias(out_col))
+    return joined.select(*(c for c in docs.columns if c.lower() != out_col.lower()), copies.alias(out_col))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", out_col: str = "copies",
         seed: int = SEED, **goal) -> DataFrame:
-    """``docs`` with ``out_col``, the number of copies of each document in the mix; see mixing_plan."""
+    """``docs`` with ``out_col``, the number of copies of each document in the mix; see mixing_plan. A column
+    of that name is replaced."""
     plan = mixing_plan(docs, id_col, source_col, text_col, seed=seed, **goal)
     return with_copies(docs, plan, id_col, source_col, seed, out_col)
 

@@ -292,8 +292,13 @@ def _passing(df: DataFrame, out: str, kind: str) -> str:
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None,
            decoded_col: str | None = None) -> DataFrame:
     """``docs`` with ``ids_col``, the piece ids of each whole text, and if asked for with
-    ``decoded_col``, the text that these ids decode to. One narrow pass, in small output batches."""
+    ``decoded_col``, the text that these ids decode to; columns of these names are replaced (the text
+    column's own name is refused). One narrow pass, in small output batches."""
     path = path or tokenizer_path(MODEL)
+    made_cols = [ids_col] + ([decoded_col] if decoded_col else [])
+    if text_col.lower() in {c.lower() for c in made_cols}:
+        raise ValueError(f"{text_col} is the text's own column; name the result otherwise")
+    docs = docs.drop(*made_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = load(path)
@@ -314,8 +319,12 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
 
 
 def decode(coded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
-    """``coded`` with ``out_col``: the text of each row's ids (null ids: the empty text)."""
+    """``coded`` with ``out_col``: the text of each row's ids (null ids: the empty text); a column of that
+    name is replaced (the ids column's own name is refused)."""
     path = path or tokenizer_path(MODEL)
+    if out_col.lower() == ids_col.lower():
+        raise ValueError(f"{ids_col} is the ids' own column; name the result otherwise")
+    coded = coded.drop(out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = load(path)
