@@ -15,16 +15,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from volforge.operators import chain as ch, evaluate as ev, prices as pr, stats as st  # noqa: E402
+from volforge.operators import prices as pr, stats as st  # noqa: E402
 from volforge.operators.resample import MCConfig  # noqa: E402
 from volforge.plans import catalog, montecarlo as mc  # noqa: E402
 from volforge.plans.common import Inputs  # noqa: E402
-from volforge.sources import fixtures as fx  # noqa: E402
 from volforge.session import get_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
-MC_PATHS = int(os.environ.get("BENCH_MC_PATHS", "20000"))
+MC_PATHS = int(os.environ.get("BENCH_MC_PATHS", "1000"))
 
 
 def consume(df) -> int:
@@ -60,9 +59,8 @@ def main():
     timed("t_fit_125", lambda: st.student_t_fit(nat))
     timed("garch_fit_125", lambda: st.garch_fit(nat.where(F.col("n") >= 30)))
     cfg = MCConfig(n_paths=MC_PATHS, rng="xxhash", chunk=8192)
-    # as in earlier rounds, the contracts of a capped chain: few horizons, many paths
-    chain = ch.option_chain(inp.quotes_raw, ch.MAX_EXPIRIES, ch.MAX_ROWS)
-    contracts = ev.map_history_ticker(ev.accuracy_contracts(chain, ev.MAX_COMBOS_PER_TICKER), fx.history_map(spark))
+    # every contract of the uncapped chain: MC_PATHS paths of each horizon and method
+    contracts = inp.contracts_cp
     timed("mc_all_methods", lambda: mc.run_methods(inp, contracts, cfg, mc.SIM_METHODS + mc.CLOSED_FORM))
     total = round(sum(timings.values()), 3)
     print(json.dumps({"metric": "headline_plans_total", "value": total, "unit": "sec", "queries": timings,

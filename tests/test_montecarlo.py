@@ -81,6 +81,48 @@ def test_garch_fit_finds_clustering(spark):
     assert 0.03 <= f.alpha <= 0.15 and abs((f.alpha + f.beta) - 0.98) < 0.03
 
 
+def _garch(seed, alpha, beta, n=3000):
+    g = np.random.default_rng(seed)
+    s2, out = 1e-4, []
+    for _ in range(n):
+        r = math.sqrt(s2) * g.standard_normal()
+        out.append(float(r))
+        s2 = (1 - alpha - beta) * 1e-4 + alpha * r * r + beta * s2
+    return out
+
+
+def _nll(r, omega, alpha, beta):
+    e = np.array(r) - np.mean(r)
+    s2, total = max(float(np.var(e)), 1e-12), 0.0
+    for x in e:
+        total += 0.5 * (math.log(max(s2, 1e-16)) + x * x / max(s2, 1e-16))
+        s2 = omega + alpha * x * x + beta * s2
+    return total
+
+
+def test_garch_fit_is_a_maximum(spark):
+    rng = np.random.default_rng(0)
+    series = {"a": _garch(7, 0.08, 0.9), "b": _garch(8, 0.15, 0.8), "c": _garch(9, 0.03, 0.95, 1200), "none": _garch(10, 0.0, 0.0, 800)}
+    arr = spark.createDataFrame([(k, r, len(r)) for k, r in series.items()], "ticker string, returns array<double>, n int")
+    coarse = {r.ticker: r.nll for r in st.garch_grid(arr).collect()}
+    for f in st.garch_fit(arr).collect():
+        r = series[f.ticker]
+        assert f.converged and f.nll <= coarse[f.ticker] + 1e-9 and f.nll == pytest.approx(_nll(r, f.omega, f.alpha, f.beta), abs=1e-6)
+        for _ in range(60):
+            omega = f.omega * math.exp(rng.normal(0, 0.1))
+            alpha, beta = max(0.0, f.alpha + rng.normal(0, 0.01)), max(0.0, f.beta + rng.normal(0, 0.01))
+            if alpha + beta < 0.999:
+                assert _nll(r, omega, alpha, beta) >= f.nll - 1e-3, (f.ticker, omega, alpha, beta)
+        if f.ticker == "a":
+            assert abs(f.alpha / 0.08 - 1) < 0.15 and abs(f.beta / 0.9 - 1) < 0.15
+
+
+def test_garch_fit_of_series_without_variance(spark):
+    arr = spark.createDataFrame([("flat", [0.0] * 50, 50), ("tiny", [0.01, -0.02, 0.01], 3)], "ticker string, returns array<double>, n int")
+    for f in st.garch_fit(arr).collect():
+        assert math.isfinite(f.nll) and f.omega > 0 and f.alpha >= 0 and f.beta >= 0 and f.alpha + f.beta < 0.999
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([("A", 1, 1.0), ("A", 2, 2.0), ("B", 1, 3.0)], "ticker string, Date int, v double")
     new = spark.createDataFrame([("A", 2, 20.0), ("C", 1, 5.0)], "ticker string, Date int, v double")

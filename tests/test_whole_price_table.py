@@ -16,12 +16,12 @@ def test_whole_table_has_every_ticker_and_its_last_day(spark):
     for r in Inputs(spark, SF_SMALL).price_table.select("ticker", "Date").collect():
         last[r.ticker] = max(r.Date, last.get(r.ticker, r.Date))
     qs = E.queries()
-    assert sorted(r.ticker for r in qs["existing_tickers_all"](spark, SF_SMALL).collect()) == sorted(last)
-    assert {r.ticker: r.max_date for r in qs["latest_dates_all"](spark, SF_SMALL).collect()} == last
+    assert sorted(r.ticker for r in qs["existing_tickers"](spark, SF_SMALL).collect()) == sorted(last)
+    assert {r.ticker: r.max_date for r in qs["latest_dates"](spark, SF_SMALL).collect()} == last
     assert len(last) > len(STORED_TICKERS)
 
 
-@pytest.mark.parametrize("name", ["existing_tickers_all", "latest_dates_all", "existing_tickers", "latest_dates"])
+@pytest.mark.parametrize("name", ["existing_tickers", "latest_dates"])
 def test_matches_sql(spark, name):
     import __spark_entry__ as E
     from check_oracle import digest, duck

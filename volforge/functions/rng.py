@@ -51,8 +51,9 @@ class Stream:
         return F.xxhash64(pkey, *cols).bitwiseAND(F.lit(_M53)).cast("double") / F.lit(float(1 << 53))
 
     def u_index(self, n: Column, pkey: Column, *step) -> Column:
-        """Uniform 1-based index in [1, n] for ``element_at``."""
-        return (F.floor(self.u(pkey, *step) * n) + F.lit(1)).cast("int")
+        """Uniform 1-based index in [1, n] for ``element_at``. Never null, and the plan sees that: a join on
+        it needs no null check, which would draw a second time."""
+        return F.coalesce((F.floor(self.u(pkey, *step) * n) + F.lit(1)).cast("int"), F.lit(0))
 
     def u_gauss(self, pkey: Column, *step) -> Column:
         u1 = F.lit(1.0) - self.u(pkey, *step, "g1")

@@ -154,8 +154,11 @@ def mape_by_method(errors: DataFrame) -> DataFrame:
     return errors.groupBy("option_type", "method").agg(F.avg(F.abs("pct_error")).alias("mape"))
 
 
-def highest_scale(df: DataFrame, col: str = "num_runs") -> DataFrame:
-    """Rows at the maximum scale (a one-row aggregate joined back)."""
+def highest_scale(df: DataFrame, col: str = "num_runs", top: int | None = None) -> DataFrame:
+    """Rows at the maximum scale: ``top`` where the caller knows it, else looked up by a one-row
+    aggregate over ``df`` (which then should be materialised)."""
+    if top is not None:
+        return df.where(F.col(col) == F.lit(top))
     mx = df.agg(F.max(col).alias("_mx"))
     return df.join(mx, F.col(col) == F.col("_mx"), "left_semi")
 
@@ -187,8 +190,8 @@ def convergence(prices: DataFrame, threshold: float = CONVERGENCE_PCT, by: tuple
 
 def transition_report(conv: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """PASS/FAIL per (alt_weight, method) at the last transition."""
-    last = conv.groupBy(*by, "alt_weight").agg(F.max("to_runs").alias("_last"))
-    return (conv.join(last, [*by, "alt_weight"]).where(F.col("to_runs") == F.col("_last")).drop("_last")
+    last = F.max("to_runs").over(Window.partitionBy(*by, "alt_weight"))        # a row per method and scale
+    return (conv.withColumn("_last", last).where(F.col("to_runs") == F.col("_last")).drop("_last")
                 .withColumn("verdict", F.when(F.col("converged"), F.lit("PASS")).otherwise(F.lit("FAIL"))))
 
 
@@ -203,32 +206,30 @@ def weight_summary(conv: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         F.bool_and("converged").alias("all_converged"))
 
 
-def bs_consistency(prices: DataFrame, runs: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def bs_consistency(prices: DataFrame, by: tuple[str, ...] = (), top: int | None = None) -> DataFrame:
     """A9q: mean and sample std of the black_scholes price across weights (at the top scale);
     consistent when std < 1.0."""
-    bs = highest_scale(prices.where(F.col("method") == "black_scholes"), "runs")
+    bs = highest_scale(prices.where(F.col("method") == "black_scholes"), "runs", top)
     return bs.groupBy(*by).agg(F.avg("CallPrice").alias("mean_call"), F.stddev_samp("CallPrice").alias("std_call"),
                   F.avg("PutPrice").alias("mean_put"), F.stddev_samp("PutPrice").alias("std_put")) \
              .withColumn("consistent", F.coalesce(F.col("std_call"), F.lit(0.0)) < F.lit(1.0))
 
 
-def spread_vs_bs(prices: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """A10q: per method at the top scale: call price per weight (long form), the average over weights,
-    and the % difference from the black_scholes average (0 when that is <= 0)."""
-    top = highest_scale(prices, "runs")
-    avg_m = top.groupBy(*by, "method").agg(F.avg("CallPrice").alias("avg_call"))
-    bs = avg_m.where(F.col("method") == "black_scholes").select(*by, F.col("avg_call").alias("bs_avg"))
-    return ((avg_m.join(bs, list(by)) if by else avg_m.crossJoin(bs))   # bs: one row a contract
-                 .withColumn("pct_vs_bs", F.when(F.col("bs_avg") > 0,
-                                                 (F.col("avg_call") - F.col("bs_avg")) / F.col("bs_avg") * F.lit(100.0))
-                             .otherwise(F.lit(0.0)))
-                 .drop("bs_avg"))
+def spread_vs_bs(prices: DataFrame, by: tuple[str, ...] = (), top: int | None = None) -> DataFrame:
+    """A10q at the top scale: the call price of each weight and method, the method's average over the
+    weights, and its % difference from the black_scholes average (0 when that is <= 0)."""
+    rows = highest_scale(prices, "runs", top)
+    of_method, of_contract = Window.partitionBy(*by, "method"), Window.partitionBy(*by)
+    bs_avg = F.avg(F.when(F.col("method") == "black_scholes", F.col("CallPrice"))).over(of_contract)
+    rows = rows.select(*by, "alt_weight", "method", "CallPrice", F.avg("CallPrice").over(of_method).alias("avg_call"), bs_avg.alias("_bs"))
+    pct = F.when(F.col("_bs") > 0, (F.col("avg_call") - F.col("_bs")) / F.col("_bs") * F.lit(100.0)).otherwise(F.lit(0.0))
+    return rows.select(*by, "alt_weight", "method", F.col("CallPrice").alias("call"), "avg_call", pct.alias("pct_vs_bs"))
 
 
-def premium_over_bs(prices: DataFrame, analytic_call: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def premium_over_bs(prices: DataFrame, analytic_call: DataFrame, by: tuple[str, ...] = (), top: int | None = None) -> DataFrame:
     """(avg call - BS analytical) / BS * 100 by method; analytic_call: one row a contract (bs_call)."""
-    top = highest_scale(prices, "runs")
-    avg_m = top.groupBy(*by, "method").agg(F.avg("CallPrice").alias("avg_call"))
+    rows = highest_scale(prices, "runs", top)
+    avg_m = rows.groupBy(*by, "method").agg(F.avg("CallPrice").alias("avg_call"))
     return ((avg_m.join(analytic_call, list(by)) if by else avg_m.crossJoin(analytic_call))
                .withColumn("premium_pct", (F.col("avg_call") - F.col("bs_call")) / F.col("bs_call") * F.lit(100.0)))
 

@@ -26,13 +26,14 @@ def job_view(jobs: DataFrame) -> DataFrame:
 
 def job_runtime(jobs: DataFrame, now: str) -> DataFrame:
     """K2: runtime = finished - started, or now - started while active; seconds rounded to 1;
-    error truncated to 120 characters; status upper-cased. ``now`` is a literal timestamp."""
+    the error, also truncated to 120 characters for lists; status upper-cased. ``now`` is a literal timestamp."""
     status = F.upper(F.coalesce(F.col("status"), F.lit("")))
     secs = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)).cast("double") / F.lit(1e6)
     rt = (F.when(F.col("started_at").isNotNull() & F.col("finished_at").isNotNull(), secs(F.col("finished_at"), F.col("started_at")))
            .when(F.col("started_at").isNotNull() & status.isin(*ACTIVE), secs(F.lit(now).cast("timestamp"), F.col("started_at"))))
     return jobs.select("id", status.alias("status"), F.round(rt, 1).alias("runtime_s"),
-                       F.substring(F.coalesce(F.col("error_message"), F.lit("")), 1, ERROR_WIDTH).alias("error"))
+                       F.substring(F.coalesce(F.col("error_message"), F.lit("")), 1, ERROR_WIDTH).alias("error"),
+                       F.coalesce(F.col("error_message"), F.lit("")).alias("full_error"))
 
 
 def avg_time_by_scale(jobs: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ method, path id)) and returns ``(hist_ticker, T, method, path_id, log_sum)``.
 Paths are rows: the path table is built from (ticker, T, chunk) task rows, spread over the
 cluster and exploded into path ids, so one (ticker, T) with millions of paths never sits in one
 task. Stateless samplers explode the T steps into rows (whole-stage codegen) and sum per path
-with a partial aggregate; stateful samplers (block bootstrap, filtered simulation) fold their
-steps with ``aggregate``. Draws come from keyed hash streams (functions.rng), so a path's value
+with a partial aggregate (the block bootstrap after a running window over them); the filtered
+simulation folds its steps with ``aggregate``. Draws come from keyed hash streams (functions.rng), so a path's value
 does not depend on partitioning, task order or recomputation after executor loss.
 """
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathfn import TRADING_DAYS
@@ -24,6 +24,7 @@ from ..functions.rng import Stream
 from ..session import cpu_partitions
 
 PATH_KEYS = ["hist_ticker", "T", "method", "path_id"]
+TASKS_PER_CORE = 6      # horizons differ in length: several tasks a core even them out
 
 
 def _path_keys(df: DataFrame) -> list[str]:
@@ -60,7 +61,7 @@ def path_table(horizons: DataFrame, methods: list[str], n_paths: int, chunk: int
         "hist_ticker", "T",
         F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"),
         F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("_chunk"))
-    tasks = tasks.repartition(cpu_partitions(horizons.sparkSession), "hist_ticker", "T", "method", "_chunk")
+    tasks = tasks.repartition(cpu_partitions(horizons.sparkSession, TASKS_PER_CORE), "hist_ticker", "T", "method", "_chunk")
     lo = F.col("_chunk") * F.lit(chunk)
     hi = F.least(lo + F.lit(chunk), F.lit(n_paths)) - F.lit(1)
     return tasks.select("hist_ticker", "T", "method", "_chunk",
@@ -115,7 +116,7 @@ def boot_window(paths: DataFrame, state: DataFrame, stride: int, rets: DataFrame
     rets = rets if rets is not None else long_values(state, "returns")
     s = _steps(_with_state(paths, state, ["n"]))
     idx = F.pmod(F.col("path_id") + F.col("j") * F.lit(stride), F.col("n")) + F.lit(1)
-    return _sum_per_path(_lookup(s, rets, idx.cast("int")), F.col("v"))
+    return _sum_per_path(_lookup(s, rets, F.coalesce(idx.cast("int"), F.lit(0))), F.col("v"))
 
 
 def window_paths(horizons: DataFrame, state: DataFrame, methods: list[str], chunk: int = 4096) -> DataFrame:
@@ -123,7 +124,7 @@ def window_paths(horizons: DataFrame, state: DataFrame, methods: list[str], chun
     h = horizons.select("hist_ticker", "T").distinct().join(state.select("hist_ticker", "n"), "hist_ticker")
     tasks = h.select("hist_ticker", "T", "n", F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"),
                      F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("_chunk"))
-    tasks = tasks.repartition(cpu_partitions(horizons.sparkSession), "hist_ticker", "T", "method", "_chunk")
+    tasks = tasks.repartition(cpu_partitions(horizons.sparkSession, TASKS_PER_CORE), "hist_ticker", "T", "method", "_chunk")
     lo = F.col("_chunk").cast("bigint") * F.lit(chunk)
     hi = F.least(lo + F.lit(chunk), F.col("n").cast("bigint")) - F.lit(1)
     return tasks.select("hist_ticker", "T", "method", "_chunk", F.explode(F.sequence(lo, hi)).alias("path_id"))
@@ -143,28 +144,49 @@ def boot_t_mixture(paths: DataFrame, state: DataFrame, cfg: MCConfig, tag: str =
     return _sum_per_path(s, x)
 
 
+def _block_index(cfg: MCConfig, length: float, steps: Window) -> Column:
+    """The 1-based index of each step's return: that of the last step at which a block began (step 0, and
+    then with probability 1 / length), plus the steps since, wrapping. Draws do not depend on the length."""
+    st = cfg.stream
+    k, j, n = F.col("_k"), F.col("j"), F.col("n")
+    if length <= 1.0:
+        return st.u_index(n, k, j)
+    begins = (j == 0) | (F.col("_b") < F.lit(1.0 / length))
+    last = F.last(F.when(begins, F.struct(j.alias("j"), F.col("_s").alias("s"))), ignorenulls=True).over(steps)
+    return F.coalesce((F.pmod(last["s"] + j - last["j"], n) + F.lit(1)).cast("int"), F.lit(0))
+
+
+def _block_steps(paths: DataFrame, state: DataFrame, cfg: MCConfig, tag: str) -> tuple[DataFrame, Window]:
+    x = _steps(_with_state(paths, state, ["n"]).withColumn("_k", _pkey(cfg, tag)))
+    st, k, j = cfg.stream, F.col("_k"), F.col("j")
+    x = x.withColumn("_b", st.u(k, j, "b")).withColumn("_s", F.floor(st.u(k, j, "s") * F.col("n")).cast("int"))
+    return x, Window.partitionBy(*_path_keys(x)).orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def boot_block(paths: DataFrame, state: DataFrame, cfg: MCConfig, tag: str = "blk",
                rets: DataFrame | None = None) -> DataFrame:
     """Stationary bootstrap — a new block (uniform start) at step 0 and then with probability
-    1/L, otherwise the previous index + 1 (wrapping). L <= 1 is i.i.d. resampling.
-    A small fold over the T steps yields the index sequence (ints only); the indices are then
-    exploded and looked up like the i.i.d. draws, so path rows never carry the return array."""
+    1/L, otherwise the previous index + 1 (wrapping). L <= 1 is i.i.d. resampling. The steps of a path
+    are rows in one partition already; a running last block start gives the indices."""
     rets = rets if rets is not None else long_values(state, "returns")
     if cfg.block_len <= 1.0:
         return boot_iid(paths, state, cfg, tag, rets)
-    p = 1.0 / cfg.block_len
-    st = cfg.stream
-    x = _with_state(paths, state, ["n"]).withColumn("_k", _pkey(cfg, tag))
-    k, n = F.col("_k"), F.col("n")
+    x, steps = _block_steps(paths, state, cfg, tag)
+    s = x.select(*_path_keys(x), _block_index(cfg, cfg.block_len, steps).alias("_i"))
+    return _sum_per_path(_lookup(s, rets, F.col("_i")), F.col("v"))
 
-    def step(acc, j):
-        fresh = (j == 0) | (st.u(k, j, "b") < F.lit(p))
-        prev = F.try_element_at(acc, F.lit(-1))
-        idx = F.when(fresh, F.floor(st.u(k, j, "s") * n).cast("int")).otherwise(F.pmod(prev + 1, n))
-        return F.concat(acc, F.array(idx))
-    idxs = F.aggregate(F.sequence(F.lit(0), F.col("T") - 1), F.array().cast("array<int>"), step)
-    s = x.select(*_path_keys(x), F.explode(idxs).alias("_i"))
-    return _sum_per_path(_lookup(s, rets, F.col("_i") + F.lit(1)), F.col("v"))
+
+def boot_block_lengths(paths: DataFrame, state: DataFrame, cfg: MCConfig, lengths: list[float], tag: str,
+                       rets: DataFrame) -> DataFrame:
+    """R6 for several mean block lengths in one pass: the same two uniforms of a step serve all of them,
+    with one running block start each. Rows come back with method ``<method>#<length index>``."""
+    x, steps = _block_steps(paths, state, cfg, tag)
+    keys = _path_keys(x)
+    s = x.select(*keys, *[_block_index(cfg, length, steps).alias(f"_i{i}") for i, length in enumerate(lengths)])
+    for i in range(len(lengths)):
+        s = s.join(rets.select("hist_ticker", F.col("idx").alias(f"_i{i}"), F.col("v").alias(f"_v{i}")), ["hist_ticker", f"_i{i}"])
+    sums = s.groupBy(*keys).agg(*[F.sum(f"_v{i}").alias(f"_w{i}") for i in range(len(lengths))])
+    return _per_setting(sums, [f"_w{i}" for i in range(len(lengths))])
 
 
 def boot_filtered(paths: DataFrame, state: DataFrame, cfg: MCConfig, risk_neutral: bool, r: Column,
@@ -202,6 +224,28 @@ def cascade_levels(T: Column, override: int | None) -> Column:
     return F.ceil(F.log2(F.greatest(T, F.lit(2)).cast("double")) - F.lit(1e-9)).cast("int")
 
 
+def _cascade_steps(x: DataFrame, cfg: MCConfig, start: float, add) -> DataFrame:
+    """Steps (column j) of the paths ``x`` (with _k, _L and T), each with _g: the sum over its levels of
+    ``add(total, gaussian of its cell)``, from ``start``. A cell's Gaussian is drawn once per path, and
+    looked up by the steps that share it: cells of level l are 0 .. (T - 1) >> (L - l - 1), kept from
+    position 2^(l + 1) - 2 on."""
+    st, k, L, last = cfg.stream, F.col("_k"), F.col("_L"), F.col("T") - F.lit(1)
+    one = F.lit(1)
+    level = lambda node: (F.floor(F.log2((node + F.lit(2)).cast("double")) + F.lit(1e-9)) - one).cast("int")
+    first = lambda lv: F.pow(F.lit(2.0), lv + one).cast("int") - F.lit(2)
+    width = lambda lv: F.pow(F.lit(2.0), L - lv - one)
+
+    def draw(node):
+        return F.element_at(F.transform(F.array(level(node)), lambda lv: F.when(
+            node - first(lv) <= F.floor(last / width(lv)), st.u_gauss(k, F.lit("c"), lv, (node - first(lv)).cast("int")))), 1)
+    cells = F.transform(F.sequence(F.lit(0), (F.pow(F.lit(2.0), L + one) - F.lit(3)).cast("int")), draw)
+    x = x.withColumn("_cells", cells)
+    per_step = F.transform(F.sequence(F.lit(0), last), lambda j: F.aggregate(
+        F.sequence(F.lit(0), L - one), F.lit(float(start)),
+        lambda total, lv: add(total, F.element_at(F.col("_cells"), (first(lv) + F.floor(j / width(lv)) + one).cast("int")))))
+    return x.select("*", F.posexplode(per_step).alias("j", "_g")).drop("_cells")
+
+
 def boot_cascade(paths: DataFrame, state: DataFrame, cfg: MCConfig, r: Column, tag: str = "mfe",
                  zres: DataFrame | None = None) -> DataFrame:
     """Multifractal time with empirical residuals. Step weights theta_i are a lognormal
@@ -216,18 +260,12 @@ def boot_cascade(paths: DataFrame, state: DataFrame, cfg: MCConfig, r: Column, t
     zres = zres if zres is not None else long_values(state, "z_pool")
     x = _with_state(paths, state, ["vol", "n_z", "degenerate"]).withColumn("_k", _pkey(cfg, tag))
     x = x.withColumn("_L", cascade_levels(F.col("T"), cfg.cascade_levels)).withColumn("_r", r)
-    s = _steps(x)
-    k, j, L = F.col("_k"), F.col("j"), F.col("_L")
-    lam = cfg.lam
+    lam, k, j = cfg.lam, F.col("_k"), F.col("j")
     if lam == 0.0:
-        theta = F.lit(1.0)
+        s, theta = _steps(x), F.lit(1.0)
     else:
-        mu_w = -0.5 * lam * lam
-        logw = F.aggregate(F.sequence(F.lit(0), L - 1), F.lit(0.0),
-                           lambda a, lv: a + F.lit(mu_w) + F.lit(lam) * st.u_gauss(
-                               k, F.lit("c"), lv,
-                               F.floor(j / F.pow(F.lit(2.0), L - lv - F.lit(1))).cast("int")))
-        theta = F.exp(logw)
+        s = _cascade_steps(x, cfg, 0.0, lambda total, g: total + F.lit(-0.5 * lam * lam) + F.lit(lam) * g)
+        theta = F.exp("_g")
     # degenerate pools have no rows: the left join leaves v NULL and the Gaussian draw is used
     s = s.withColumn("idx", st.u_index(F.col("n_z"), k, j, "z")).join(zres, ["hist_ticker", "idx"], "left")
     z = F.when(F.col("degenerate"), st.u_gauss(k, j, "z")).otherwise(F.col("v"))
@@ -256,14 +294,13 @@ def boot_cascade_lambdas(paths: DataFrame, state: DataFrame, cfg: MCConfig, r: C
     Rows come back with method ``<method>#<lambda index>``."""
     st = cfg.stream
     x = _with_state(paths, state, ["vol", "n_z", "degenerate"]).withColumn("_k", _pkey(cfg, tag))
-    s = _steps(x.withColumn("_L", cascade_levels(F.col("T"), cfg.cascade_levels)).withColumn("_r", r))
-    k, j, L = F.col("_k"), F.col("j"), F.col("_L")
-    cell = lambda lv: F.floor(j / F.pow(F.lit(2.0), L - lv - F.lit(1))).cast("int")
-    gauss = F.aggregate(F.sequence(F.lit(0), L - 1), F.lit(0.0), lambda a, lv: a + st.u_gauss(k, F.lit("c"), lv, cell(lv)))
+    x = x.withColumn("_L", cascade_levels(F.col("T"), cfg.cascade_levels)).withColumn("_r", r)
+    k, j = F.col("_k"), F.col("j")
+    s = _cascade_steps(x, cfg, 0.0, lambda total, g: total + g)
     s = s.withColumn("idx", st.u_index(F.col("n_z"), k, j, "z")).join(zres, ["hist_ticker", "idx"], "left")
     z = F.when(F.col("degenerate"), st.u_gauss(k, j, "z")).otherwise(F.col("v"))
     keys = _path_keys(s)
-    s = s.select(*keys, "vol", "_r", "_L", gauss.alias("_g"), z.alias("_z"))
+    s = s.select(*keys, "vol", "_r", "_L", "_g", z.alias("_z"))
     sums = []
     for i, lam in enumerate(lambdas):
         theta = F.exp(F.lit(-0.5 * lam * lam) * F.col("_L") + F.lit(lam) * F.col("_g"))

@@ -2,6 +2,7 @@
 (W4, E5..E9, A5q, A9q..A11q, X6, J4, P6..P12)."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -11,22 +12,19 @@ from ..functions.mathfn import clip_log_sum, round_half_up
 from ..operators import evaluate as ev
 from ..operators import pricing as pc
 from ..operators import resample as rs
-from ..sources import fixtures as fx
-from ..operators.mcpricing import price_log_sums
 from . import montecarlo as mc
-from .common import Inputs, rounded
+from .common import Inputs, checkpointed, rounded
 from .relational import query
 
-# Fixed values of the convergence study (one contract, several scales and mixture weights).
-CONV_TICKER = "3-MEDIUM"
-CONV_T = 10
+# Fixed values of the convergence study (one contract at the money of every ticker and horizon, several
+# scales and mixture weights).
 CONV_KEYS = ("ticker", "T")
 CONV_SCALES = [250, 500, 1000, 2000]
 CONV_WEIGHTS = [0.1, 0.2, 0.3, 0.4, 0.5]
 CONV_METHODS = ["historical", "window", "window_10d", "window_20d", "block_bootstrap", "multifractal_empirical",
                 "black_scholes", "multifractal"]
 # Fixed values of the accuracy sweeps.
-ACC_SCALES = [25, 50, 100]
+ACC_SCALES = [250, 500, 1000]
 SQL_METHODS = ["historical", "window", "window_10d", "window_20d", "student_t", "block_bootstrap",
                "multifractal_empirical", "black_scholes", "multifractal"]
 BLOCK_LENGTHS = [1, 2, 3, 5, 8, 13, 21]
@@ -34,43 +32,32 @@ LAMBDAS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
 EMC_TARGETS = ["historical", "window", "block_bootstrap"]
 
 
-def conv_contract(inp: Inputs) -> DataFrame:
-    """The convergence contract: at the money (K = S0 to the cent), T = 10 trading days."""
-    s = fx.latest_quote_state(inp.prices).where(F.col("ticker") == CONV_TICKER)
-    return s.select("ticker", F.col("ticker").alias("hist_ticker"), round_half_up(F.col("S0"), 2).alias("K"),
-                    F.lit(CONV_T).alias("T"), "S0")
-
-
-def conv_grid(inp: Inputs) -> DataFrame:
-    """The convergence contracts of every ticker and horizon of the chain, each at the money."""
+def conv_contracts(inp: Inputs) -> DataFrame:
+    """The convergence contracts: of every ticker and horizon of the chain, at the money (K = S0 to the cent)."""
     s = inp.contracts.groupBy("ticker", "hist_ticker", "T").agg(F.min("S0").alias("S0"))
     return s.select("ticker", "hist_ticker", round_half_up(F.col("S0"), 2).alias("K"), "T", "S0")
 
 
-def conv_grid_prices(inp: Inputs, c: DataFrame, scales: list[int] = CONV_SCALES) -> DataFrame:
+def conv_prices(inp: Inputs, c: DataFrame, scales: list[int] = CONV_SCALES) -> DataFrame:
     """(ticker, T, alt_weight, runs, method, CallPrice, PutPrice) of the contracts ``c``, one for each
     ticker and T: every method at every scale and weight. Only the Student-t mixture depends on the
-    weight; the other methods are priced once and reported for each weight."""
+    weight; it is sampled once for all weights (same draws, other thresholds), and the other methods are
+    priced once and reported for each weight."""
     state = mc.series_state(inp, CONV_METHODS + ["student_t"])
-    base = mc.run_methods(inp, c, mc.ORACLE_CFG, CONV_METHODS, scales, state=state)
-    base = base.select("*", F.explode(F.array(*[F.lit(w) for w in CONV_WEIGHTS])).alias("alt_weight"))
-    # the Student-t mixture for all weights in one sampler pass (same draws, different thresholds)
-    tables = mc._lookup_tables(state)
     cfg = replace(mc.ORACLE_CFG, n_paths=max(scales))
-    paths = rs.path_table(c.select("hist_ticker", "T").distinct(), ["student_t"], cfg.n_paths, cfg.chunk)
-    ls = rs.boot_t_mixture_weights(paths, tables["state"], cfg, CONV_WEIGHTS, "student_t", tables["rets"])
-    t = price_log_sums(ls, c.select("ticker", "hist_ticker", "K", "T", "S0"), inp.rate, mc.RISK_NEUTRAL,
-                       mc.EMC_DEFAULT, scales)
-    wts = F.array(*[F.lit(w) for w in CONV_WEIGHTS])
-    t = t.select("ticker", "K", "T", "S0", F.lit("student_t").alias("method"), "Runs", "CallPrice", "PutPrice",
-                 F.element_at(wts, F.split(F.col("method"), "#").getItem(1).cast("int") + 1).alias("alt_weight"))
-    out = base.unionByName(t)
-    return out.select(*CONV_KEYS, "alt_weight", F.col("Runs").alias("runs"), "method", "CallPrice", "PutPrice")
-
-
-def conv_prices(inp: Inputs) -> DataFrame:
-    """(alt_weight, runs, method, CallPrice, PutPrice) of the convergence contract."""
-    return conv_grid_prices(inp, conv_contract(inp)).drop(*CONV_KEYS)
+    horizons = c.select("hist_ticker", "T").distinct()
+    sampled = [m for m in CONV_METHODS if m not in mc.CLOSED_FORM]
+    mixed = [f"student_t#{i}" for i in range(len(CONV_WEIGHTS))]
+    sums = mc.log_sums(inp, horizons, cfg, sampled, state).unionByName(rs.boot_t_mixture_weights(
+        rs.path_table(horizons, ["student_t"], cfg.n_paths, cfg.chunk), state.rows, cfg, CONV_WEIGHTS, "student_t", state.returns))
+    priced = mc.sampled_prices(inp, c, sums, sampled + mixed, scales, [mc.EMC_DEFAULT])[0]
+    closed = mc.run_methods(inp, c, mc.ORACLE_CFG, mc.CLOSED_FORM, scales)
+    weights = F.array(*[F.lit(w) for w in CONV_WEIGHTS])
+    setting = F.split("method", "#")
+    every = F.when(F.size(setting) > 1, F.array(F.get(weights, F.get(setting, F.lit(1)).cast("int")))).otherwise(weights)
+    out = priced.unionByName(closed).select("*", F.explode(every).alias("alt_weight"))
+    return out.select(*CONV_KEYS, "alt_weight", F.col("Runs").alias("runs"), F.get(F.split("method", "#"), F.lit(0)).alias("method"),
+                      "CallPrice", "PutPrice")
 
 
 def analytic_calls(inp: Inputs, c: DataFrame) -> DataFrame:
@@ -79,63 +66,36 @@ def analytic_calls(inp: Inputs, c: DataFrame) -> DataFrame:
     return pc.bs_price(c.crossJoin(inp.rate)).select(*CONV_KEYS, "bs_call")                  # rate: one row
 
 
-@query("convergence")
-def q_convergence(inp: Inputs) -> DataFrame:
-    """Price change between successive scales per (weight, method); converged when <= 1%."""
-    return rounded(ev.convergence(conv_prices(inp)))
-
-
-@query("transition_report")
-def q_transition(inp: Inputs) -> DataFrame:
-    return rounded(ev.transition_report(ev.convergence(conv_prices(inp))))
-
-
-@query("weight_summary")
-def q_weight_summary(inp: Inputs) -> DataFrame:
-    return rounded(ev.weight_summary(ev.convergence(conv_prices(inp))))
-
-
-@query("bs_consistency")
-def q_bs_consistency(inp: Inputs) -> DataFrame:
-    return rounded(ev.bs_consistency(conv_prices(inp)))
-
-
-@query("spread_vs_bs")
-def q_spread(inp: Inputs) -> DataFrame:
-    return rounded(ev.spread_vs_bs(conv_prices(inp)))
-
-
-@query("premium_over_bs")
-def q_premium(inp: Inputs) -> DataFrame:
-    """(average call over weights - BS analytical) / BS * 100 per method at the top scale."""
-    bs = analytic_calls(inp, conv_contract(inp)).select("bs_call")            # one contract
-    return rounded(ev.premium_over_bs(conv_prices(inp), bs))
-
-
-@query("highest_scale")
-def q_highest(inp: Inputs) -> DataFrame:
-    """Rows at the maximum scale."""
-    return rounded(ev.highest_scale(conv_prices(inp), "runs"))
-
-
-# The same reports for every ticker and horizon of the chain, with both as keys.
-GRID_REPORTS = {
-    "convergence": lambda p, bs: ev.convergence(p, by=CONV_KEYS),
-    "transition_report": lambda p, bs: ev.transition_report(ev.convergence(p, by=CONV_KEYS), CONV_KEYS),
-    "weight_summary": lambda p, bs: ev.weight_summary(ev.convergence(p, by=CONV_KEYS), CONV_KEYS),
-    "bs_consistency": lambda p, bs: ev.bs_consistency(p, by=CONV_KEYS),
-    "spread_vs_bs": lambda p, bs: ev.spread_vs_bs(p, CONV_KEYS),
-    "premium_over_bs": lambda p, bs: ev.premium_over_bs(p, bs, CONV_KEYS),
-    "highest_scale": lambda p, bs: ev.highest_scale(p, "runs"),
+def conv_report(name: str, p: DataFrame, calls: Callable[[], DataFrame], top: int) -> DataFrame:
+    """A report over convergence prices, of each contract on its own. ``top``: the largest scale."""
+    if name in ("convergence", "transition_report", "weight_summary"):
+        conv = ev.convergence(p, by=CONV_KEYS)
+        return conv if name == "convergence" else getattr(ev, name)(conv, CONV_KEYS)
+    if name == "premium_over_bs":
+        return ev.premium_over_bs(p, calls(), CONV_KEYS, top)
+    if name == "highest_scale":
+        return ev.highest_scale(p, "runs", top)
+    return getattr(ev, name)(p, CONV_KEYS, top)
+
+
+CONV_REPORTS = {
+    "convergence": "W4: price change between successive scales per (weight, method); converged when <= 1%.",
+    "transition_report": "E9: PASS / FAIL per weight and method at the last transition.",
+    "weight_summary": "A11q: per weight at the last transition, how many methods converged, and the best.",
+    "bs_consistency": "A9q: mean and deviation of the closed-form price over the weights.",
+    "spread_vs_bs": "A10q: the price of each weight, the average over weights, and its distance from the closed form.",
+    "premium_over_bs": "E8: (average call over weights - closed-form call) in per cent per method at the top scale.",
+    "highest_scale": "X6: rows at the maximum scale.",
 }
-for _name, _report in GRID_REPORTS.items():
-    def _make(name, report):
+for _name, _doc in CONV_REPORTS.items():
+    def _make(name):
         def plan(inp: Inputs) -> DataFrame:
-            c = conv_grid(inp)
-            return rounded(report(conv_grid_prices(inp, c), analytic_calls(inp, c)))
-        plan.__doc__ = f"The {name} report of every ticker and horizon of the chain."
+            c = checkpointed(conv_contracts(inp))
+            return rounded(conv_report(name, conv_prices(inp, c), lambda: analytic_calls(inp, c), max(CONV_SCALES)))
         return plan
-    query(f"{_name}_grid")(_make(_name, _report))
+    _plan = _make(_name)
+    _plan.__doc__ = _doc + " Of every ticker and horizon of the chain."
+    query(_name)(_plan)
 
 
 # ------------------------------------------------------------------ accuracy at several scales / sweeps
@@ -160,13 +120,21 @@ def _with_best(df: DataFrame, key: str) -> DataFrame:
 @query("block_sweep")
 def q_block_sweep(inp: Inputs) -> DataFrame:
     """E5: put MAPE by mean block length; the argmin is flagged."""
-    state = mc.series_state(inp, ["block_bootstrap"])
-    out = None
-    for L in BLOCK_LENGTHS:
-        p = mc.run_methods(inp, inp.contracts_cp, replace(mc.ORACLE_CFG, block_len=float(L)), ["block_bootstrap"], state=state)
-        p = p.withColumn("block_len", F.lit(L))
-        out = p if out is None else out.unionByName(p)
-    return rounded(_with_best(_put_mape_by(out, inp, "block_len"), "block_len"))
+    method, cfg, contracts = "block_bootstrap", mc.ORACLE_CFG, inp.contracts_cp
+    state = mc.series_state(inp, [method])
+    paths = rs.path_table(contracts.select("hist_ticker", "T"), [method], cfg.n_paths, cfg.chunk)
+    sums = rs.boot_block_lengths(paths, state.rows, cfg, [float(v) for v in BLOCK_LENGTHS], method, state.returns)
+    return _sweep(inp, contracts, sums, method, "block_len", BLOCK_LENGTHS, mc.RISK_NEUTRAL)
+
+
+def _sweep(inp: Inputs, contracts: DataFrame, sums: DataFrame, method: str, key: str, settings: list, risk_neutral: set[str]) -> DataFrame:
+    """Put MAPE by setting, from the log-sums of ``<method>#<setting index>``; the argmin is flagged."""
+    names = [f"{method}#{i}" for i in range(len(settings))]
+    discounted = set(names) if method in risk_neutral else set()
+    priced = mc.sampled_prices(inp, contracts, sums, names, [mc.ORACLE_CFG.n_paths], [mc.EMC_DEFAULT], discounted)[0]
+    setting = F.split("method", "#").getItem(1).cast("int")
+    priced = priced.withColumn(key, F.element_at(F.array(*[F.lit(v) for v in settings]), setting + 1))
+    return rounded(_with_best(_put_mape_by(priced, inp, key), key))
 
 
 def _put_mape_by(priced: DataFrame, inp: Inputs, key: str) -> DataFrame:
@@ -179,43 +147,36 @@ def _put_mape_by(priced: DataFrame, inp: Inputs, key: str) -> DataFrame:
 @query("lambda_sweep")
 def q_lambda_sweep(inp: Inputs) -> DataFrame:
     """Put MAPE of the empirical-residual cascade by intermittency lambda (discounted)."""
-    method, cfg = "multifractal_empirical", mc.ORACLE_CFG
-    tables = mc._lookup_tables(mc.series_state(inp, [method]))
-    contracts = inp.contracts_cp
-    paths = rs.path_table(contracts.select("hist_ticker", "T"), [method], cfg.n_paths, cfg.chunk)
-    paths = paths.crossJoin(inp.rate.select(F.col("r").alias("_rate")))                     # rate: one row
-    pool = tables["state"].withColumn("n_z", F.size("z_res"))
-    ls = rs.boot_cascade_lambdas(paths, pool, cfg, F.col("_rate"), LAMBDAS, method, tables["zres"])
-    priced = price_log_sums(ls, contracts.select("ticker", "hist_ticker", "K", "T", "S0"), inp.rate,
-                            {f"{method}#{i}" for i in range(len(LAMBDAS))}, mc.EMC_DEFAULT, [cfg.n_paths])
-    setting = F.split(F.col("method"), "#").getItem(1).cast("int")
-    out = priced.withColumn("lam", F.element_at(F.array(*[F.lit(v) for v in LAMBDAS]), setting + 1))
-    return rounded(_with_best(_put_mape_by(out, inp, "lam"), "lam"))
+    method, cfg, contracts = "multifractal_empirical", mc.ORACLE_CFG, inp.contracts_cp
+    state = mc.series_state(inp, [method])
+    paths = mc.with_rate(inp, rs.path_table(contracts.select("hist_ticker", "T"), [method], cfg.n_paths, cfg.chunk))
+    sums = rs.boot_cascade_lambdas(paths, state.pool("z_res"), cfg, F.col("_rate"), LAMBDAS, method, state.residuals)
+    return _sweep(inp, contracts, sums, method, "lam", LAMBDAS, mc.RISK_NEUTRAL)
 
 
 @query("emc_effect")
 def q_emc_effect(inp: Inputs) -> DataFrame:
     """E7 + J4: MAPE without and with the empirical martingale correction for three samplers."""
-    state = mc.series_state(inp, EMC_TARGETS)
-    pre = mc.run_methods(inp, inp.contracts_cp, mc.ORACLE_CFG, EMC_TARGETS, state=state)
-    post = mc.run_methods(inp, inp.contracts_cp, mc.ORACLE_CFG, EMC_TARGETS, extra_emc=set(EMC_TARGETS), state=state)
+    contracts, cfg = inp.contracts_cp, mc.ORACLE_CFG
+    sums = mc.log_sums(inp, contracts.select("hist_ticker", "T").distinct(), cfg, EMC_TARGETS, mc.series_state(inp, EMC_TARGETS))
+    pre, post = mc.sampled_prices(inp, contracts, sums, EMC_TARGETS, [cfg.n_paths], [mc.EMC_DEFAULT, mc.EMC_DEFAULT | set(EMC_TARGETS)])
     rep = lambda p: ev.mape_by_method(ev.long_errors(ev.comparison(p, inp.chain)))
     return rounded(ev.emc_pre_post(rep(pre), rep(post)))
 
 
 # ------------------------------------------------------------------ pricing steps (P6..P12) on the i.i.d. sampler
 
-def _iid_log_sums(inp: Inputs) -> tuple[DataFrame, DataFrame]:
+def _iid_log_sums(inp: Inputs) -> DataFrame:
     state = mc.series_state(inp, ["historical"])
     horizons = inp.contracts.select("hist_ticker", "T").distinct()
     paths = rs.path_table(horizons, ["historical"], mc.ORACLE_PATHS, mc.ORACLE_CFG.chunk)
-    return rs.boot_iid(paths, state, mc.ORACLE_CFG, "historical"), state
+    return rs.boot_iid(paths, state.rows, mc.ORACLE_CFG, "historical", state.returns)
 
 
 @query("clip_log_sum")
 def q_clip(inp: Inputs) -> DataFrame:
     """How many simulated log-sums the +-10 clamp touches, per horizon."""
-    ls, _ = _iid_log_sums(inp)
+    ls = _iid_log_sums(inp)
     return rounded(ls.groupBy("hist_ticker", "T").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.abs("log_sum") > 10).alias("n_clipped"),
         F.max(clip_log_sum(F.col("log_sum"))).alias("max_clipped"), F.min(clip_log_sum(F.col("log_sum"))).alias("min_clipped")))
@@ -224,7 +185,7 @@ def q_clip(inp: Inputs) -> DataFrame:
 @query("terminal_price")
 def q_terminal(inp: Inputs) -> DataFrame:
     """Mean and spread of S0 * exp(log_sum) per contract ticker and horizon."""
-    ls, _ = _iid_log_sums(inp)
+    ls = _iid_log_sums(inp)
     s0 = inp.contracts.select("ticker", "hist_ticker", "T", "S0").distinct()
     x = ls.join(s0, ["hist_ticker", "T"]).withColumn("ST", F.col("S0") * F.exp(clip_log_sum(F.col("log_sum"))))
     return rounded(x.groupBy("ticker", "T").agg(F.avg("ST").alias("mean_ST"), F.min("ST").alias("min_ST"),
@@ -234,7 +195,7 @@ def q_terminal(inp: Inputs) -> DataFrame:
 @query("martingale_correct")
 def q_emc(inp: Inputs) -> DataFrame:
     """EMC factor exp(rT/252) / mean(exp(log_sum)) per horizon of the i.i.d. sampler."""
-    ls, _ = _iid_log_sums(inp)
+    ls = _iid_log_sums(inp)
     g = ls.withColumn("g", F.exp(clip_log_sum(F.col("log_sum")))).crossJoin(inp.rate)     # rate: one row
     return rounded(g.groupBy("hist_ticker", "T", "r").agg(F.avg("g").alias("mean_growth"))
                     .select("hist_ticker", "T", "mean_growth",

@@ -25,11 +25,9 @@ def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 # Plans without a SQL oracle (rows-only in the driver; pytest checks them with tolerances or
-# against brute force): GARCH-filtered samplers and the plans that include them, and the convergence
-# reports of the whole grid.
+# against brute force): GARCH-filtered samplers and the plans that include them.
 NON_SQL = {"boot_filtered", "boot_filtered_rn", "run_methods", "mc_error_report", "garch_fit",
-           "garch_filter", "convergence_grid", "transition_report_grid", "weight_summary_grid", "bs_consistency_grid",
-           "spread_vs_bs_grid", "premium_over_bs_grid", "highest_scale_grid"}
+           "garch_filter"}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,7 @@ from ..operators import evaluate as ev
 from ..operators import prices as pr
 from ..operators import stats as st
 from ..operators.pricing import risk_free_rate
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
 
 # Doubles are compared across engines after rounding to this many places.
@@ -32,6 +33,12 @@ def rounded(df: DataFrame, digits: int = OUT_DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialised in the cluster's checkpoint folder, with the lineage cut."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 class Inputs:
     """The fixture views of one table directory, built lazily (nothing is computed here)."""
 
@@ -83,9 +90,7 @@ class Inputs:
     def contracts_cp(self) -> DataFrame:
         """The contract grid materialised once in the checkpoint folder: several Monte Carlo plans
         share it, its size check then reads stored rows, and its lineage is cut."""
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(self.spark)
-        return self.contracts.checkpoint(eager=True)
+        return checkpointed(self.contracts)
 
     @cached_property
     def job_log(self) -> DataFrame:

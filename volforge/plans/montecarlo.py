@@ -2,7 +2,8 @@
 (P6..P13, R1..R10, E5..E9, W4, A5q, A8q..A11q)."""
 from __future__ import annotations
 
-import math
+from dataclasses import replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,11 @@ from ..operators import evaluate as ev
 from ..operators import pricing as pc
 from ..operators import resample as rs
 from ..operators import stats as st
+from ..operators.growth import stored_growth
 from ..operators.joins import checked_broadcast
-from ..operators.mcpricing import price_log_sums
+from ..operators.mcpricing import price_growth
 from ..session import ensure_checkpoint_dir
-from .common import Inputs
+from .common import Inputs, checkpointed
 
 # Fixed values of the registered Monte Carlo plans.
 SIM_METHODS = ["historical", "window", "window_10d", "window_20d", "student_t", "multifractal_empirical",
@@ -26,7 +28,30 @@ EMC_DEFAULT = {m for m, _, _, e in pc.METHODS if e}
 EXACT = {"window", "window_10d", "window_20d"}
 
 
-def series_state(inp: Inputs, methods: list[str] | None = None) -> DataFrame:
+class SeriesState:
+    """What the samplers need of each history ticker, one row each, materialised; and its size-checked
+    broadcast forms, decided once."""
+
+    def __init__(self, frame: DataFrame):
+        self.frame = frame
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return checked_broadcast(self.frame, row_bytes=512, array_cols=("returns", "z_fhs", "z_res"))
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        return checked_broadcast(rs.long_values(self.frame, "returns"), row_bytes=48)
+
+    @cached_property
+    def residuals(self) -> DataFrame:
+        return checked_broadcast(rs.long_values(self.frame, "z_res"), row_bytes=48)
+
+    def pool(self, column: str) -> DataFrame:
+        return self.rows.withColumn("z_pool", F.col(column)).withColumn("n_z", F.size(column))
+
+
+def series_state(inp: Inputs, methods: list[str] | None = None) -> SeriesState:
     """One row per history ticker with what the requested samplers need: the return array and D1
     stats always; the D2 Student-t fit for student_t; the D3/D4 GARCH fit and filtered residual
     pool for fhs / fhs_rn; the D8 standardised residual pool for multifractal_empirical.
@@ -45,7 +70,7 @@ def series_state(inp: Inputs, methods: list[str] | None = None) -> DataFrame:
     else:
         x = x.select("*", *[F.lit(None).cast("double").alias(c) for c in ("t_df", "t_loc", "t_scale")])
     if need & {"fhs", "fhs_rn"}:
-        gfit = st.garch_fit(arrays.where(F.col("n") >= 30))
+        gfit = checkpointed(st.garch_fit(arrays.where(F.col("n") >= 30)))
         filt = st.garch_filter(gfit, inp.returns)
         zpool = (filt.groupBy("ticker")
                      .agg(F.array_sort(F.collect_list(F.struct("Date", "z"))).alias("_z"),
@@ -62,74 +87,57 @@ def series_state(inp: Inputs, methods: list[str] | None = None) -> DataFrame:
                  F.when(~degenerate, F.transform("returns", lambda v: (v - F.col("mu")) / F.col("std")))
                   .otherwise(empty).alias("z_res"))
     ensure_checkpoint_dir(inp.spark)
-    return x.checkpoint(eager=True)
+    return SeriesState(x.checkpoint(eager=True))
 
 
-_TABLES: dict[int, dict] = {}
+def with_rate(inp: Inputs, paths: DataFrame) -> DataFrame:
+    return paths.crossJoin(inp.rate.select(F.col("r").alias("_rate")))                    # rate: one row
 
 
-def _lookup_tables(state: DataFrame) -> dict:
-    """Size-checked broadcast forms of the (checkpointed) series state and its long lookup tables,
-    decided once per state table."""
-    key = id(state)
-    if key not in _TABLES:
-        _TABLES[key] = {
-            "state": checked_broadcast(state, row_bytes=512, array_cols=("returns", "z_fhs", "z_res")),
-            "rets": checked_broadcast(rs.long_values(state, "returns"), row_bytes=48),
-            "zres": checked_broadcast(rs.long_values(state, "z_res"), row_bytes=48),
-            "_keep": state,
-        }
-    return _TABLES[key]
+def log_sums(inp: Inputs, horizons: DataFrame, cfg: rs.MCConfig, methods: list[str], state: SeriesState) -> DataFrame:
+    """The log-sums of every sampled path of ``methods`` (all starts of the exact ones)."""
+    rc = F.col("_rate")
+    gens = {
+        "historical": lambda p: rs.boot_iid(p, state.rows, cfg, "historical", state.returns),
+        "student_t": lambda p: rs.boot_t_mixture(p, state.rows, cfg, "student_t", state.returns),
+        "block_bootstrap": lambda p: rs.boot_block(p, state.rows, cfg, "block_bootstrap", state.returns),
+        "fhs": lambda p: rs.boot_filtered(with_rate(inp, p), state.pool("z_fhs"), cfg, False, rc, "fhs"),
+        "fhs_rn": lambda p: rs.boot_filtered(with_rate(inp, p), state.pool("z_fhs"), cfg, True, rc, "fhs_rn"),
+        "multifractal_empirical": lambda p: rs.boot_cascade(with_rate(inp, p), state.pool("z_res"), cfg, rc, "multifractal_empirical", state.residuals),
+    }
+    parts = [rs.boot_window(rs.window_paths(horizons, state.rows, [m]), state.rows, pc.WINDOW_STRIDE[m], state.returns) if m in EXACT
+             else gens[m](rs.path_table(horizons, [m], cfg.n_paths, cfg.chunk)) for m in sorted(set(methods))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def sampled_prices(inp: Inputs, contracts: DataFrame, sums: DataFrame, methods: list[str], scales: list[int],
+                   emc_sets: list[set[str]], risk_neutral: set[str] = frozenset(RISK_NEUTRAL)) -> list[DataFrame]:
+    """The prices of ``contracts`` from the log-sums of ``methods``, once for each set of corrected methods.
+    The samplers run once, into the growth table; the prices are materialised from it."""
+    k = contracts.select("ticker", "hist_ticker", "K", "T", "S0")
+    with stored_growth(inp.spark, sums) as table:
+        return [price_growth(table, k, inp.rate, sorted(set(methods)), risk_neutral, emc, scales, EXACT & set(methods)).checkpoint(eager=True)
+                for emc in emc_sets]
 
 
 def run_methods(inp: Inputs, contracts: DataFrame, cfg: rs.MCConfig, methods: list[str], scales: list[int] | None = None,
-                extra_emc: set[str] = frozenset(), state: DataFrame | None = None) -> DataFrame:
-    """P13 re-aimed: every method for every contract in one plan. Paths are generated once per
-    (history ticker, T, method) and shared by all strikes of that horizon."""
+                extra_emc: set[str] = frozenset(), state: SeriesState | None = None) -> DataFrame:
+    """P13 re-aimed: every method for every contract. Paths are generated once per (history ticker, T,
+    method), stored as growth and shared by all strikes and scales of that horizon."""
     scales = sorted(scales or [cfg.n_paths])
-    cfg = rs.MCConfig(**{**cfg.__dict__, "n_paths": max(scales)})
-    state = state if state is not None else series_state(inp, methods)
-    tables = _lookup_tables(state)
-    state = tables["state"]
-    rate = inp.rate
-    rc = F.col("_rate")
-    horizons = contracts.select("hist_ticker", "T").distinct()
-    k = checked_broadcast(contracts.select("ticker", "hist_ticker", "K", "T", "S0"), row_bytes=96)
-    parts = []
-    ran = set(methods)
-    stoch = [m for m in ran if m not in EXACT and m not in CLOSED_FORM]
-    if stoch:
-        paths = rs.path_table(horizons, stoch, cfg.n_paths, cfg.chunk)
-        st_fhs = state.withColumn("z_pool", F.col("z_fhs")).withColumn("n_z", F.size("z_fhs"))
-        st_res = state.withColumn("z_pool", F.col("z_res")).withColumn("n_z", F.size("z_res"))
-        rets, zres = tables["rets"], tables["zres"]
-        pr = paths.crossJoin(rate.select(F.col("r").alias("_rate")))                    # rate: one row
-        by = {m: pr.where(F.col("method") == m) for m in stoch}
-        gens = {
-            "historical": lambda p: rs.boot_iid(p.drop("_rate"), state, cfg, "historical", rets),
-            "student_t": lambda p: rs.boot_t_mixture(p.drop("_rate"), state, cfg, "student_t", rets),
-            "block_bootstrap": lambda p: rs.boot_block(p.drop("_rate"), state, cfg, "block_bootstrap", rets),
-            "fhs": lambda p: rs.boot_filtered(p, st_fhs, cfg, False, rc, "fhs"),
-            "fhs_rn": lambda p: rs.boot_filtered(p, st_fhs, cfg, True, rc, "fhs_rn"),
-            "multifractal_empirical": lambda p: rs.boot_cascade(p, st_res, cfg, rc, "multifractal_empirical", zres),
-        }
-        for m in sorted(stoch):
-            parts.append(gens[m](by[m]))
-    exact = sorted(ran & EXACT)
-    if exact:
-        wp = rs.window_paths(horizons, state, exact)
-        wrets = tables["rets"]
-        for m in exact:
-            parts.append(rs.boot_window(wp.where(F.col("method") == m), state, pc.WINDOW_STRIDE[m], wrets))
+    cfg = replace(cfg, n_paths=max(scales))
+    sampled = sorted(set(methods) - set(CLOSED_FORM))
     out = None
-    if parts:
-        ls = parts[0]
-        for p in parts[1:]:
-            ls = ls.unionByName(p)
-        out = price_log_sums(ls, k, rate, RISK_NEUTRAL, EMC_DEFAULT | set(extra_emc), scales, set(exact))
+    if sampled:
+        state = state if state is not None else series_state(inp, methods)
+        sums = log_sums(inp, contracts.select("hist_ticker", "T").distinct(), cfg, sampled, state)
+        out = sampled_prices(inp, contracts, sums, sampled, scales, [EMC_DEFAULT | set(extra_emc)])[0]
     closed = [m for m in methods if m in CLOSED_FORM]
     if closed:
-        cf = pc.closed_form_prices(contracts, inp.stats, rate, tuple(closed))
+        cf = pc.closed_form_prices(contracts, inp.stats, inp.rate, tuple(closed))
         cf = cf.select("*", F.explode(F.array(*[F.lit(s) for s in scales])).alias("Runs"))
         cf = cf.select(*[c for c in ["ticker", "K", "T", "S0", "method"]], F.col("Runs").cast("int"), "CallPrice", "PutPrice")
         out = cf if out is None else out.unionByName(cf)
@@ -141,7 +149,7 @@ from .common import rounded  # noqa: E402
 from .relational import query  # noqa: E402
 
 # Monte Carlo plans checked against SQL use the md5 stream (identical draws in both engines).
-ORACLE_PATHS = 100      # of each of some 220 horizons (every ticker and T of the chain)
+ORACLE_PATHS = 1000     # of each of some 220 horizons (every ticker and T of the chain)
 ORACLE_CFG = rs.MCConfig(n_paths=ORACLE_PATHS, seed=42, rng="md5")
 RESULT_COLS = ["ticker", "K", "T", "S0", "method", "Runs", "CallPrice", "PutPrice"]
 
@@ -241,23 +249,29 @@ def q_student_t_fit(inp: Inputs) -> DataFrame:
 
 @query("garch_fit")
 def q_garch_fit(inp: Inputs) -> DataFrame:
-    """D3: GARCH(1,1) fit per ticker (coarse-to-fine likelihood grid); without enough returns, null
-    parameters and the reason."""
+    """D3: GARCH(1,1) maximum likelihood per ticker, and whether it converged; without enough returns,
+    null parameters and the reason."""
     f = st.garch_fit(st.return_arrays(inp.returns).where(F.col("n") >= MIN_FIT)).drop("n")
-    return rounded(return_counts(inp).join(f, "ticker", "left").select("ticker", "n", "omega", "alpha", "beta", "nll", "reason"), 10)
+    return rounded(return_counts(inp).join(f, "ticker", "left").select("ticker", "n", "omega", "alpha", "beta", "nll", "converged", "reason"), 10)
 
 
 @query("garch_filter")
 def q_garch_filter(inp: Inputs) -> DataFrame:
     """Conditional variance, recentred standardised residual and next-day variance per day; nulls
     and the reason on the days of a ticker without enough returns."""
-    f = st.garch_fit(st.return_arrays(inp.returns).where(F.col("n") >= MIN_FIT))
+    f = checkpointed(st.garch_fit(st.return_arrays(inp.returns).where(F.col("n") >= MIN_FIT)))
     short = return_counts(inp).where(F.col("reason").isNotNull()).select("ticker", "reason")
     days = st.clean_returns(inp.returns).select("ticker", "Date").join(short, "ticker")
     days = days.select("ticker", "Date", *[F.lit(None).cast("double").alias(c) for c in ("sigma2", "z", "sigma2_next")], "reason")
     return rounded(st.garch_filter(f, inp.returns).withColumn("reason", F.lit(None).cast("string")).unionByName(days), 10)
 
 
+@query("garch_filter_start")
+def q_garch_filter_start(inp: Inputs) -> DataFrame:
+    """D4 at the optimiser's starting parameters (checked against a recursive SQL)."""
+    return rounded(st.garch_filter(checkpointed(st.garch_start(st.return_arrays(inp.returns))), inp.returns), 10)
+
+
 @query("analogue_features")
 def q_analogue_features(inp: Inputs) -> DataFrame:
     return rounded(st.analogue_features(inp.returns), 8)

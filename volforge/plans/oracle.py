@@ -54,10 +54,8 @@ def with_stored(body: str, needs=("prices", "returns"), extra=None) -> str:
     return half_up(base.rstrip() + ",\n" + STORED + "\n" + body)
 
 
-SQL["existing_tickers"] = with_stored("SELECT DISTINCT ticker FROM stored")
-SQL["latest_dates"] = with_stored('SELECT ticker, max("Date") AS max_date FROM stored GROUP BY ticker')
-sql("existing_tickers_all", ["prices", "returns"], "SELECT DISTINCT ticker FROM returns WHERE log_return IS NOT NULL")
-sql("latest_dates_all", ["prices", "returns"], """SELECT ticker, max("Date") AS max_date FROM returns
+sql("existing_tickers", ["prices", "returns"], "SELECT DISTINCT ticker FROM returns WHERE log_return IS NOT NULL")
+sql("latest_dates", ["prices", "returns"], """SELECT ticker, max("Date") AS max_date FROM returns
     WHERE log_return IS NOT NULL GROUP BY ticker""")
 SQL["missing_tickers"] = with_stored("""SELECT ticker, CAST(ordinal AS INTEGER) AS ordinal FROM
     (SELECT ticker, dense_rank() OVER (ORDER BY ticker) AS ordinal FROM (SELECT DISTINCT ticker FROM prices))

@@ -39,6 +39,17 @@ def ls_tmix(p: str, weight: float) -> list[tuple[str, str]]:
         GROUP BY 1, 2, 3""")]
 
 
+def ls_tmix_weights(p: str, weights: list[float]) -> list[tuple[str, str]]:
+    """``<p><i>_ls`` for each weight, from one pass over the draws."""
+    t = student_t_sql(SEED, "f.t_df", *key("student_t", "j"))
+    sums = ", ".join(f"sum(CASE WHEN m < {d(w)} THEN drawn ELSE past END) AS w{i}" for i, w in enumerate(weights))
+    return [draws(f"{p}_ix", u("student_t", "j", repr("h"))),
+            (f"{p}_st", f"""SELECT s.hist_ticker, s.T, s.path_id, {u('student_t', 'j', repr('m'))} AS m, f.t_loc + f.t_scale * {t} AS drawn, r.log_return AS past
+        FROM {p}_ix s JOIN tfit f ON f.ticker = s.hist_ticker JOIN ret_idx r ON r.ticker = s.hist_ticker AND r.idx = s.ix"""),
+            (f"{p}_sum", f"SELECT hist_ticker, T, path_id, {sums} FROM {p}_st GROUP BY 1, 2, 3"),
+            *[(f"{p}{i}_ls", f"SELECT hist_ticker, T, path_id, w{i} AS log_sum FROM {p}_sum") for i in range(len(weights))]]
+
+
 def ls_block(p: str, L: float) -> list[tuple[str, str]]:
     if L <= 1.0:
         return ls_iid(p, "block_bootstrap")
@@ -130,8 +141,7 @@ def union(names: list[str], extra_cols: str = "") -> str:
 # ---------------------------------------------------------------- convergence study
 CONV_SCALES = [250, 500, 1000, 2000]
 CONV_WEIGHTS = [0.1, 0.2, 0.3, 0.4, 0.5]
-CC = ("cc", f"""SELECT ticker, ticker AS hist_ticker, {rnd('S0', 2)} AS K, CAST(10 AS INTEGER) AS T, S0 FROM qr_state
-    WHERE ticker = '3-MEDIUM'""")
+CC = ("cc", f"""SELECT ticker, hist_ticker, {rnd('min(S0)', 2)} AS K, T, min(S0) AS S0 FROM contracts_h GROUP BY ticker, hist_ticker, T""")
 WEIGHTS = "(VALUES " + ", ".join(f"({d(w)})" for w in CONV_WEIGHTS) + ") wt(alt_weight)"
 
 
@@ -148,22 +158,22 @@ def conv_ctes() -> list:
     c += closed_form("cf", "cc", CONV_SCALES)
     outs.append("cf_out")
     tw = []
+    c += ls_tmix_weights("t", CONV_WEIGHTS)
     for i, w in enumerate(CONV_WEIGHTS):
-        c += ls_tmix(f"t{i}", w) + priced(f"t{i}", "student_t", "cc", CONV_SCALES)
+        c += priced(f"t{i}", "student_t", "cc", CONV_SCALES)
         tw.append(f"SELECT {d(w)} AS alt_weight, * FROM t{i}_out")
     c.append(("cp_all", f"SELECT wt.alt_weight, u.* FROM ({union(outs)}) u CROSS JOIN {WEIGHTS} UNION ALL " + " UNION ALL ".join(tw)))
-    c.append(("cp", "SELECT alt_weight, Runs AS runs, method, CallPrice, PutPrice FROM cp_all"))
+    c.append(("cp", "SELECT ticker, T, alt_weight, Runs AS runs, method, CallPrice, PutPrice FROM cp_all"))
     c.append(("cv1", """SELECT *, lag(px) OVER w AS prev, lag(runs) OVER w AS from_runs FROM (
-        SELECT alt_weight, method, runs, CASE WHEN CallPrice > 0 THEN CallPrice ELSE PutPrice END AS px FROM cp)
-        WINDOW w AS (PARTITION BY alt_weight, method ORDER BY runs)"""))
-    c.append(("cv", f"""SELECT alt_weight, method, CAST(from_runs AS INTEGER) AS from_runs, CAST(runs AS INTEGER) AS to_runs,
+        SELECT ticker, T, alt_weight, method, runs, CASE WHEN CallPrice > 0 THEN CallPrice ELSE PutPrice END AS px FROM cp)
+        WINDOW w AS (PARTITION BY ticker, T, alt_weight, method ORDER BY runs)"""))
+    c.append(("cv", f"""SELECT ticker, T, alt_weight, method, CAST(from_runs AS INTEGER) AS from_runs, CAST(runs AS INTEGER) AS to_runs,
         {rnd('prev', 4)} AS prev_price, {rnd('px', 4)} AS curr_price,
         {rnd('CASE WHEN prev = 0 AND px = 0 THEN 0.0 WHEN prev = 0 THEN 100.0 ELSE abs((px - prev) / prev) * 100.0 END', 4)} AS pct_change,
         (CASE WHEN prev = 0 AND px = 0 THEN 0.0 WHEN prev = 0 THEN 100.0 ELSE abs((px - prev) / prev) * 100.0 END) <= 1.0 AS converged
         FROM cv1 WHERE from_runs IS NOT NULL"""))
-    c.append(("lastt", """SELECT c.*, CASE WHEN converged THEN 'PASS' ELSE 'FAIL' END AS verdict FROM cv c
-        JOIN (SELECT alt_weight, max(to_runs) AS mx FROM cv GROUP BY 1) m ON m.alt_weight = c.alt_weight AND c.to_runs = m.mx"""))
-    c.append(("top", "SELECT * FROM cp WHERE runs = (SELECT max(runs) FROM cp)"))
+    c.append(("lastt", f"""SELECT *, CASE WHEN converged THEN 'PASS' ELSE 'FAIL' END AS verdict FROM cv WHERE to_runs = {max(CONV_SCALES)}"""))
+    c.append(("top", f"SELECT * FROM cp WHERE runs = {max(CONV_SCALES)}"))
     return c
 
 
@@ -171,29 +181,32 @@ def conv_sql(body: str) -> str:
     return with_ctes(NEEDS, body, conv_ctes())
 
 
-R6 = "round({0}, 6) AS {0}"
-SQL["convergence"] = conv_sql("""SELECT alt_weight, method, from_runs, to_runs, round(prev_price, 6) AS prev_price,
+SQL["convergence"] = conv_sql("""SELECT ticker, T, alt_weight, method, from_runs, to_runs, round(prev_price, 6) AS prev_price,
     round(curr_price, 6) AS curr_price, round(pct_change, 6) AS pct_change, converged FROM cv""")
-SQL["transition_report"] = conv_sql("""SELECT alt_weight, method, from_runs, to_runs, round(prev_price, 6) AS prev_price,
+SQL["transition_report"] = conv_sql("""SELECT ticker, T, alt_weight, method, from_runs, to_runs, round(prev_price, 6) AS prev_price,
     round(curr_price, 6) AS curr_price, round(pct_change, 6) AS pct_change, converged, verdict FROM lastt""")
-SQL["weight_summary"] = conv_sql("""SELECT alt_weight, CAST(sum(CAST(converged AS INTEGER)) AS BIGINT) AS n_converged,
+SQL["weight_summary"] = conv_sql("""SELECT ticker, T, alt_weight, CAST(sum(CAST(converged AS INTEGER)) AS BIGINT) AS n_converged,
     count(*) AS n_methods, arg_min(method, (pct_change, method)) AS best_method, round(min(pct_change), 6) AS min_pct_change,
-    bool_and(converged) AS all_converged FROM lastt GROUP BY alt_weight""")
-SQL["bs_consistency"] = conv_sql("""SELECT round(avg(CallPrice), 6) AS mean_call, round(stddev_samp(CallPrice), 6) AS std_call,
+    bool_and(converged) AS all_converged FROM lastt GROUP BY ticker, T, alt_weight""")
+# the closed form does not depend on the sampled paths
+SQL["bs_consistency"] = with_ctes(NEEDS, """SELECT ticker, T, round(avg(CallPrice), 6) AS mean_call, round(stddev_samp(CallPrice), 6) AS std_call,
     round(avg(PutPrice), 6) AS mean_put, round(stddev_samp(PutPrice), 6) AS std_put,
-    coalesce(stddev_samp(CallPrice), 0) < 1.0 AS consistent FROM top WHERE method = 'black_scholes'""")
-SQL["spread_vs_bs"] = conv_sql("""SELECT method, round(avg_call, 6) AS avg_call, round(CASE WHEN bs > 0 THEN (avg_call - bs) / bs * 100.0
-    ELSE 0.0 END, 6) AS pct_vs_bs FROM (SELECT method, avg(CallPrice) AS avg_call FROM top GROUP BY method)
-    CROSS JOIN (SELECT avg(CallPrice) AS bs FROM top WHERE method = 'black_scholes')""")
-SQL["premium_over_bs"] = with_ctes(NEEDS, """SELECT method, round(avg_call, 6) AS avg_call, round(b.CallPrice, 6) AS bs_call,
+    coalesce(stddev_samp(CallPrice), 0) < 1.0 AS consistent FROM an_out CROSS JOIN """ + WEIGHTS + " GROUP BY ticker, T",
+    [CC] + closed_form("an", "cc", [max(CONV_SCALES)], ("black_scholes",)))
+SQL["spread_vs_bs"] = conv_sql("""SELECT ticker, T, alt_weight, method, round(CallPrice, 6) AS call, round(avg_call, 6) AS avg_call,
+    round(CASE WHEN bs > 0 THEN (avg_call - bs) / bs * 100.0 ELSE 0.0 END, 6) AS pct_vs_bs
+    FROM top JOIN (SELECT ticker, T, method, avg(CallPrice) AS avg_call FROM top GROUP BY ALL) USING (ticker, T, method)
+    JOIN (SELECT ticker, T, avg(CallPrice) AS bs FROM top WHERE method = 'black_scholes' GROUP BY ALL) USING (ticker, T)""")
+SQL["premium_over_bs"] = with_ctes(NEEDS, """SELECT ticker, T, method, round(avg_call, 6) AS avg_call, round(b.CallPrice, 6) AS bs_call,
     round((avg_call - b.CallPrice) / b.CallPrice * 100.0, 6) AS premium_pct
-    FROM (SELECT method, avg(CallPrice) AS avg_call FROM top GROUP BY method) CROSS JOIN (SELECT CallPrice FROM an_out LIMIT 1) b""",
+    FROM (SELECT ticker, T, method, avg(CallPrice) AS avg_call FROM top GROUP BY ALL)
+    JOIN (SELECT ticker, T, CallPrice FROM an_out) b USING (ticker, T)""",
     conv_ctes() + closed_form("an", "cc", [1], ("black_scholes",)))
-SQL["highest_scale"] = conv_sql("""SELECT alt_weight, runs, method, round(CallPrice, 6) AS CallPrice, round(PutPrice, 6) AS PutPrice FROM top""")
+SQL["highest_scale"] = conv_sql("""SELECT ticker, T, alt_weight, runs, method, round(CallPrice, 6) AS CallPrice, round(PutPrice, 6) AS PutPrice FROM top""")
 
 
 # ---------------------------------------------------------------- accuracy at scales, sweeps, EMC
-ACC_SCALES = [25, 50, 100]
+ACC_SCALES = [250, 500, 1000]
 
 
 def cmp_ctes(priced_union: str, p: str) -> list:

@@ -41,7 +41,7 @@ sql("job_view", """SELECT id, status, created_at, started_at, finished_at, p_tic
 sql("job_runtime", f"""SELECT id, upper(status) AS status, round(round(CASE
         WHEN started_at IS NOT NULL AND finished_at IS NOT NULL THEN (epoch_us(finished_at) - epoch_us(started_at)) / 1e6
         WHEN started_at IS NOT NULL AND upper(status) IN ('QUEUED', 'RUNNING') THEN (epoch_us({NOW}) - epoch_us(started_at)) / 1e6 END, 1), 6)
-        AS runtime_s, substring(coalesce(error_message, ''), 1, 120) AS error FROM jobs""")
+        AS runtime_s, substring(coalesce(error_message, ''), 1, 120) AS error, coalesce(error_message, '') AS full_error FROM jobs""")
 sql("avg_time_by_scale", """SELECT p_sims AS num_simulations, count(*) AS n_jobs,
     round(CAST(sum(epoch_us(finished_at) - epoch_us(started_at)) AS DOUBLE) / count(*) / 1e6, 6) AS avg_seconds
     FROM jobs WHERE started_at IS NOT NULL AND finished_at IS NOT NULL GROUP BY p_sims""")

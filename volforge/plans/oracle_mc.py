@@ -12,7 +12,7 @@ from .oracle import SQL
 from .sqlfix import d, with_ctes
 
 SEED = 42
-N = 100
+N = 1000
 ALT_WEIGHT = 0.1
 BLOCK_P = 1.0 / 5.0
 LAM = 0.4
@@ -158,3 +158,20 @@ SQL["mc_vs_bs"] = f"SELECT ticker, K, T, {_gap('call')}, {_gap('put')} FROM {_si
 SQL["put_call_parity_sampled"] = f"""SELECT ticker, K, T, round(theory, 6) AS parity_theoretical, round(sampled, 6) AS parity_sampled,
     round(abs(sampled - theory) / abs(theory) * 100.0, 6) AS parity_dev_pct, abs(sampled - theory) / abs(theory) * 100.0 < 5.0 AS parity_ok
     FROM (SELECT *, S0 - K * exp(-r * T / 252.0) AS theory, mc_call - mc_put AS sampled FROM {_side_by_side()})"""
+
+
+# The variance recursion day by day, at the starting parameters
+SQL["garch_filter_start"] = "WITH RECURSIVE " + with_ctes(["returns", "vstats"], """SELECT ticker, "Date", round(s2, 10) AS sigma2,
+    round(e / sqrt(s2) - avg(e / sqrt(s2)) OVER (PARTITION BY ticker), 10) AS z,
+    round(last_value(om + al * e * e + be * s2) OVER (PARTITION BY ticker ORDER BY idx
+          ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 10) AS sigma2_next
+    FROM (SELECT *, greatest(v, 1e-16::DOUBLE) AS s2 FROM walked)""", [
+    ("dated", """SELECT ticker, "Date", log_return, row_number() OVER (PARTITION BY ticker ORDER BY "Date") AS idx
+        FROM returns WHERE log_return IS NOT NULL AND NOT isnan(log_return)"""),
+    ("params", f"""SELECT ticker, mu, greatest(std * std, 1e-12::DOUBLE) AS var0, greatest(std * std, 1e-12::DOUBLE) * {d(st.GARCH_START[0])} AS om,
+        {d(st.GARCH_START[1])} AS al, {d(st.GARCH_START[2])} AS be FROM vstats WHERE n >= 2"""),
+    ("walked", """SELECT p.ticker, t."Date", t.idx, t.log_return - p.mu AS e, p.var0 AS v, om, al, be, mu FROM params p
+          JOIN dated t ON t.ticker = p.ticker AND t.idx = 1
+        UNION ALL SELECT w.ticker, t."Date", t.idx, t.log_return - w.mu, om + al * w.e * w.e + be * w.v, om, al, be, mu
+          FROM walked w JOIN dated t ON t.ticker = w.ticker AND t.idx = w.idx + 1"""),
+]).removeprefix("WITH ")

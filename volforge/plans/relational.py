@@ -80,23 +80,13 @@ def q_project_prices(inp: Inputs) -> DataFrame:
 
 @query("existing_tickers")
 def q_existing(inp: Inputs) -> DataFrame:
-    return pr.existing_tickers(inp.stored)
+    """Every ticker of the price table."""
+    return pr.existing_tickers(inp.price_table)
 
 
 @query("latest_dates")
 def q_latest_dates(inp: Inputs) -> DataFrame:
-    return pr.latest_dates(inp.stored)
-
-
-@query("existing_tickers_all")
-def q_existing_all(inp: Inputs) -> DataFrame:
-    """T6 over the whole price table (existing_tickers reads the stored split of its SQL)."""
-    return pr.existing_tickers(inp.price_table)
-
-
-@query("latest_dates_all")
-def q_latest_dates_all(inp: Inputs) -> DataFrame:
-    """T7 over the whole price table."""
+    """The last day of every ticker of the price table."""
     return pr.latest_dates(inp.price_table)
 
 
