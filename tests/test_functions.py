@@ -49,3 +49,16 @@ def test_round_half_up_on_ties(spark):
 def test_valid_ticker(spark):
     df = spark.createDataFrame([("AAPL",), ("^GSPC",), ("BRK.B",), ("BAD TICKER!",), ("",), (None,)], "t string")
     assert [r.v for r in df.select(valid_ticker(F.col("t")).alias("v")).collect()] == [True, True, True, False, False, False]
+
+
+def test_run_requests_are_checked(spark):
+    from pyspark.sql import functions as F
+
+    from volforge.functions.validate import job_run_errors
+    rows = [(1, "2024-02-28", "2024-02-29", "t"), (0, "2024-02-28", "2024-02-28", "t"), (None, "2023-02-29", "2023-2-1", " "),
+            (5, "2024-03-02", "2024-03-01", None), (6, None, "20240301", "t")]
+    df = spark.createDataFrame(rows, "id long, a string, b string, name string")
+    got = [r.e for r in df.select(job_run_errors(F.col("id"), F.col("a"), F.col("b"), {"table": F.col("name")}).alias("e")).collect()]
+    start, end = "start_date must be YYYY-MM-DD", "end_date must be YYYY-MM-DD"
+    assert got == [[], ["job_id must be > 0"], ["job_id must be > 0", start, end, "table must not be empty"],
+                   ["start_date must not be after end_date", "table must not be empty"], [start, end]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.validate import valid_ticker
+from ..functions.validate import job_run_errors, valid_ticker
 from ..operators import joblog as jl
 from ..operators import pricing as pc
 from ..operators import prices as pr
@@ -160,16 +160,42 @@ def q_price_mean(inp: Inputs) -> DataFrame:
 
 @query("date_spine")
 def q_date_spine(inp: Inputs) -> DataFrame:
-    """One row per calendar day from creation to finish of every finished job."""
-    j = inp.job_log.where(F.col("finished_at").isNotNull())
-    d = sinks.date_spine(F.to_date("created_at"), F.to_date("finished_at"))
-    return j.select(F.col("id").alias("job_id"), F.explode(d).alias("business_date")) \
-            .groupBy("business_date").agg(F.count(F.lit(1)).alias("n_jobs"))
+    """The calendar days of every job's request, from its creation over its period, and how many jobs
+    cover each."""
+    j = jl.job_view(inp.job_log).select("id", F.to_date("created_at").alias("start"), "period_days")
+    days = sinks.date_spine(F.col("start"), F.date_add("start", F.col("period_days")))
+    return j.select("id", F.explode(days).alias("business_date")).groupBy("business_date").agg(F.count(F.lit(1)).alias("n_jobs"))
 
 
 @query("export_summary")
 def q_export_summary(inp: Inputs) -> DataFrame:
-    return sinks.export_summary(job_results(inp), "simulation_results", "results/")
+    """Export the typed results and summarise what was written."""
+    from ..streaming.jobs import scratch_dir
+    path = scratch_dir(inp.spark, "s13") + "/results"
+    sinks.export_snapshot(sinks.typed_results(job_results(inp)), path)
+    return sinks.export_summary(inp.spark.read.parquet(path), "simulation_results", "results/")
+
+
+@query("read_results_strike")
+def q_read_results_strike(inp: Inputs) -> DataFrame:
+    """S9 with a strike: of each ticker's results, those of its lowest strike of 30 days. The strike is asked
+    for as the double it was requested with, and stored as FLOAT."""
+    r = job_results(inp)
+    asked = r.where(F.col("T") == 30).groupBy("ticker").agg(F.min("K").alias("K")).collect()          # a row for each ticker
+    t = sinks.typed_results(r).drop("created_at")
+    out = t.where(F.lit(False))
+    for request in asked:
+        out = out.unionByName(sinks.read_results(t, ticker=request.ticker, K=request.K, T=30))
+    return rounded(out)
+
+
+@query("valid_run_params")
+def q_valid_run_params(inp: Inputs) -> DataFrame:
+    """Per job, the errors of its run: id, dates (those of jobs not yet finished hold their status) and names."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    end = F.when(F.col("id") % 7 == 0, day(F.date_sub(F.to_date("created_at"), 1))).otherwise(F.coalesce(day("finished_at"), F.col("status")))
+    errs = job_run_errors(F.col("id"), day("created_at"), end, {"output_ref": F.col("output_ref"), "status": F.col("status")})
+    return inp.job_log.select("id", F.size(errs).alias("n_errors"), F.array_join(errs, "; ").alias("errors"))
 
 
 @query("concat_frames")

@@ -84,6 +84,17 @@ TYPED = """CAST(Runs AS INTEGER) AS Runs, CAST(K AS FLOAT) AS K, CAST(T AS INTEG
     round(PutPrice, 6) AS PutPrice, method, ticker, round(S0, 6) AS S0"""
 sql("typed_results", f"SELECT {TYPED} FROM job_results")
 sql("read_results", f"SELECT {TYPED} FROM job_results WHERE ticker = '3-MEDIUM' AND T = 30 AND Runs = 1000")
+sql("read_results_strike", f"""SELECT {TYPED} FROM job_results JOIN (SELECT ticker, min(K) AS asked FROM job_results WHERE T = 30 GROUP BY ticker)
+    USING (ticker) WHERE T = 30 AND CAST(K AS FLOAT) = CAST(asked AS FLOAT)""")
+sql("valid_run_params", """SELECT id, CAST(len(errs) AS INTEGER) AS n_errors, array_to_string(errs, '; ') AS errors FROM (
+    SELECT id, list_filter([CASE WHEN coalesce(id, 0) <= 0 THEN 'job_id must be > 0' END,
+        CASE WHEN first IS NULL THEN 'start_date must be YYYY-MM-DD' END, CASE WHEN last IS NULL THEN 'end_date must be YYYY-MM-DD' END,
+        CASE WHEN first > last THEN 'start_date must not be after end_date' END,
+        CASE WHEN coalesce(trim(output_ref), '') = '' THEN 'output_ref must not be empty' END,
+        CASE WHEN coalesce(trim(status), '') = '' THEN 'status must not be empty' END], lambda x: x IS NOT NULL) AS errs
+    FROM (SELECT id, status, CASE WHEN status = 'SUCCEEDED' THEN 'results/job=' || id END AS output_ref,
+        CAST(created_at AS DATE) AS first,
+        CASE WHEN id % 7 = 0 THEN CAST(created_at AS DATE) - 1 WHEN finished_at IS NOT NULL THEN CAST(finished_at AS DATE) END AS last FROM jobs))""", needs=[])
 sql("select_methods", """SELECT method, count(*) AS n FROM job_results
     WHERE method IN ('black_scholes', 'fhs_rn', 'multifractal', 'window')
        OR NOT EXISTS (SELECT 1 FROM job_results WHERE method IN ('black_scholes', 'fhs_rn', 'multifractal', 'window'))
@@ -102,8 +113,8 @@ sql("method_by_job", """SELECT job_id, round(avg(CallPrice) FILTER (WHERE method
 sql("price_mean_by_method", """SELECT method, round(avg(CallPrice), 6) AS CallPrice, round(avg(PutPrice), 6) AS PutPrice
     FROM job_results GROUP BY method""")
 sql("date_spine", """SELECT CAST(dd AS DATE) AS business_date, count(*) AS n_jobs FROM (
-    SELECT id, unnest(generate_series(CAST(CAST(created_at AS DATE) AS TIMESTAMP), CAST(CAST(finished_at AS DATE) AS TIMESTAMP),
-                                      INTERVAL 1 DAY)) AS dd FROM jobs WHERE finished_at IS NOT NULL) GROUP BY 1""", needs=[])
+    SELECT id, unnest(generate_series(CAST(CAST(created_at AS DATE) AS TIMESTAMP),
+        CAST(CAST(created_at AS DATE) AS TIMESTAMP) + to_days(p_period), INTERVAL 1 DAY)) AS dd FROM jobs) GROUP BY 1""", needs=[])
 sql("export_summary", """SELECT 'simulation_results' AS "table", 'results/' AS path, count(*) AS row_count FROM job_results""")
 
 SQL["stream_job_state"] = SQL["fold_job_state"]
