@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from datasets import SF_SMALL
 from volforge.operators import evaluate as ev
 from volforge.plans import analysis as an
-from volforge.plans.common import Inputs, checkpointed
+from volforge.plans.common import Inputs, checkpointed, rounded
 
 SCALES = [50, 100]
 TOOLS = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools")
@@ -81,19 +81,36 @@ def test_block_lengths_of_one_pass_equal_single_runs(spark, inp):
         assert {r.path_id: round(r.log_sum, 12) for r in want} == {r.path_id: round(r.log_sum, 12) for r in got if r.method.endswith(f"#{i}")}
 
 
-def test_reports_agree_with_their_sql(inp, some, monkeypatch):
+@pytest.fixture(scope="module")
+def small_sql(some):
+    """DuckDB with the same few contracts, and the SQL module cut to their scales."""
     sys.path.insert(0, TOOLS)
     from check_oracle import duck
 
     from volforge.plans import oracle_analysis as oa
-    c, prices = some
-    monkeypatch.setattr(oa, "CONV_SCALES", SCALES)
     con = duck(SF_SMALL)
-    con.register("some_contracts", c.toPandas())
-    monkeypatch.setattr(oa, "CC", ("cc", "SELECT ticker, hist_ticker, K, CAST(T AS INTEGER) AS T, S0 FROM some_contracts"))
+    con.register("some_contracts", some[0].toPandas())
+    patch = pytest.MonkeyPatch()
+    patch.setattr(oa, "CONV_SCALES", SCALES)
+    patch.setattr(oa, "CC", ("cc", "SELECT ticker, hist_ticker, K, CAST(T AS INTEGER) AS T, S0 FROM some_contracts"))
+    yield con, oa
+    patch.undo()
+
+
+def test_prices_agree_with_their_sql(some, small_sql):
+    con, oa = small_sql
     rows = con.execute(oa.conv_sql("SELECT ticker, T, alt_weight, runs, method, CallPrice, PutPrice FROM cp")).fetchall()
     want = {(t, T, round(w, 6), n, m): (a, b) for t, T, w, n, m, a, b in rows}
-    got = {(r.ticker, r["T"], round(r.alt_weight, 6), r.runs, r.method): (r.CallPrice, r.PutPrice) for r in prices.collect()}
+    got = {(r.ticker, r["T"], round(r.alt_weight, 6), r.runs, r.method): (r.CallPrice, r.PutPrice) for r in some[1].collect()}
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9), k
+
+
+@pytest.mark.parametrize("name", list(an.CONV_REPORTS))
+def test_reports_agree_with_their_sql(inp, some, small_sql, name):
+    from check_oracle import digest
+    con, oa = small_sql
+    c, prices = some
+    got = rounded(an.conv_report(name, prices, lambda: an.analytic_calls(inp, c), max(SCALES)))
+    assert digest(got.toPandas()) == digest(con.execute(oa.conv_report_sql(name)).df())

@@ -181,28 +181,37 @@ def conv_sql(body: str) -> str:
     return with_ctes(NEEDS, body, conv_ctes())
 
 
-SQL["convergence"] = conv_sql("""SELECT ticker, T, alt_weight, method, from_runs, to_runs, round(prev_price, 6) AS prev_price,
+CONV_BODIES = {}
+CONV_BODIES["convergence"] = ("""SELECT ticker, T, alt_weight, method, from_runs, to_runs, round(prev_price, 6) AS prev_price,
     round(curr_price, 6) AS curr_price, round(pct_change, 6) AS pct_change, converged FROM cv""")
-SQL["transition_report"] = conv_sql("""SELECT ticker, T, alt_weight, method, from_runs, to_runs, round(prev_price, 6) AS prev_price,
+CONV_BODIES["transition_report"] = ("""SELECT ticker, T, alt_weight, method, from_runs, to_runs, round(prev_price, 6) AS prev_price,
     round(curr_price, 6) AS curr_price, round(pct_change, 6) AS pct_change, converged, verdict FROM lastt""")
-SQL["weight_summary"] = conv_sql("""SELECT ticker, T, alt_weight, CAST(sum(CAST(converged AS INTEGER)) AS BIGINT) AS n_converged,
+CONV_BODIES["weight_summary"] = ("""SELECT ticker, T, alt_weight, CAST(sum(CAST(converged AS INTEGER)) AS BIGINT) AS n_converged,
     count(*) AS n_methods, arg_min(method, (pct_change, method)) AS best_method, round(min(pct_change), 6) AS min_pct_change,
     bool_and(converged) AS all_converged FROM lastt GROUP BY ticker, T, alt_weight""")
 # the closed form does not depend on the sampled paths
-SQL["bs_consistency"] = with_ctes(NEEDS, """SELECT ticker, T, round(avg(CallPrice), 6) AS mean_call, round(stddev_samp(CallPrice), 6) AS std_call,
+CONV_BODIES["bs_consistency"] = ("""SELECT ticker, T, round(avg(CallPrice), 6) AS mean_call, round(stddev_samp(CallPrice), 6) AS std_call,
     round(avg(PutPrice), 6) AS mean_put, round(stddev_samp(PutPrice), 6) AS std_put,
-    coalesce(stddev_samp(CallPrice), 0) < 1.0 AS consistent FROM an_out CROSS JOIN """ + WEIGHTS + " GROUP BY ticker, T",
-    [CC] + closed_form("an", "cc", [max(CONV_SCALES)], ("black_scholes",)))
-SQL["spread_vs_bs"] = conv_sql("""SELECT ticker, T, alt_weight, method, round(CallPrice, 6) AS call, round(avg_call, 6) AS avg_call,
+    coalesce(stddev_samp(CallPrice), 0) < 1.0 AS consistent FROM an_out CROSS JOIN """ + WEIGHTS + " GROUP BY ticker, T")
+CONV_BODIES["spread_vs_bs"] = ("""SELECT ticker, T, alt_weight, method, round(CallPrice, 6) AS call, round(avg_call, 6) AS avg_call,
     round(CASE WHEN bs > 0 THEN (avg_call - bs) / bs * 100.0 ELSE 0.0 END, 6) AS pct_vs_bs
     FROM top JOIN (SELECT ticker, T, method, avg(CallPrice) AS avg_call FROM top GROUP BY ALL) USING (ticker, T, method)
     JOIN (SELECT ticker, T, avg(CallPrice) AS bs FROM top WHERE method = 'black_scholes' GROUP BY ALL) USING (ticker, T)""")
-SQL["premium_over_bs"] = with_ctes(NEEDS, """SELECT ticker, T, method, round(avg_call, 6) AS avg_call, round(b.CallPrice, 6) AS bs_call,
+CONV_BODIES["premium_over_bs"] = """SELECT ticker, T, method, round(avg_call, 6) AS avg_call, round(b.CallPrice, 6) AS bs_call,
     round((avg_call - b.CallPrice) / b.CallPrice * 100.0, 6) AS premium_pct
     FROM (SELECT ticker, T, method, avg(CallPrice) AS avg_call FROM top GROUP BY ALL)
-    JOIN (SELECT ticker, T, CallPrice FROM an_out) b USING (ticker, T)""",
-    conv_ctes() + closed_form("an", "cc", [1], ("black_scholes",)))
-SQL["highest_scale"] = conv_sql("""SELECT ticker, T, alt_weight, runs, method, round(CallPrice, 6) AS CallPrice, round(PutPrice, 6) AS PutPrice FROM top""")
+    JOIN (SELECT ticker, T, CallPrice FROM an_out) b USING (ticker, T)"""
+CONV_BODIES["highest_scale"] = ("""SELECT ticker, T, alt_weight, runs, method, round(CallPrice, 6) AS CallPrice, round(PutPrice, 6) AS PutPrice FROM top""")
+
+
+def conv_report_sql(name: str) -> str:
+    """The SQL of a convergence report. The closed form alone needs no sampled paths."""
+    analytic = closed_form("an", "cc", [1], ("black_scholes",))
+    ctes = [CC] + analytic if name == "bs_consistency" else conv_ctes() + (analytic if name == "premium_over_bs" else [])
+    return with_ctes(NEEDS, CONV_BODIES[name], ctes)
+
+
+SQL.update({name: conv_report_sql(name) for name in CONV_BODIES})
 
 
 # ---------------------------------------------------------------- accuracy at scales, sweeps, EMC
