@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 NAMES = ["prices", "quotes_raw", "option_chain", "project_prices", "increment_after", "upsert_prices", "upsert_prices_sink",
          "stream_prices", "avg_time_by_scale", "mc_vs_bs", "put_call_parity_sampled", "error_report",
          "bs_stderr", "atm_report", "fold_job_state", "job_runtime", "gate_results", "boot_iid", "boot_block",
-         "boot_window_10", "convergence", "emc_effect"]
+         "boot_window_10", "emc_effect"]
 
 
 @pytest.fixture(scope="module")
