@@ -25,7 +25,7 @@ def some(inp):
     """Contracts of two tickers and their prices."""
     s0 = inp.contracts.select("ticker", "hist_ticker", "S0").distinct().orderBy("ticker").limit(2)
     c = checkpointed(s0.select("ticker", "hist_ticker", F.round("S0", 2).alias("K"), F.explode(F.array(F.lit(3), F.lit(5))).alias("T"), "S0"))
-    return c, an.conv_prices(inp, c, SCALES)
+    return c, an.conv_prices(inp, c, SCALES, an.mc.ORACLE_CFG)        # the stream that SQL can follow
 
 
 def test_every_ticker_and_horizon_of_the_chain(inp):

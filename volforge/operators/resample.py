@@ -226,23 +226,15 @@ def cascade_levels(T: Column, override: int | None) -> Column:
 
 def _cascade_steps(x: DataFrame, cfg: MCConfig, start: float, add) -> DataFrame:
     """Steps (column j) of the paths ``x`` (with _k, _L and T), each with _g: the sum over its levels of
-    ``add(total, gaussian of its cell)``, from ``start``. A cell's Gaussian is drawn once per path, and
-    looked up by the steps that share it: cells of level l are 0 .. (T - 1) >> (L - l - 1), kept from
-    position 2^(l + 1) - 2 on."""
+    ``add(total, gaussian of its cell)``, from ``start``. The Gaussians of a level's cells, 0 ..
+    (T - 1) >> (L - l - 1), are drawn once per path and looked up by the steps that share them."""
     st, k, L, last = cfg.stream, F.col("_k"), F.col("_L"), F.col("T") - F.lit(1)
-    one = F.lit(1)
-    level = lambda node: (F.floor(F.log2((node + F.lit(2)).cast("double")) + F.lit(1e-9)) - one).cast("int")
-    first = lambda lv: F.pow(F.lit(2.0), lv + one).cast("int") - F.lit(2)
-    width = lambda lv: F.pow(F.lit(2.0), L - lv - one)
-
-    def draw(node):
-        return F.element_at(F.transform(F.array(level(node)), lambda lv: F.when(
-            node - first(lv) <= F.floor(last / width(lv)), st.u_gauss(k, F.lit("c"), lv, (node - first(lv)).cast("int")))), 1)
-    cells = F.transform(F.sequence(F.lit(0), (F.pow(F.lit(2.0), L + one) - F.lit(3)).cast("int")), draw)
-    x = x.withColumn("_cells", cells)
+    cell = lambda j, lv: F.call_function("shiftright", j, L - lv - F.lit(1))
+    levels = F.sequence(F.lit(0), L - F.lit(1))
+    x = x.withColumn("_cells", F.transform(levels, lambda lv: F.transform(
+        F.sequence(F.lit(0), cell(last, lv)), lambda c: st.u_gauss(k, F.lit("c"), lv, c))))
     per_step = F.transform(F.sequence(F.lit(0), last), lambda j: F.aggregate(
-        F.sequence(F.lit(0), L - one), F.lit(float(start)),
-        lambda total, lv: add(total, F.element_at(F.col("_cells"), (first(lv) + F.floor(j / width(lv)) + one).cast("int")))))
+        levels, F.lit(float(start)), lambda total, lv: add(total, F.get(F.get("_cells", lv), cell(j, lv)))))
     return x.select("*", F.posexplode(per_step).alias("j", "_g")).drop("_cells")
 
 

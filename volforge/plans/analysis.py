@@ -38,24 +38,32 @@ def conv_contracts(inp: Inputs) -> DataFrame:
     return s.select("ticker", "hist_ticker", round_half_up(F.col("S0"), 2).alias("K"), "T", "S0")
 
 
-def conv_prices(inp: Inputs, c: DataFrame, scales: list[int] = CONV_SCALES) -> DataFrame:
+def conv_prices(inp: Inputs, c: DataFrame, scales: list[int] = CONV_SCALES, cfg: rs.MCConfig = mc.FAST_CFG) -> DataFrame:
     """(ticker, T, alt_weight, runs, method, CallPrice, PutPrice) of the contracts ``c``, one for each
     ticker and T: every method at every scale and weight. Only the Student-t mixture depends on the
     weight; it is sampled once for all weights (same draws, other thresholds), and the other methods are
     priced once and reported for each weight."""
     state = mc.series_state(inp, CONV_METHODS + ["student_t"])
-    cfg = replace(mc.ORACLE_CFG, n_paths=max(scales))
+    cfg = replace(cfg, n_paths=max(scales))
     horizons = c.select("hist_ticker", "T").distinct()
     sampled = [m for m in CONV_METHODS if m not in mc.CLOSED_FORM]
     mixed = [f"student_t#{i}" for i in range(len(CONV_WEIGHTS))]
     sums = mc.log_sums(inp, horizons, cfg, sampled, state).unionByName(rs.boot_t_mixture_weights(
         rs.path_table(horizons, ["student_t"], cfg.n_paths, cfg.chunk), state.rows, cfg, CONV_WEIGHTS, "student_t", state.returns))
     priced = mc.sampled_prices(inp, c, sums, sampled + mixed, scales, [mc.EMC_DEFAULT])[0]
-    closed = mc.run_methods(inp, c, mc.ORACLE_CFG, mc.CLOSED_FORM, scales)
+    return _by_weight(priced.unionByName(conv_closed_form(inp, c, scales)))
+
+
+def conv_closed_form(inp: Inputs, c: DataFrame, scales: list[int] = CONV_SCALES) -> DataFrame:
+    return mc.run_methods(inp, c, mc.ORACLE_CFG, mc.CLOSED_FORM, scales)
+
+
+def _by_weight(priced: DataFrame) -> DataFrame:
+    """Prices with the weight they are of: their own, or each where they do not depend on it."""
     weights = F.array(*[F.lit(w) for w in CONV_WEIGHTS])
     setting = F.split("method", "#")
     every = F.when(F.size(setting) > 1, F.array(F.get(weights, F.get(setting, F.lit(1)).cast("int")))).otherwise(weights)
-    out = priced.unionByName(closed).select("*", F.explode(every).alias("alt_weight"))
+    out = priced.select("*", F.explode(every).alias("alt_weight"))
     return out.select(*CONV_KEYS, "alt_weight", F.col("Runs").alias("runs"), F.get(F.split("method", "#"), F.lit(0)).alias("method"),
                       "CallPrice", "PutPrice")
 
@@ -91,7 +99,8 @@ for _name, _doc in CONV_REPORTS.items():
     def _make(name):
         def plan(inp: Inputs) -> DataFrame:
             c = checkpointed(conv_contracts(inp))
-            return rounded(conv_report(name, conv_prices(inp, c), lambda: analytic_calls(inp, c), max(CONV_SCALES)))
+            prices = _by_weight(conv_closed_form(inp, c)) if name == "bs_consistency" else conv_prices(inp, c)
+            return rounded(conv_report(name, prices, lambda: analytic_calls(inp, c), max(CONV_SCALES)))
         return plan
     _plan = _make(_name)
     _plan.__doc__ = _doc + " Of every ticker and horizon of the chain."
