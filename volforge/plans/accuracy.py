@@ -20,7 +20,8 @@ def closed_form_priced(inp: Inputs) -> DataFrame:
 
 
 def closed_form_errors(inp: Inputs) -> DataFrame:
-    return ev.long_errors(ev.comparison(closed_form_priced(inp), inp.chain))
+    quotes = inp.first_quotes
+    return ev.long_errors(ev.comparison(closed_form_priced(inp), quotes))
 
 
 def _bs_inputs(inp: Inputs) -> DataFrame:
@@ -97,7 +98,8 @@ def q_actual_lookup(inp: Inputs) -> DataFrame:
 
 @query("comparison")
 def q_comparison(inp: Inputs) -> DataFrame:
-    return rounded(ev.comparison(closed_form_priced(inp), inp.chain))
+    quotes = inp.first_quotes
+    return rounded(ev.comparison(closed_form_priced(inp), quotes))
 
 
 @query("pricing_error")

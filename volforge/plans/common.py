@@ -49,13 +49,19 @@ class Inputs:
     def prices(self) -> DataFrame:
         return fx.prices(self.spark, self.sf_dir)
 
+    @cached_property
+    def series(self) -> DataFrame:
+        """The prices, one row per ticker and day, materialised in the checkpoint folder: returns, statistics,
+        the rate and the quotes' spot all read them, and the orders are reduced to days once."""
+        return checkpointed(self.prices)
+
     @cached_property
     def prices_nation(self) -> DataFrame:
         return fx.prices_by_nation(self.spark, self.sf_dir)
 
     @cached_property
     def returns(self) -> DataFrame:
-        return pr.with_returns(self.prices)
+        return pr.with_returns(self.series)
 
     @cached_property
     def price_table(self) -> DataFrame:
@@ -67,30 +73,38 @@ class Inputs:
 
     @cached_property
     def quotes_raw(self) -> DataFrame:
-        return fx.quotes_raw(self.spark, self.sf_dir, self.prices)
+        return fx.quotes_raw(self.spark, self.sf_dir, self.series)
 
     @cached_property
     def chain(self) -> DataFrame:
         return ch.option_chain(self.quotes_raw)
 
+    @cached_property
+    def first_quotes(self) -> DataFrame:
+        """The chain reduced to the first quote of each contract side, materialised in the checkpoint folder:
+        the contracts and the observed mids are read from it, and the quotes are joined and read once,
+        however often a plan refers to either."""
+        return checkpointed(ev.first_quotes(self.chain))
+
     @cached_property
     def stats(self) -> DataFrame:
         return st.vol_stats(self.returns)
 
     @cached_property
     def rate(self) -> DataFrame:
-        return risk_free_rate(self.prices)
+        return risk_free_rate(self.series)
 
     @cached_property
     def contracts(self) -> DataFrame:
-        """(ticker, K, T, S0, hist_ticker) of the accuracy study."""
-        return ev.map_history_ticker(ev.accuracy_contracts(self.chain), fx.history_map(self.spark))
+        """(ticker, K, T, S0, hist_ticker) of the accuracy study, materialised in the checkpoint folder: several
+        steps of a plan share it, its size check then reads stored rows, and its lineage is cut. A plan that
+        needs the observed mids, too, asks for ``first_quotes`` before; the contracts are then read from it."""
+        quotes = self.first_quotes if "first_quotes" in self.__dict__ else self.chain
+        return checkpointed(ev.map_history_ticker(ev.accuracy_contracts(quotes), fx.history_map(self.spark)))
 
-    @cached_property
+    @property
     def contracts_cp(self) -> DataFrame:
-        """The contract grid materialised once in the checkpoint folder: several Monte Carlo plans
-        share it, its size check then reads stored rows, and its lineage is cut."""
-        return checkpointed(self.contracts)
+        return self.contracts
 
     @cached_property
     def job_log(self) -> DataFrame:
