@@ -110,9 +110,9 @@ for _name, _doc in CONV_REPORTS.items():
 # ------------------------------------------------------------------ accuracy at several scales / sweeps
 
 def scale_errors(inp: Inputs) -> DataFrame:
-    state = mc.series_state(inp, SQL_METHODS)
+    quotes, state = inp.first_quotes, mc.series_state(inp, SQL_METHODS)
     priced = mc.run_methods(inp, inp.contracts_cp, mc.ORACLE_CFG, SQL_METHODS, ACC_SCALES, state=state)
-    return ev.long_errors(ev.comparison(priced, inp.chain))
+    return ev.long_errors(ev.comparison(priced, quotes))
 
 
 @query("mape_by_scale")
@@ -129,6 +129,7 @@ def _with_best(df: DataFrame, key: str) -> DataFrame:
 @query("block_sweep")
 def q_block_sweep(inp: Inputs) -> DataFrame:
     """E5: put MAPE by mean block length; the argmin is flagged."""
+    inp.first_quotes        # before the contracts, which are then read from it
     method, cfg, contracts = "block_bootstrap", mc.ORACLE_CFG, inp.contracts_cp
     state = mc.series_state(inp, [method])
     paths = rs.path_table(contracts.select("hist_ticker", "T"), [method], cfg.n_paths, cfg.chunk)
@@ -147,7 +148,7 @@ def _sweep(inp: Inputs, contracts: DataFrame, sums: DataFrame, method: str, key:
 
 
 def _put_mape_by(priced: DataFrame, inp: Inputs, key: str) -> DataFrame:
-    cmp = priced.join(ev.actual_lookup(inp.chain), ["ticker", "K", "T"], "left")
+    cmp = priced.join(ev.actual_lookup(inp.first_quotes), ["ticker", "K", "T"], "left")
     a = F.col("actual_put")
     e = cmp.where(a.isNotNull() & (a > ev.MIN_OBSERVED)).select(key, ((F.col("PutPrice") - a) / a * F.lit(100.0)).alias("pe"))
     return e.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("pe")).alias("put_mape"))
@@ -156,6 +157,7 @@ def _put_mape_by(priced: DataFrame, inp: Inputs, key: str) -> DataFrame:
 @query("lambda_sweep")
 def q_lambda_sweep(inp: Inputs) -> DataFrame:
     """Put MAPE of the empirical-residual cascade by intermittency lambda (discounted)."""
+    inp.first_quotes        # before the contracts, which are then read from it
     method, cfg, contracts = "multifractal_empirical", mc.ORACLE_CFG, inp.contracts_cp
     state = mc.series_state(inp, [method])
     paths = mc.with_rate(inp, rs.path_table(contracts.select("hist_ticker", "T"), [method], cfg.n_paths, cfg.chunk))
@@ -166,10 +168,10 @@ def q_lambda_sweep(inp: Inputs) -> DataFrame:
 @query("emc_effect")
 def q_emc_effect(inp: Inputs) -> DataFrame:
     """E7 + J4: MAPE without and with the empirical martingale correction for three samplers."""
-    contracts, cfg = inp.contracts_cp, mc.ORACLE_CFG
+    quotes, contracts, cfg = inp.first_quotes, inp.contracts_cp, mc.ORACLE_CFG
     sums = mc.log_sums(inp, contracts.select("hist_ticker", "T").distinct(), cfg, EMC_TARGETS, mc.series_state(inp, EMC_TARGETS))
     pre, post = mc.sampled_prices(inp, contracts, sums, EMC_TARGETS, [cfg.n_paths], [mc.EMC_DEFAULT, mc.EMC_DEFAULT | set(EMC_TARGETS)])
-    rep = lambda p: ev.mape_by_method(ev.long_errors(ev.comparison(p, inp.chain)))
+    rep = lambda p: ev.mape_by_method(ev.long_errors(ev.comparison(p, quotes)))
     return rounded(ev.emc_pre_post(rep(pre), rep(post)))
 
 

@@ -237,8 +237,9 @@ def q_run_methods(inp: Inputs) -> DataFrame:
 @query("mc_error_report")
 def q_mc_error_report(inp: Inputs) -> DataFrame:
     """A3q over all twelve methods against the observed mids."""
+    quotes = inp.first_quotes
     priced = run_methods(inp, inp.contracts_cp, FAST_CFG, SIM_METHODS + CLOSED_FORM)
-    return rounded(ev.error_report(ev.long_errors(ev.comparison(priced, inp.chain))))
+    return rounded(ev.error_report(ev.long_errors(ev.comparison(priced, quotes))))
 
 
 @query("student_t_fit")
