@@ -12,6 +12,7 @@ from ..functions.mathfn import clip_log_sum, round_half_up
 from ..operators import evaluate as ev
 from ..operators import pricing as pc
 from ..operators import resample as rs
+from ..sources import fixtures as fx
 from . import montecarlo as mc
 from .common import Inputs, checkpointed, rounded
 from .relational import query
@@ -19,6 +20,7 @@ from .relational import query
 # Fixed values of the convergence study (one contract at the money of every ticker and horizon, several
 # scales and mixture weights).
 CONV_KEYS = ("ticker", "T")
+CONV_T = 10             # the horizon of the study's own contract
 CONV_SCALES = [250, 500, 1000, 2000]
 CONV_WEIGHTS = [0.1, 0.2, 0.3, 0.4, 0.5]
 CONV_METHODS = ["historical", "window", "window_10d", "window_20d", "block_bootstrap", "multifractal_empirical",
@@ -34,7 +36,19 @@ EMC_TARGETS = ["historical", "window", "block_bootstrap"]
 
 def conv_contracts(inp: Inputs) -> DataFrame:
     """The convergence contracts: of every ticker and horizon of the chain, at the money (K = S0 to the cent)."""
-    s = inp.contracts.groupBy("ticker", "hist_ticker", "T").agg(F.min("S0").alias("S0"))
+    return _at_the_money(inp.contracts)
+
+
+def study_contracts(inp: Inputs) -> DataFrame:
+    """``conv_contracts`` and the study's own contract, ``CONV_T`` days at the money, of every ticker with prices:
+    it needs no quote of that horizon, nor of that ticker."""
+    s = fx.latest_quote_state(inp.series).where(F.col("ticker").isNotNull())
+    s = ev.map_history_ticker(s.select("ticker", F.lit(CONV_T).alias("T"), "S0"), fx.history_map(inp.spark))
+    return _at_the_money(inp.contracts.select("ticker", "hist_ticker", "T", "S0").unionByName(s))
+
+
+def _at_the_money(contracts: DataFrame) -> DataFrame:
+    s = contracts.groupBy("ticker", "hist_ticker", "T").agg(F.min("S0").alias("S0"))
     return s.select("ticker", "hist_ticker", round_half_up(F.col("S0"), 2).alias("K"), "T", "S0")
 
 
@@ -95,15 +109,19 @@ CONV_REPORTS = {
     "premium_over_bs": "E8: (average call over weights - closed-form call) in per cent per method at the top scale.",
     "highest_scale": "X6: rows at the maximum scale.",
 }
+# Reports of the study's own contracts, too, checked against SQL over all contracts (the md5 stream).
+STUDY_REPORTS = {"convergence"}
 for _name, _doc in CONV_REPORTS.items():
     def _make(name):
         def plan(inp: Inputs) -> DataFrame:
-            c = checkpointed(conv_contracts(inp))
-            prices = _by_weight(conv_closed_form(inp, c)) if name == "bs_consistency" else conv_prices(inp, c)
+            c = checkpointed(study_contracts(inp) if name in STUDY_REPORTS else conv_contracts(inp))
+            cfg = mc.ORACLE_CFG if name in STUDY_REPORTS else mc.FAST_CFG
+            prices = _by_weight(conv_closed_form(inp, c)) if name == "bs_consistency" else conv_prices(inp, c, cfg=cfg)
             return rounded(conv_report(name, prices, lambda: analytic_calls(inp, c), max(CONV_SCALES)))
         return plan
     _plan = _make(_name)
-    _plan.__doc__ = _doc + " Of every ticker and horizon of the chain."
+    _plan.__doc__ = _doc + " Of every ticker and horizon of the chain" + (
+        f", and of {CONV_T} days of every ticker with prices." if _name in STUDY_REPORTS else ".")
     query(_name)(_plan)
 
 
