@@ -110,7 +110,7 @@ CONV_REPORTS = {
     "highest_scale": "X6: rows at the maximum scale.",
 }
 # Reports of the study's own contracts, too, checked against SQL over all contracts (the md5 stream).
-STUDY_REPORTS = {"convergence", "transition_report", "weight_summary"}
+STUDY_REPORTS = {"convergence", "transition_report", "weight_summary", "highest_scale"}
 for _name, _doc in CONV_REPORTS.items():
     def _make(name):
         def plan(inp: Inputs) -> DataFrame:

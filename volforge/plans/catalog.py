@@ -28,7 +28,7 @@ def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # against brute force): GARCH-filtered samplers and the plans that include them; and the sampled convergence
 # reports on the cheaper stream, whose SQL is compared on a few contracts (tests/test_convergence_grid.py).
 NON_SQL = {"boot_filtered", "boot_filtered_rn", "run_methods", "mc_error_report", "garch_fit", "garch_filter",
-           "spread_vs_bs", "premium_over_bs", "highest_scale"}
+           "spread_vs_bs", "premium_over_bs"}
 
 
 def oracle_sql() -> dict[str, str]:
