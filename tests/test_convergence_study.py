@@ -59,3 +59,21 @@ def test_registered_report_covers_the_study_and_matches_its_sql(spark, tables, n
     got = E.queries()[name](spark, tables).toPandas()
     assert {(t, an.CONV_T) for t in ("3-MEDIUM", "5-LOW")} <= set(zip(got["ticker"], got["T"]))
     assert digest(got) == digest(con.execute(E.oracle_sql()[name]).df())
+
+
+def test_closed_form_without_volatility_is_growth_at_the_rate(spark):
+    """A ticker of two days has one return and no volatility; unquoted, it had no contract to fail on before."""
+    import math
+
+    from volforge.operators import pricing as pc
+    c = spark.createDataFrame([("A", "A", k, 10, 100.0) for k in (90.0, 100.0, 110.0)],
+                              "ticker string, hist_ticker string, K double, T int, S0 double")
+    stats = spark.createDataFrame([("A", 0.0)], "ticker string, vol double")
+    rate = spark.createDataFrame([(0.045,)], "r double")
+    for r in pc.closed_form_prices(c, stats, rate, ("black_scholes",)).collect():
+        ahead = 100.0 - r.K * math.exp(-0.045 * 10 / 252)
+        assert (r.CallPrice, r.PutPrice) == (pytest.approx(max(ahead, 0.0)), pytest.approx(max(-ahead, 0.0)))
+    few = pc.closed_form_prices(c, spark.createDataFrame([("A", 1e-9)], "ticker string, vol double"), rate, ("black_scholes",))
+    none = pc.closed_form_prices(c, stats, rate, ("black_scholes",))
+    close = lambda df: {r.K: (round(r.CallPrice, 6), round(r.PutPrice, 6)) for r in df.collect()}
+    assert close(few) == close(none)

@@ -110,10 +110,15 @@ def closed_form_prices(contracts: DataFrame, stats: DataFrame, rate: DataFrame,
                        methods: tuple[str, ...] = ("black_scholes", "multifractal")) -> DataFrame:
     """Closed-form rows in the pricing-result layout for the Gaussian-terminal methods
     (black_scholes, and multifractal whose horizon law is the same lognormal).
-    contracts: (ticker, hist_ticker, K, T, S0); stats: (ticker, vol); rate: one row (r)."""
-    st = stats.select(F.col("ticker").alias("hist_ticker"), "vol")
+    contracts: (ticker, hist_ticker, K, T, S0); stats: (ticker, vol); rate: one row (r). Without
+    volatility d1 is undefined, and the price is the limit: that of growth at the rate."""
+    st = stats.select(F.col("ticker").alias("hist_ticker"), F.nullif("vol", F.lit(0.0)).alias("vol"))
     base = contracts.join(st, "hist_ticker").crossJoin(rate)   # rate: a one-row aggregate
-    priced = bs_price(base).select("ticker", "K", "T", "S0", F.col("bs_call").alias("CallPrice"),
-                                   F.col("bs_put").alias("PutPrice"))
+    ahead = F.col("S0") - F.col("K") * F.col("_disc")
+
+    def price(formula: str, limit: Column) -> Column:
+        return F.when(F.col("vol").isNull(), F.greatest(limit, F.lit(0.0))).otherwise(F.col(formula))
+    priced = bs_price(base).select("ticker", "K", "T", "S0", price("bs_call", ahead).alias("CallPrice"),
+                                   price("bs_put", -ahead).alias("PutPrice"))
     m = F.explode(F.array(*[F.lit(x) for x in methods])).alias("method")
     return priced.select("*", m)
