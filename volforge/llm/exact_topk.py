@@ -38,9 +38,11 @@ _LOWEST = -(1 << 63)
 
 
 class BallTree:
-    """Nodes over rows reordered so that each node is one range; bounds are safe against rounding."""
+    """Nodes over rows reordered so that each node is one range; bounds are safe against rounding. ``rows``:
+    the rows' numbers, where ids repeat."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, rows: np.ndarray | None = None):
+        rows = ids if rows is None else rows
         self.x, self.order = x, np.arange(len(x))
         self.exact = bool(len(x)) and float(np.abs(x).max()) ** 2 * x.shape[1] < 2.0 ** 52
         self.ranges: list[tuple[int, int]] = []
@@ -115,7 +117,7 @@ def _search_units(units: DataFrame, k: int) -> DataFrame:
             x = np.frombuffer(b"".join(rows.column("vec").to_pylist()), "<f8").reshape(-1, dim)
             number, ids, ask = rows.column("row").to_numpy(), rows.column("id").to_numpy(), rows.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
             least = rows.column("least").to_numpy()
-            tree = BallTree(ids[~ask], number[~ask], x[~ask])
+            tree = BallTree(ids[~ask], x[~ask], number[~ask])
             asked = np.flatnonzero(ask)
             if not len(tree.ids) or not len(asked):
                 continue
